@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from textloom.plans import orphan_queries
+
+_MODULES = (orphan_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in _MODULES for k, s in m.oracle_sql().items()}
