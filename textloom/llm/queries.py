@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import canonical_form, vocabulary
+from textloom.llm.leakage import find_leaks
 from textloom.llm.term_counts import mark_terms, term_counts
 from textloom.sources import read_table
 
@@ -41,5 +42,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return formed.where("is_changed").select("src", "input_id", "seq").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Affected documents per test item."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_forms)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_forms, p7_found, p7_items)}
