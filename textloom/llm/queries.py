@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.canonical import canonical_form, vocabulary
 from textloom.llm.leakage import find_leaks
+from textloom.llm import moderation
 from textloom.llm.term_counts import mark_terms, term_counts
 from textloom.sources import read_table
 
@@ -51,5 +52,23 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Calibrated scores of every document: ``doc_id, abusive, hateful, sexual``."""
+    docs = read_table(spark, d, "documents")
+    return moderation.score(docs, moderation.fit(docs, read_table(spark, d, "review_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("score")) for k in moderation.KINDS)))
+    return p8_scores(spark, d).select("doc_id", kinds.alias("k")).where("k.score >= 0.5").select("doc_id", "k.kind").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the share of each kind per source."""
+    docs = read_table(spark, d, "documents")
+    scores = moderation.score(docs, moderation.fit(docs, read_table(spark, d, "review_labels")), keep=("source",))
+    return scores.groupBy("source").agg(F.count("*").alias("documents"), *(F.avg((F.col(k) >= 0.5).cast("double")).alias(f"{k}_rate") for k in moderation.KINDS))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_forms, p7_found, p7_items)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_forms, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
