@@ -32,7 +32,7 @@ KINDS = ("abusive", "hateful", "sexual")
 
 # Lexicons, our own. Single words, lower case.
 INSULTS = """idiot imbecile cretin moron halfwit dimwit nitwit twit dunce blockhead numbskull dolt liar swine scum maggot weasel parasite hag leech worm
-toad coward crook buffoon scoundrel bastard bitch whore slut jerk loser filth scumbag sleazebag dirtbag lowlife arsehole asshole wanker prick dickhead bollocks rat pig snake vermin clown fool
+toad coward crook buffoon scoundrel bastard bitch whore slut jerk loser filth scumbag sleazebag dirtbag lowlife arsehole asshole wanker prick dickhead bollocks rat pig snake clown fool
 imbécile crétin abruti porc menteur menteuse ordure idiote connard connasse salaud salope raclure débile minable pourriture fumier lâche canaille bouffon escroc enfoiré crapule
 drecksack abschaum lügner trottel schwein dummkopf schwachkopf arschloch mistkerl vollidiot depp lump schuft halunke versager feigling dreckskerl miststück schlampe hure wichser penner idioten
 imbécil cretino basura mentiroso mentirosa payaso cerdo idiota canalla gusano estúpido sinvergüenza desgraciado cobarde gilipollas cabrón puta zorra escoria capullo embustero""".split()
