@@ -118,6 +118,36 @@ def canonical(text: str | None) -> str | None:
     return text
 
 
+def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
+    """The consistent form of a text and, for each of its characters, start and end of what it stands for."""
+    form = canonical(text)
+    if form == text:
+        places = list(range(len(text) + 1))
+        return text, places[:-1], places[1:]
+    keep = _NATIVE if _CJK.search(text) else _OTHERS
+    out: list[str] = []
+    start: list[int] = []
+    end: list[int] = []
+    i, n = 0, len(text)
+    while i < n:
+        j = i + 1
+        while j < n and (unicodedata.category(text[j])[0] == "M" and not _JOINER.match(text[j]) or text[j] in "ﾞﾟ"):
+            j += 1
+        part = text[i:j].translate(_PLAIN)
+        if not (part and keep.match(part)):
+            part = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", part))
+        if not (_JOINER.match(part) and len(part) == 1):
+            for c in part:
+                out.append(c)
+                start.append(i)
+                end.append(j)
+        i = j
+    joined = "".join(out)
+    if re.search("[Ͱ-ԯἀ-῿]", joined):
+        joined = _WORD.sub(lambda m: (readings(m[0]) or [m[0]])[0], joined)
+    return joined, start, end
+
+
 def _open_words(text: str | None) -> list[list[str]]:
     """Words of a text that the vocabulary has to settle: each as it stands after the first step, then its readings.
 

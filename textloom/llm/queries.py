@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm.canonical import canonical_form, vocabulary
 from textloom.llm.leakage import find_leaks
 from textloom.llm import moderation
+from textloom.llm.sentences import find_sentences
 from textloom.llm.term_counts import mark_terms, term_counts
 from textloom.sources import read_table
 
@@ -29,6 +30,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_counts(spark, d).where("mark is not null").select("field", "term", "mark")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_sentences(read_table(spark, d, "tokenized_input"), "input_id", "original")
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every original and word: ``src, input_id, seq, text, form, is_changed``."""
     originals = read_table(spark, d, "tokenized_input").select(F.lit("original").alias("src"), "input_id", F.lit(-1).alias("seq"), F.col("original").alias("text"))
@@ -71,4 +76,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_forms, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p5_found, p5_forms, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
