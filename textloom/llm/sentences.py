@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.canonical import canonical_with_places
 
@@ -332,4 +333,4 @@ def find_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "start_char", "end_char"])
 
     rows = df.where(F.col(text).isNotNull()).select(key, text).distinct()
-    return rows.mapInArrow(run, rows.select(key).schema.add("start_char", "int").add("end_char", "int")).distinct()
+    return rows.mapInArrow(run, rows.select(key).schema.add("start_char", T.IntegerType()).add("end_char", T.IntegerType())).distinct()
