@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm.canonical import canonical_form, vocabulary
 from textloom.llm.leakage import find_leaks
 from textloom.llm import moderation
+from textloom.llm.personal import find_personal, mask, token_hits
 from textloom.llm.sentences import find_sentences
 from textloom.llm.term_counts import mark_terms, term_counts
 from textloom.sources import read_table
@@ -34,6 +35,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return find_sentences(read_table(spark, d, "tokenized_input"), "input_id", "original")
 
 
+def _personal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = read_table(spark, d, "tokenized_input").select("input_id", F.col("original").alias("text"))
+    return texts, find_personal(texts)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    values = _personal(spark, d)[1]
+    words = token_hits(values, read_table(spark, d, "token_stream"))
+    return (
+        values.select(F.lit("original").alias("src"), "input_id", F.col("start").alias("place"), "pii_type")
+        .unionByName(words.select(F.lit("word").alias("src"), "input_id", F.col("seq").cast("int").alias("place"), "pii_type"))
+        .distinct()
+    )
+
+
+def p4_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    return mask(*_personal(spark, d))
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every original and word: ``src, input_id, seq, text, form, is_changed``."""
     originals = read_table(spark, d, "tokenized_input").select(F.lit("original").alias("src"), "input_id", F.lit(-1).alias("seq"), F.col("original").alias("text"))
@@ -76,4 +97,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p5_found, p5_forms, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_masked, p5_found, p5_forms, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
