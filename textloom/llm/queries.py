@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm.canonical import canonical_form, vocabulary
 from textloom.llm.leakage import find_leaks
 from textloom.llm import moderation
+from textloom.llm.packing import pack, token_counts
 from textloom.llm.personal import find_personal, mask, token_hits
 from textloom.llm.sentences import find_sentences
 from textloom.llm.term_counts import mark_terms, term_counts
@@ -69,6 +70,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return formed.where("is_changed").select("src", "input_id", "seq").distinct()
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or part of one above the capacity, for each kind of container."""
+    docs = read_table(spark, d, "documents")
+    return pack(token_counts(docs, "doc_id", "text"), read_table(spark, d, "containers"), n_items=docs.count())
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and the share of room used per kind."""
+    packed = p6_pack(spark, d).groupBy("container_kind").agg(F.countDistinct("container_id").alias("used"), F.sum("tokens").alias("tokens"))
+    return packed.join(read_table(spark, d, "containers"), "container_kind").withColumn("fill", F.col("tokens") / (F.col("used") * F.col("capacity_tokens")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text")
 
@@ -97,4 +110,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_masked, p5_found, p5_forms, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_masked, p5_found, p5_forms, p6_pack, p6_fill, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
