@@ -110,8 +110,8 @@ def pack(items: DataFrame, containers: DataFrame, group_items: int = 20_000, see
     sized = items.groupBy("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).agg(F.count("*").alias("_n"))
     chunk = 10_000
     chunks = sized.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
-    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_n")) - 1)).cast("int"))
-    grouped = copies.select("doc_id", "copy", "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "copy", F.lit(seed)), F.lit(groups)).alias("_group"), F.lit(1).alias("_one"))
+    copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_n")) - 1)))
+    grouped = copies.select("doc_id", F.col("copy").cast("int").alias("copy"), "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "copy", F.lit(seed)), F.lit(groups)).alias("_group"), F.lit(1).alias("_one"))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, group, capacity = key
