@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import orphan_queries
+from textloom.plans import orphan_queries, word_queries
 
-_MODULES = (orphan_queries,)
+_MODULES = (word_queries, orphan_queries)
 
 
 def queries() -> dict:
