@@ -1,0 +1 @@
+"""Column functions: affix classes, tag predicates, 8-bit scores."""
