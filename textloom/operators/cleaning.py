@@ -33,13 +33,13 @@ _NUMBER = r"^[-+$]?[0-9,]*[0-9][0-9,]*(?:[.^*/:][0-9,]*)?$"
 def shape(word: Column) -> Column:
     """A struct of a word's parts and kind.
 
-    ``prefix`` and ``suffix`` are peeled symbols in source order, ``core`` what is left, ``is_possessive`` whether a
+    ``prefix`` holds the symbols before a word, ``suffix`` all that is behind its last letter or digit, in source order, ``core`` what is left, ``is_possessive`` whether a
     final 's was taken off; ``kind`` is newline, symbol, time, decade, number, number_unit or word; ``number`` and
     ``unit`` belong to decades and numbers with a unit.
     """
     head = F.regexp_extract(word, rf"^([{SPECIALS}]*?)(?:[-+$](?=[0-9])|[^{SPECIALS}]|$)", 1)
     body = F.substring(word, F.length(head) + 1, F.length(word))
-    tail = F.regexp_extract(body, rf"([{SPECIALS}]*)$", 1)
+    tail = F.regexp_extract(body, r"([^A-Za-z0-9]*)$", 1)
     core = F.substring(body, F.lit(1), F.length(body) - F.length(tail))
     possessive = core.rlike("'s$") & (F.length(core) > 2)
     bare = F.when(possessive, F.substring(core, F.lit(1), F.length(core) - 2)).otherwise(core)

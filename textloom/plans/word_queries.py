@@ -42,7 +42,7 @@ _SHAPES = rf"""
 peeled AS (SELECT word, regexp_extract(word, '^([{_SP}]*)', 1) AS head0 FROM (SELECT DISTINCT word FROM words)),
 headed AS (SELECT word, CASE WHEN length(head0) > 0 AND regexp_matches(right(head0, 1), '[-+$]') AND regexp_matches(substr(word, length(head0) + 1, 1), '[0-9]') THEN left(head0, length(head0) - 1) ELSE head0 END AS head FROM peeled),
 bodied AS (SELECT word, head, substr(word, length(head) + 1) AS body FROM headed),
-tailed AS (SELECT word, head, body, regexp_extract(body, '([{_SP}]*)$', 1) AS tail FROM bodied),
+tailed AS (SELECT word, head, body, regexp_extract(body, '([^A-Za-z0-9]*)$', 1) AS tail FROM bodied),
 cored AS (SELECT word, head, tail, left(body, length(body) - length(tail)) AS core0 FROM tailed),
 shaped AS (SELECT word, head, tail, core0, (regexp_matches(core0, '''s$') AND length(core0) > 2) AS is_possessive,
   CASE WHEN regexp_matches(core0, '''s$') AND length(core0) > 2 THEN left(core0, length(core0) - 2) ELSE core0 END AS core FROM cored),
