@@ -57,19 +57,23 @@ def _emoji(c: str) -> bool:
     return unicodedata.category(c) in ("So", "Sk") or 0x1F000 <= ord(c) <= 0x1FAFF or c in "⃣#*0123456789♀♂"
 
 
-def _drop_joiners(text: str) -> str:
-    """Zero-width joiners and variation selectors stay inside emoji only."""
-    out: list[str] = []
+def _lost_joiners(text: str) -> set[int]:
+    """Places of zero-width joiners and variation selectors outside emoji; text has no other invisible characters."""
+    lost: set[int] = set()
+    before = ""
     for i, c in enumerate(text):
-        if _JOINER.match(c):
-            before = next((x for x in reversed(out) if not ("︀" <= x <= "️" or "\U000e0020" <= x <= "\U000e007f")), "")
-            after = text[i + 1] if i + 1 < len(text) else ""
-            if not before or not _emoji(before) or (c == "‍" and not (after and unicodedata.category(after) in ("So", "Sk"))):
-                continue
-            if c != "‍" and before in "#*0123456789" and after != "⃣":
-                continue
-        out.append(c)
-    return "".join(out)
+        if not _JOINER.match(c):
+            before = c
+            continue
+        after = text[i + 1] if i + 1 < len(text) else ""
+        if not before or not _emoji(before) or (c == "\u200d" and not (after and unicodedata.category(after) in ("So", "Sk"))) or (c != "\u200d" and before in "#*0123456789" and after != "\u20e3"):
+            lost.add(i)
+    return lost
+
+
+def _drop_joiners(text: str) -> str:
+    lost = _lost_joiners(text)
+    return "".join(c for i, c in enumerate(text) if i not in lost) if lost else text
 
 
 @lru_cache(maxsize=4096)
@@ -125,23 +129,26 @@ def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
         places = list(range(len(text) + 1))
         return text, places[:-1], places[1:]
     keep = _NATIVE if _CJK.search(text) else _OTHERS
+    seen = [(i, c.translate(_PLAIN)) for i, c in enumerate(text)]
+    seen = [(i, c) for i, c in seen if c]
+    lost = _lost_joiners("".join(c for _, c in seen))
+    seen = [x for k, x in enumerate(seen) if k not in lost]
     out: list[str] = []
     start: list[int] = []
     end: list[int] = []
-    i, n = 0, len(text)
-    while i < n:
-        j = i + 1
-        while j < n and (unicodedata.category(text[j])[0] == "M" and not _JOINER.match(text[j]) or text[j] in "ﾞﾟ"):
+    k, n = 0, len(seen)
+    while k < n:
+        j = k + 1
+        while j < n and ((unicodedata.category(seen[j][1])[0] == "M" and not _JOINER.match(seen[j][1])) or seen[j][1] in "ﾞﾟ"):
             j += 1
-        part = text[i:j].translate(_PLAIN)
-        if not (part and keep.match(part)):
+        part = "".join(c for _, c in seen[k:j])
+        if not keep.match(part):
             part = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", part))
-        if not (_JOINER.match(part) and len(part) == 1):
-            for c in part:
-                out.append(c)
-                start.append(i)
-                end.append(j)
-        i = j
+        for c in part:
+            out.append(c)
+            start.append(seen[k][0])
+            end.append(seen[j - 1][0] + 1)
+        k = j
     joined = "".join(out)
     if re.search("[Ͱ-ԯἀ-῿]", joined):
         joined = _WORD.sub(lambda m: (readings(m[0]) or [m[0]])[0], joined)
@@ -151,7 +158,7 @@ def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
 def _open_words(text: str | None) -> list[list[str]]:
     """Words of a text that the vocabulary has to settle: each as it stands after the first step, then its readings.
 
-    These are mixed-script words with several readings, and words of look-alikes only in a text that is mainly Latin;
+    These are mixed-script words with several readings, and words of look-alikes only in a text that is Latin for a half at least;
     of the latter the word itself is the first reading.
     """
     if text is None or text.isascii() or _QUICK.fullmatch(text):
@@ -164,7 +171,7 @@ def _open_words(text: str | None) -> list[list[str]]:
         w = m[0]
         if len(r := readings(w)) > 1:
             out.append([w, *r])
-        elif not r and len(w) > 1 and (latin > foreign or w == text) and all(c in _TO["L"] for c in w):
+        elif not r and len(w) > 1 and (latin >= foreign or w == text) and all(c in _TO["L"] for c in w):
             out.append([w, w, "".join(_TO["L"][c] for c in w)])
     return out
 

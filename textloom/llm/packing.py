@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,10 +108,13 @@ def pack(items: DataFrame, containers: DataFrame, group_items: int = 20_000, see
     id_type = items.schema["doc_id"].dataType.simpleString()
     fields = f"container_kind string, container_id string, doc_id {id_type}, copy int, part int, tokens long"
     sized = items.groupBy("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).agg(F.count("*").alias("_n"))
+    # copies are numbered through all rows of an id, also where their sizes differ
+    ids = Window.partitionBy("doc_id").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("_first", F.coalesce(F.sum("_n").over(ids), F.lit(0)))
     chunk = 10_000
     chunks = sized.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
     copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_n")) - 1)))
-    grouped = copies.select("doc_id", F.col("copy").cast("int").alias("copy"), "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "copy", F.lit(seed)), F.lit(groups)).alias("_group"), F.lit(1).alias("_one"))
+    grouped = copies.select("doc_id", (F.col("copy") + F.col("_first")).cast("int").alias("copy"), "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "copy", F.lit(seed)), F.lit(groups)).alias("_group"), F.lit(1).alias("_one"))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, group, capacity = key

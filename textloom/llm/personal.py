@@ -193,7 +193,7 @@ def names(form: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
     out: list[tuple[int, int, bool]] = []
 
     def add(a: int, b: int, slot: bool) -> None:
-        while b > a and (form[b - 1] in " \n,;:" or (form[b - 1] == "." and not _INITIAL.fullmatch(form[max(a, b - 2) : b]))):
+        while b > a and (form[b - 1] in " \n,;:" or (form[b - 1] == "." and not (_INITIAL.fullmatch(form[max(a, b - 2) : b]) and (b - 2 <= a or not form[b - 3].isalpha())))):
             b -= 1
         if b > a and all(b <= x or a >= y for x, y, *_ in [*taken, *out]):
             out.append((a, b, slot))
