@@ -100,6 +100,12 @@ _FRAMES = [
     re.compile(r"(?:我叫|我是|我的名字是|我的名字叫)([一-鿿]{2,4}?)(?=[。，！？、\n]|$)"),
     re.compile(rf"\b(?:herrn?|frau)[ \n]({_NAME})(?=,?[ \n](?:erreicht|hat|ist|wohnt|wird|war|und|kommt|(?:Am |An der |Im |In der |Zum |Zur )?(?:{_UP}[\wßäöü\-]*\.? ){{1,3}}\d)|[.!?;\n]|$)", re.I),
 ]
+#: A frame is tried only where one of its words stands.
+_FRAME_WORDS = [
+    ("my name", "i am called", "call me"), ("i spoke", "i talked", "i met", "i wrote", "ask for"), ("form", "letter", "file", "application", "parcel", "card"), ("contact", "attn", "attention", "signed", "name:"),
+    ("ich heiße", "mein name"), ("appelle", "mon nom"), ("ai parlé", "ai vu", "ai écrit", "demandez"), (" mit ",), ("me llamo", "mi nombre"), ("hablé con", "escribí a", "pregunté por"), ("señor",), ("зовут", "имя"), ("με λένε", "ονομάζομαι", "όνομά"),
+    ("اسمي",), ("मेरा नाम",), ("私", "名前"), ("我",), ("herr", "frau"),
+]
 _TITLE = re.compile(r"(?<![\w.])(?:(?i:mr|mrs|ms|miss|mx|dr|prof|professor|sir|madam|herrn?|frau|sr|sra|srta|sres|dña|dra|mme|mlle|monsieur|madame|mademoiselle)\.?|M\.|Г-н|г-н|Г-жа|г-жа|господин|госпожа|κ\.|κα\.?|κ\.κ\.|Δρ\.?|الدكتور|السيد|السيدة|د\.|أ\.|डॉ\.?|श्री|श्रीमती|सुश्री)[ \n](?=[^\W\d_])")
 _TITLED = re.compile(r"(?:^|[\s(])(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|sr|sra|srta|dra|mme|mlle|monsieur|madame|señora?|m)\.?[ \n]$", re.I)
 _LETTERED = r"(?:[A-ZÀ-ÖØ-ÞŒŠŽΑ-ΩΆΈ-ΏА-ЯЁ][^\W\d_]*)"
@@ -128,7 +134,7 @@ def structured(form: str) -> list[tuple[int, int, str]]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y, _ in out)
 
-    if "@" in form or "at" in form:
+    if "@" in form or "at)" in form or "at]" in form or "at )" in form or "at ]" in form or " dot " in form or "AT" in form:
         out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(form)]
     if any(c.isdigit() for c in form):
         for pattern in _ADDRESS:
@@ -193,12 +199,20 @@ def names(form: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
     out: list[tuple[int, int, bool]] = []
 
     def add(a: int, b: int, slot: bool) -> None:
+        for x, y, _ in taken:
+            if x <= a < y < b:  # what stands before belongs to another value
+                a = y
+        while a < b and not form[a].isalpha():
+            a += 1
         while b > a and (form[b - 1] in " \n,;:" or (form[b - 1] == "." and not (_INITIAL.fullmatch(form[max(a, b - 2) : b]) and (b - 2 <= a or not form[b - 3].isalpha())))):
             b -= 1
         if b > a and all(b <= x or a >= y for x, y, *_ in [*taken, *out]):
             out.append((a, b, slot))
 
-    for pattern in _FRAMES:
+    low = form.lower().replace("\n", " ")
+    for words, pattern in zip(_FRAME_WORDS, _FRAMES, strict=True):
+        if not any(w in low for w in words):
+            continue
         for m in pattern.finditer(form):
             a, b = m.span(1)
             if t := _TITLE.match(form, a):
