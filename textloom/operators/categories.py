@@ -68,3 +68,49 @@ def distances(lx: Lexicon, pairs: DataFrame) -> DataFrame:
     depths = F.flatten(F.transform("_x", lambda x: F.transform("_y", lambda y: common(x, y))))
     mean = F.aggregate(depths, F.lit(0), lambda s, x: s + x) / F.size(depths)
     return both.select("a", "b", F.coalesce(F.when(F.size(depths) > 0, mean), F.lit(0.0)).alias("distance"))
+
+
+def children(lx: Lexicon) -> DataFrame:
+    """``cat_id, path, children``: categories directly below each."""
+    n = lx.categories.where("parent_id is not null").groupBy(F.col("parent_id").alias("_p")).agg(F.count("*").alias("n"))
+    return lx.categories.join(n, F.col("cat_id") == F.col("_p"), "left").select("cat_id", "path", F.coalesce("n", F.lit(0)).cast("long").alias("children"))
+
+
+def ranges(lx: Lexicon, kinds: dict[str, list[str]]) -> DataFrame:
+    """``kind, path, lo, hi``: the id ranges of paths by kind; a path that is missing has an empty range."""
+    wanted = lx.spark.createDataFrame([(k, p) for k, ps in kinds.items() for p in ps], "kind string, _path string")
+    own = wanted.join(lx.categories.select("path", "range_lo", "range_hi"), F.col("_path") == F.col("path"), "left")
+    return own.select("kind", F.col("_path").alias("path"), F.coalesce("range_lo", F.lit(0)).cast("int").alias("lo"), F.coalesce("range_hi", F.lit(0)).cast("int").alias("hi"))
+
+
+def in_ranges(tokens: DataFrame, ids: str, found: DataFrame) -> DataFrame:
+    """Distinct ``token_id, kind`` of tokens with an id of the array ``ids`` in a range of the kind.
+
+    Ranges are laid out id by id, no more than there are categories for each path named, for an equi-join.
+    """
+    laid = found.where("hi > lo").select("kind", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("_in")).distinct()
+    return tokens.select("token_id", F.explode(ids).alias("_c")).join(laid, F.col("_c").cast("int") == F.col("_in")).select("token_id", "kind").distinct()
+
+
+#: Paths of persons and things, for telling who a pronoun may stand for.
+# Category paths below the tree of nouns and of named entities.
+PERSON_PATHS = ["nouns/military/military_rank", "nouns/health_and_human/family_relation", "nouns/education/occupation", "nouns/business_and_finance/corporate_job", "nouns/personnel/individual"]
+ENTITY_PATHS = [
+    "nouns/transportation/aircraft", "nouns/transportation/automobile", "nouns/transportation/bycycle", "nouns/transportation/_public_transportation", "nouns/transportation/ship",
+    "nouns/military/vehicle", "nouns/environment/landform", "nouns/architecture_and_construction/infrastructure", "nouns/personnel/group",
+]
+NER_PERSON_PATHS = ["ner/person"]
+NER_ENTITY_PATHS = ["ner/facility", "ner/organization", "ner/business"]
+
+
+def coreference_kinds(lx: Lexicon, person: list[str] = PERSON_PATHS, entity: list[str] = ENTITY_PATHS, ner_person: list[str] = NER_PERSON_PATHS, ner_entity: list[str] = NER_ENTITY_PATHS) -> DataFrame:
+    """``token_id, is_person, is_entity``: names go by their named-entity ids, plural nouns of a person path are entities."""
+    nouns = in_ranges(lx.tokens, "categories", ranges(lx, {"person": person, "entity": entity})).select("token_id", F.concat(F.lit("noun_"), "kind").alias("k"))
+    names = in_ranges(lx.tokens, "ner", ranges(lx, {"person": ner_person, "entity": ner_entity})).select("token_id", F.concat(F.lit("ner_"), "kind").alias("k"))
+    has = nouns.unionByName(names).groupBy("token_id").agg(F.collect_set("k").alias("ks"))
+    t = lx.tokens.select("token_id", "pos").join(has, "token_id", "left")
+    in_ = lambda k: F.coalesce(F.array_contains("ks", k), F.lit(False))
+    name, plural = F.col("pos").startswith("NNP"), F.col("pos") == "NNS"
+    is_person = F.when(name, in_("ner_person")).when(plural, F.lit(False)).otherwise(in_("noun_person"))
+    is_entity = F.when(name, in_("ner_entity")).when(plural, in_("noun_person") | in_("noun_entity")).otherwise(in_("noun_entity"))
+    return t.select("token_id", is_person.alias("is_person"), is_entity.alias("is_entity"))

@@ -80,3 +80,18 @@ def expand(parts: DataFrame, preprocess: DataFrame, key: str) -> DataFrame:
     hit = parts.join(preprocess.select(F.col("word").alias("_w"), "tag", "value"), F.lower("part") == F.col("_w"), "left")
     own = F.when(F.col("tag") == "|contraction|", F.split("value", " ")).otherwise(F.array("part"))
     return hit.select(key, "pos", "sub", F.posexplode(own).alias("subsub", "part"), "tag", F.when(F.col("tag") != "|contraction|", F.col("value")).alias("value"))
+
+
+def special_tokens(words: DataFrame, preprocess: DataFrame, key: str) -> DataFrame:
+    """``key, pos, core, tag, value, unit``: words that are numbers, times, periods or special words.
+
+    Plain numbers are |num|, times |time|, decades |date_period|; a number with letters takes the tag of its letters if
+    the look-up has them; other words take the tag of the look-up, contractions aside.
+    """
+    s = words.select(key, "pos", shape(F.col("word")).alias("s")).select(key, "pos", "s.core", "s.kind", "s.number", "s.unit")
+    special = preprocess.where("tag <> '|contraction|'").select(F.col("word").alias("_w"), F.col("tag").alias("_tag"), F.col("value").alias("_value"))
+    asked = F.when(F.col("kind") == "number_unit", F.col("unit")).when(F.col("kind") == "word", F.lower("core"))
+    hit = s.withColumn("_ask", asked).join(special, F.col("_ask") == F.col("_w"), "left")
+    tag = F.when(F.col("kind") == "number", "|num|").when(F.col("kind") == "time", "|time|").when(F.col("kind") == "decade", "|date_period|").otherwise(F.col("_tag"))
+    value = F.when(F.col("kind").isin("number", "time"), F.col("core")).when(F.col("kind").isin("decade", "number_unit"), F.col("number")).otherwise(F.col("_value"))
+    return hit.withColumn("tag", tag).where("tag is not null").select(key, "pos", "core", "tag", value.alias("value"), "unit")

@@ -228,6 +228,30 @@ def semantic_distance(spark: SparkSession, d: str) -> DataFrame:
     return C.distances(lx, pairs)
 
 
+@query(f"WITH {CATS} SELECT c.cat_id, c.path, CAST(count(x.cat_id) AS BIGINT) AS children FROM cats c LEFT JOIN cats x ON x.parent_id = c.cat_id GROUP BY 1, 2")
+def category_children(spark: SparkSession, d: str) -> DataFrame:
+    return C.children(lexicon(spark, d))
+
+
+def _first_paths(lx) -> dict[str, list[str]]:
+    """Stand-ins for the named paths, which these tables lack: the first two paths of each tree are persons, the next two things."""
+    rows = lx.categories.where("depth = 1 and tree in ('nouns', 'ner')").select("tree", "path", "cat_id").orderBy("cat_id").collect()  # a fixed dimension
+    by = {t: [r["path"] for r in rows if r["tree"] == t] for t in ("nouns", "ner")}
+    return {"person": by["nouns"][:2], "entity": by["nouns"][2:4], "ner_person": by["ner"][:2], "ner_entity": by["ner"][2:4]}
+
+
+@query(
+    f"""WITH {CATS}, {TOK}, paths AS (SELECT tree, cat_id, range_lo, range_hi, row_number() OVER (PARTITION BY tree ORDER BY cat_id) AS i FROM cats WHERE depth = 1 AND tree IN ('nouns', 'ner')),
+flags AS (SELECT token_id, pos, EXISTS (SELECT 1 FROM paths WHERE tree = 'nouns' AND i <= 2 AND len(list_filter(categories, lambda c: c >= range_lo AND c < range_hi)) > 0) AS np, EXISTS (SELECT 1 FROM paths WHERE tree = 'nouns' AND i IN (3, 4) AND len(list_filter(categories, lambda c: c >= range_lo AND c < range_hi)) > 0) AS ne,
+  EXISTS (SELECT 1 FROM paths WHERE tree = 'ner' AND i <= 2 AND len(list_filter(ner, lambda c: c >= range_lo AND c < range_hi)) > 0) AS rp, EXISTS (SELECT 1 FROM paths WHERE tree = 'ner' AND i IN (3, 4) AND len(list_filter(ner, lambda c: c >= range_lo AND c < range_hi)) > 0) AS re FROM tok)
+SELECT token_id, CASE WHEN starts_with(pos, 'NNP') THEN rp WHEN pos = 'NNS' THEN false ELSE np END AS is_person, CASE WHEN starts_with(pos, 'NNP') THEN re WHEN pos = 'NNS' THEN np OR ne ELSE ne END AS is_entity FROM flags"""
+)
+def coreference_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Dictionary tokens that are persons or things."""
+    lx = lexicon(spark, d)
+    return C.coreference_kinds(lx, **_first_paths(lx))
+
+
 @query(f"WITH {STREAM}, {TOK}, each AS (SELECT input_id, unnest(map_entries(t.classification_scores)) AS e FROM stream s JOIN tok t USING (token_id)) SELECT input_id, CAST(e.key AS INT) AS code, avg(CAST(e.value AS DOUBLE)) AS score, count(*) AS tokens FROM each GROUP BY 1, 2")
 def classification_scores(spark: SparkSession, d: str) -> DataFrame:
     """Mean score per input and code."""

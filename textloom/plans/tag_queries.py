@@ -63,6 +63,12 @@ def hmm_unseen(spark: SparkSession, d: str) -> DataFrame:
     return H.unseen(_sents(spark, d))
 
 
+@query(f"WITH {SENTS} SELECT word_before, w AS word, t AS tag, count(*) AS n FROM (SELECT coalesce(lag(w) OVER (PARTITION BY input_id, sent ORDER BY seq), '^') AS word_before, w, t FROM sents) GROUP BY 1, 2, 3")
+def bigram_tags(spark: SparkSession, d: str) -> DataFrame:
+    """How often each pair of neighbours had each tag."""
+    return K.neighbours(_sents(spark, d)).groupBy("word_before", F.col("w").alias("word"), F.col("t").alias("tag")).agg(F.count("*").alias("n"))
+
+
 _VITERBI = f"""WITH RECURSIVE {SENTS}, {FIRSTS}, {INITIAL}, {TRANS}, {EMIT}, {MISS}, {LEX},
 known AS (SELECT DISTINCT word, p.tag, p.code FROM lex JOIN pos_tags p ON lex.pos = p.tag),
 own AS (SELECT * FROM known k WHERE tag <> 'FW' OR NOT EXISTS (SELECT 1 FROM known o WHERE o.word = k.word AND o.tag <> 'FW')),

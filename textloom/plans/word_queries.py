@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.affixes import PREFIXES_BY_LENGTH, SUFFIXES, prefix_class, suffix_class
 from textloom.lexicon import preprocess_rows
-from textloom.operators.cleaning import SPECIALS, clean_words as to_words, expand, peel, shape, words_of
+from textloom.operators.cleaning import SPECIALS, clean_words as to_words, expand, peel, shape, special_tokens as to_special, words_of
 from textloom.plans.base import CATS, INPUT_WORDS, LEX, SENSE, STREAM, TOK, inputs, lexicon, stream, tag, values_sql, words_sql
 from textloom.sources import read_table
 
@@ -102,6 +102,16 @@ def contractions(spark: SparkSession, d: str) -> DataFrame:
     return expand(symbol_peel(spark, d), lexicon(spark, d).preprocess(), "input_id")
 
 
+@query(
+    f"""WITH {INPUT_WORDS}, {_SHAPES}, asked AS (SELECT w.input_id, w.pos, s.core, s.kind, s.number, s.unit, CASE WHEN kind = 'number_unit' THEN unit WHEN kind = 'word' THEN lower(core) END AS ask FROM words w JOIN shapes s USING (word)),
+tagged AS (SELECT a.*, CASE kind WHEN 'number' THEN '|num|' WHEN 'time' THEN '|time|' WHEN 'decade' THEN '|date_period|' ELSE p.tag END AS t, p.value AS v FROM asked a LEFT JOIN (SELECT * FROM {_PRE} WHERE tag <> '|contraction|') p ON a.ask = p.w)
+SELECT input_id, pos, core, t AS tag, CASE WHEN kind IN ('number', 'time') THEN core WHEN kind IN ('decade', 'number_unit') THEN number ELSE v END AS value, unit FROM tagged WHERE t IS NOT NULL"""
+)
+def special_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers, times, periods and special words with their values and units."""
+    return to_special(clean_words(spark, d), lexicon(spark, d).preprocess(), "input_id")
+
+
 @query(f"WITH {LEX}, {SENSE} SELECT * FROM sense")
 def default_sense(spark: SparkSession, d: str) -> DataFrame:
     return lexicon(spark, d).default_senses()
