@@ -100,7 +100,7 @@ def readings(word: str) -> list[str]:
         return []
     order = sorted(here, key=lambda s: (-count[s], "LCG".index(s)))
     able = [s for s in order if all(_script(c) in ("", s) or c in _TO[s] for c in word)]
-    return ["".join(c if _script(c) in ("", s) else _TO[s].get(c, c) for c in word) for s in able or order[:1]]
+    return [unicodedata.normalize("NFC", "".join(c if _script(c) in ("", s) else _TO[s].get(c, c) for c in word)) for s in able or order[:1]]
 
 
 def plain_characters(text: str) -> str:
@@ -118,12 +118,15 @@ def canonical(text: str | None) -> str | None:
         return text
     text = plain_characters(text)
     if "Ͱ" <= max(text, default="") and re.search("[Ͱ-ԯἀ-῿]", text):
-        text = _WORD.sub(lambda m: (readings(m[0]) or [m[0]])[0], text)
+        text = unicodedata.normalize("NFC", _WORD.sub(lambda m: (readings(m[0]) or [m[0]])[0], text))
     return text
 
 
 def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
-    """The consistent form of a text and, for each of its characters, start and end of what it stands for."""
+    """The consistent form of a text and, for each of its characters, start and end of what it stands for.
+
+    A text with stray marks that change places in its consistent form is given back unchanged.
+    """
     form = canonical(text)
     if form == text:
         places = list(range(len(text) + 1))
@@ -151,7 +154,20 @@ def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
         k = j
     joined = "".join(out)
     if re.search("[Ͱ-ԯἀ-῿]", joined):
-        joined = _WORD.sub(lambda m: (readings(m[0]) or [m[0]])[0], joined)
+        for m in reversed([*_WORD.finditer(joined)]):
+            if r := readings(m[0]):
+                a, b = m.span()
+                # a substituted letter may take up the mark behind it, so that the word gets shorter
+                while b - a > len(r[0]):
+                    k = next((i for i in range(a + 1, b) if unicodedata.category(out[i])[0] == "M"), b - 1)
+                    end[k - 1] = end[k]
+                    del out[k], start[k], end[k]
+                    b -= 1
+                out[a:b] = r[0]
+        joined = "".join(out)
+    if joined != form:  # marks in an order that no letter takes them in; such a text is left as it is
+        places = list(range(len(text) + 1))
+        return text, places[:-1], places[1:]
     return joined, start, end
 
 
@@ -209,20 +225,22 @@ def canonical_form(df: DataFrame, col: str, vocab: DataFrame | None = None, out:
     """``df`` with the consistent form of ``df[col]`` in ``out`` and whether it differs in ``changed``.
 
     vocab: words in column ``word`` (see ``vocabulary``); it decides for words that can be read in two scripts, and for
-    words made of look-alikes only, which are repaired if the vocabulary has the result. Only texts with Greek or
-    Cyrillic letters take part in a join, on the text itself; all other rows are mapped where they are.
+    words made of look-alikes only, which are repaired if the vocabulary has the result. Only texts with such
+    words take part in a join, on the text itself; all other rows are mapped where they are.
     """
     df = df.drop(out, changed)
     differs = ~F.col(out).eqNullSafe(F.col(col))
     if vocab is None:
         return df.withColumn(out, canonical_udf(F.col(col))).withColumn(changed, differs)
     foreign = F.coalesce(F.col(col).rlike("[Ͱ-ԯἀ-῿]"), F.lit(False))
-    texts = df.where(foreign).select(F.col(col).alias("_text")).distinct()
-    opened = texts.withColumn("_open", F.explode(open_words_udf("_text"))).select("_text", F.col("_open")[0].alias("_word"), F.posexplode(F.slice("_open", 2, 8)).alias("_rank", "_reading"))
+    asked = df.where(foreign).withColumn("_opened", open_words_udf(col))
+    closed = asked.where(F.size("_opened") == 0).drop("_opened")
+    asking = asked.where(F.size("_opened") > 0)
+    opened = asking.select(F.col(col).alias("_text"), "_opened").distinct().withColumn("_open", F.explode("_opened")).select("_text", F.col("_open")[0].alias("_word"), F.posexplode(F.slice("_open", 2, 8)).alias("_rank", "_reading"))
     known = opened.join(vocab.select(F.col("word").alias("_v")).distinct(), (F.lower("_reading") == F.col("_v")) & (F.col("_reading") != F.col("_word")), "left")
     best = known.groupBy("_text", "_word").agg(F.min_by("_reading", F.struct(F.col("_v").isNull(), "_rank")).alias("_best"))
     choices = best.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_best"))).alias("_choices"))
     settled = choices.select("_text", _settle_udf("_text", "_choices").alias("_settled"))
-    plain = df.where(~foreign).withColumn(out, canonical_udf(F.col(col)))
-    mended = df.where(foreign).join(settled, F.col(col) == F.col("_text"), "left").withColumn(out, F.coalesce("_settled", canonical_udf(F.col(col)))).drop("_text", "_settled")
+    plain = df.where(~foreign).unionByName(closed).withColumn(out, canonical_udf(F.col(col)))
+    mended = asking.drop("_opened").join(settled, F.col(col) == F.col("_text"), "left").withColumn(out, F.coalesce("_settled", canonical_udf(F.col(col)))).drop("_text", "_settled")
     return plain.unionByName(mended).withColumn(changed, differs)

@@ -10,7 +10,10 @@ occurrences in all texts are counted. Found values are generalised to a placehol
 Rules run on the consistent form of a text (see ``canonical``) and places refer to the original. Token rows are matched
 by their offsets, counted without plain spaces and line feeds, which no token holds.
 
-Defined results: null and blank texts hold nothing; deliveries made twice count once; token rows without a letter or
+Texts themselves are not shuffled: what is shuffled are candidates and partial counts of terms.
+
+Defined results: null and blank texts hold nothing; values of deliveries made twice are one (in the counts of terms
+they weigh twice, on either side of the share); token rows without a letter or
 digit are no cases; null words take no room; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -305,15 +308,15 @@ def find_personal(texts: DataFrame, min_bits: float = 2.0, min_share: float = 0.
     A candidate in a slot needs a term of at least ``min_bits`` and ``min_share``; outside of slots all terms of a
     candidate need ``run_share``. The packed places count characters without plain spaces and line feeds.
     """
-    texts = texts.select("input_id", "text").where("text is not null").distinct()
+    texts = texts.select("input_id", "text").where("text is not null")
     schema = "input_id " + texts.schema["input_id"].dataType.simpleString() + ", " + _CANDIDATE
-    found = texts.mapInArrow(_candidates, schema)
+    found = texts.mapInArrow(_candidates, schema)  # equal rows of deliveries made twice fall together in the group-bys below
     place = ["input_id", "start", "end", "packed_start", "packed_end"]
     known = disclosures(texts)
     terms = found.where("pii_type = 'name'").select(*place, "slot", F.explode_outer("terms").alias("term"))
     judged = terms.join(known, "term", "left").groupBy(*place).agg(F.max("slot").alias("slot"), F.max(F.coalesce(F.when(F.col("bits") >= min_bits, F.col("share")), F.lit(0.0))).alias("most"), F.min(F.coalesce("share", F.lit(0.0))).alias("least"))
     kept = judged.where((F.col("slot") & (F.col("most") >= min_share)) | (~F.col("slot") & (F.col("least") >= run_share)))
-    return found.where("pii_type <> 'name'").select(*place, "pii_type").unionByName(kept.select(*place, F.lit("name").alias("pii_type")))
+    return found.where("pii_type <> 'name'").select(*place, "pii_type").distinct().unionByName(kept.select(*place, F.lit("name").alias("pii_type")))
 
 
 def token_hits(values: DataFrame, tokens: DataFrame) -> DataFrame:

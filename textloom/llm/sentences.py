@@ -6,7 +6,7 @@ behind it. For spaced scripts every terminator is a node of a lattice that carri
 abbreviations that never or seldom end a sentence, ordinals, initials, quotations and brackets that are open.
 
 The rules run on the consistent form of the text (see ``canonical``); places refer to the original. Texts are scanned
-where they lie; no shuffle but that of deliveries made twice.
+where they lie; only the places found are shuffled, so that deliveries made twice count once.
 
 Defined results: null and blank texts have no sentence; a text without any stop is one unit per line; places count
 code points; every visible character belongs to exactly one unit; an empty table gives an empty result.
@@ -259,7 +259,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         while b > a and form[b - 1].isspace():
             b -= 1
         if b > a:
-            out.append((start[a], end[b - 1]))
+            first = max(start[a], out[-1][1] if out else 0)  # a mark on a stop stays with the stop
+            if end[b - 1] > first:
+                out.append((first, end[b - 1]))
         begun = stop
 
     i = 0
@@ -332,5 +334,5 @@ def find_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
                     ends.append(e)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "start_char", "end_char"])
 
-    rows = df.where(F.col(text).isNotNull()).select(key, text).distinct()
+    rows = df.where(F.col(text).isNotNull()).select(key, text)
     return rows.mapInArrow(run, rows.select(key).schema.add("start_char", T.IntegerType()).add("end_char", T.IntegerType())).distinct()
