@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import canonical_with_places
+from textloom.session import ensure_checkpoint_dir
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
@@ -249,54 +250,54 @@ def _found(text: str | None) -> tuple[str, list[tuple[int, int, str, list[str],
     return form, out
 
 
-_CANDIDATE = "start int, end int, packed_start int, packed_end int, pii_type string, terms array<string>, slot boolean"
+_FIELDS = {"start": pa.int32(), "end": pa.int32(), "packed_start": pa.int32(), "packed_end": pa.int32(), "pii_type": pa.string(), "terms": pa.list_(pa.string()), "slot": pa.bool_(), "term": pa.string(), "inside": pa.int64(), "total": pa.int64()}
+_SCHEMA = "start int, end int, packed_start int, packed_end int, pii_type string, terms array<string>, slot boolean, term string, inside long, total long"
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows: list[tuple] = []
-        at: list[int] = []
-        for k, text in enumerate(b.column(1).to_pylist()):
-            found = _found(text)[1]
-            if found:
-                packed = [0]
-                for c in text:
-                    packed.append(packed[-1] + (c not in " \n"))
-                for s, e, kind, terms, slot in found:
-                    at.append(k)
-                    rows.append((s, e, packed[s], packed[e], kind, terms, slot))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["input_id", "start", "end", "packed_start", "packed_end", "pii_type", "terms", "slot"])
-
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In one reading of the texts their candidates, and partial counts of terms, in protected slots and anywhere.
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of terms, in protected slots and anywhere."""
+    Rows of counts have a term and no input; they are given out when many terms are held, and at the end.
+    """
     inside: Counter = Counter()
     total: Counter = Counter()
+    id_type = None
 
-    def flush() -> pa.RecordBatch:
+    def counts() -> pa.RecordBatch:
         keys = list(total)
-        out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())], names=["term", "inside", "total"])
+        cols = [pa.nulls(len(keys), t) for t in [*_FIELDS.values()][:7]]
+        out = pa.RecordBatch.from_arrays([pa.nulls(len(keys), id_type), *cols, pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())], names=["input_id", *_FIELDS])
         inside.clear()
         total.clear()
         return out
 
     for b in batches:
-        for text in b.column(1).to_pylist():
+        id_type = b.column(0).type
+        rows: list[tuple] = []
+        at: list[int] = []
+        for k, text in enumerate(b.column(1).to_pylist()):
             form, found = _found(text)
             total.update(_terms(form))
-            for _, _, kind, terms, slot in found:
-                if kind == "name" and slot:
-                    inside.update(terms)
+            if found:
+                packed = [0]
+                for c in text:
+                    packed.append(packed[-1] + (c not in " \n"))
+                for s, e, kind, terms, slot in found:
+                    at.append(k)
+                    rows.append((s, e, packed[s], packed[e], kind, terms, slot, None, None, None))
+                    if kind == "name" and slot:
+                        inside.update(terms)
+        cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, _FIELDS.values(), strict=True))], names=["input_id", *_FIELDS])
         if len(total) > 50_000:
-            yield flush()
-    yield flush()
+            yield counts()
+    if id_type is not None:
+        yield counts()
 
 
-def disclosures(texts: DataFrame) -> DataFrame:
-    """``term, bits, share`` of terms seen in slots: their disclosure and P(slot | term). texts: input_id, text."""
-    counts = texts.mapInArrow(_occurrences, "term string, inside long, total long").groupBy("term").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
+def disclosures(counts: DataFrame) -> DataFrame:
+    """``term, bits, share`` of terms seen in slots: their disclosure and P(slot | term). counts: ``term, inside, total``."""
+    counts = counts.groupBy("term").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
     all_ = counts.agg((F.sum("inside") / F.sum("total")).alias("p")).scalar()
     share = F.col("inside") / F.greatest("total", "inside")
     return counts.where("inside > 0").select("term", F.log2(share / all_).alias("bits"), share.alias("share"))
@@ -306,13 +307,15 @@ def find_personal(texts: DataFrame, min_bits: float = 2.0, min_share: float = 0.
     """Values in texts: ``input_id, start, end, packed_start, packed_end, pii_type``; texts has ``input_id, text``.
 
     A candidate in a slot needs a term of at least ``min_bits`` and ``min_share``; outside of slots all terms of a
-    candidate need ``run_share``. The packed places count characters without plain spaces and line feeds.
+    candidate need ``run_share``. The packed places count characters without plain spaces and line feeds. Texts are
+    read once; what was found in them is checkpointed, since counts and candidates are both taken from it.
     """
     texts = texts.select("input_id", "text").where("text is not null")
-    schema = "input_id " + texts.schema["input_id"].dataType.simpleString() + ", " + _CANDIDATE
-    found = texts.mapInArrow(_candidates, schema)  # equal rows of deliveries made twice fall together in the group-bys below
+    ensure_checkpoint_dir(texts.sparkSession)
+    scan = texts.mapInArrow(_scan, f"input_id {texts.schema['input_id'].dataType.simpleString()}, {_SCHEMA}").checkpoint()
     place = ["input_id", "start", "end", "packed_start", "packed_end"]
-    known = disclosures(texts)
+    found = scan.where("term is null").select(*place, "pii_type", "terms", "slot")  # equal rows of deliveries made twice fall together below
+    known = disclosures(scan.where("term is not null").select("term", "inside", "total"))
     terms = found.where("pii_type = 'name'").select(*place, "slot", F.explode_outer("terms").alias("term"))
     judged = terms.join(known, "term", "left").groupBy(*place).agg(F.max("slot").alias("slot"), F.max(F.coalesce(F.when(F.col("bits") >= min_bits, F.col("share")), F.lit(0.0))).alias("most"), F.min(F.coalesce("share", F.lit(0.0))).alias("least"))
     kept = judged.where((F.col("slot") & (F.col("most") >= min_share)) | (~F.col("slot") & (F.col("least") >= run_share)))
