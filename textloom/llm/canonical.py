@@ -2,7 +2,7 @@
 
 Method: compatibility characters, invisible characters and odd spaces are brought to their plain form; then the
 dominant script of every word is determined, and look-alike letters of other scripts are substituted in mixed-script
-words only. Where a mixed word could be read in two scripts, the corpus vocabulary decides, then the dominant script.
+words only. Where a mixed word could be read in two scripts, the corpus vocabulary decides, then the text's main script.
 
 A mixed word whose plain form is missing from the vocabulary is repaired all the same: the required result holds every
 letter of another script inside a word to be a fault, and names and invented words are in no vocabulary.
@@ -86,10 +86,11 @@ def _script(c: str) -> str:
     return "" if unicodedata.category(c)[0] == "M" else "L"
 
 
-def readings(word: str) -> list[str]:
+def readings(word: str, first: str = "") -> list[str]:
     """The single-script readings of a mixed-script word, that in its dominant script first; none for any other word.
 
-    If no script can take all letters, the only reading replaces those letters that the dominant script can take.
+    first: a script (L, C or G) whose reading goes before the others. If no script can take all letters, the only
+    reading replaces those letters that the dominant script can take.
     """
     count = {"L": 0, "C": 0, "G": 0}
     for c in word:
@@ -98,11 +99,18 @@ def readings(word: str) -> list[str]:
     here = [s for s in count if count[s]]
     if len(here) < 2:
         return []
-    order = sorted(here, key=lambda s: (-count[s], "LCG".index(s)))
+    order = sorted(here, key=lambda s: (s != first, -count[s], "LCG".index(s)))
     able = [s for s in order if all(_script(c) in ("", s) or c in _TO[s] for c in word)]
+    order = sorted(here, key=lambda s: (-count[s], "LCG".index(s)))
     return [unicodedata.normalize("NFC", "".join(c if _script(c) in ("", s) else _TO[s].get(c, c) for c in word)) for s in able or order[:1]]
 
 
+def _main_script(text: str) -> str:
+    """The script most letters of a text are in."""
+    n = {"C": len(re.findall("[Ѐ-ԯ]", text)), "G": len(re.findall("[Ͱ-Ͽἀ-῿]", text)), "L": len(re.findall("[A-Za-zÀ-ʯḀ-ỿ]", text))}
+    return max(("L", "C", "G"), key=lambda s: n[s])
+
+
 def plain_characters(text: str) -> str:
     """Compatibility, invisible and space characters brought to their plain form; letters of other scripts stay."""
     text = text.translate(_PLAIN)
@@ -118,7 +126,8 @@ def canonical(text: str | None) -> str | None:
         return text
     text = plain_characters(text)
     if "Ͱ" <= max(text, default="") and re.search("[Ͱ-ԯἀ-῿]", text):
-        text = unicodedata.normalize("NFC", _WORD.sub(lambda m: (readings(m[0]) or [m[0]])[0], text))
+        main = _main_script(text)
+        text = unicodedata.normalize("NFC", _WORD.sub(lambda m: (readings(m[0], main) or [m[0]])[0], text))
     return text
 
 
@@ -154,8 +163,9 @@ def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
         k = j
     joined = "".join(out)
     if re.search("[Ͱ-ԯἀ-῿]", joined):
+        main = _main_script(joined)
         for m in reversed([*_WORD.finditer(joined)]):
-            if r := readings(m[0]):
+            if r := readings(m[0], main):
                 a, b = m.span()
                 # a substituted letter may take up the mark behind it, so that the word gets shorter
                 while b - a > len(r[0]):
@@ -180,12 +190,13 @@ def _open_words(text: str | None) -> list[list[str]]:
     if text is None or text.isascii() or _QUICK.fullmatch(text):
         return []
     text = plain_characters(text)
+    main = _main_script(text)
     latin = sum(map(len, re.findall(r"[A-Za-zÀ-ʯ]+", text)))
     foreign = sum(map(len, re.findall(r"[Ͱ-ԯ]+", text)))
     out = []
     for m in _WORD.finditer(text):
         w = m[0]
-        if len(r := readings(w)) > 1:
+        if len(r := readings(w, main)) > 1:
             out.append([w, *r])
         elif not r and len(w) > 1 and (latin >= foreign or w == text) and all(c in _TO["L"] for c in w):
             out.append([w, w, "".join(_TO["L"][c] for c in w)])
@@ -206,7 +217,11 @@ def open_words_udf(s: pd.Series) -> pd.Series:
 def _settle_udf(text: pd.Series, choices: pd.Series) -> pd.Series:
     def settle(t, c):
         c = dict(c or {})
-        return _WORD.sub(lambda m: c.get(m[0]) or (readings(m[0]) or [m[0]])[0], plain_characters(t)) if c else canonical(t)
+        if not c:
+            return canonical(t)
+        t = plain_characters(t)
+        main = _main_script(t)
+        return unicodedata.normalize("NFC", _WORD.sub(lambda m: c.get(m[0]) or (readings(m[0], main) or [m[0]])[0], t))
 
     return pd.Series([settle(t, c) for t, c in zip(text, choices, strict=True)], dtype=object)
 
