@@ -43,9 +43,10 @@ def derive_phrases(tokens: DataFrame, min_count: int = 12) -> DataFrame:
     w = ordered()
     words = tokens.where("token_type = 'word'").select("input_id", "seq", "word")
     near = words.withColumn("w2", F.lead("word", 1).over(w)).withColumn("w3", F.lead("word", 2).over(w)).withColumn("s2", F.lead("seq", 1).over(w)).withColumn("s3", F.lead("seq", 2).over(w))
-    two = near.where("s2 = seq + 1").select(F.concat_ws(" ", F.lower("word"), F.lower("w2")).alias("phrase"), F.lit(2).alias("n"))
-    three = near.where("s2 = seq + 1 and s3 = seq + 2").select(F.concat_ws(" ", F.lower("word"), F.lower("w2"), F.lower("w3")).alias("phrase"), F.lit(3).alias("n"))
-    counts = two.unionByName(three).groupBy("phrase", "n").agg(F.count("*").alias("c")).where(F.col("c") >= min_count)
+    two = F.when(F.col("s2") == F.col("seq") + 1, F.struct(F.concat_ws(" ", F.lower("word"), F.lower("w2")).alias("phrase"), F.lit(2).alias("n")))
+    three = F.when((F.col("s2") == F.col("seq") + 1) & (F.col("s3") == F.col("seq") + 2), F.struct(F.concat_ws(" ", F.lower("word"), F.lower("w2"), F.lower("w3")).alias("phrase"), F.lit(3).alias("n")))
+    grams = near.select(F.explode(F.array_compact(F.array(two, three))).alias("g")).select("g.phrase", "g.n")
+    counts = grams.groupBy("phrase", "n").agg(F.count("*").alias("c")).where(F.col("c") >= min_count)
     return counts.select("phrase", "n", F.when(F.col("n") == 2, "both").otherwise("standard").alias("mwe_type"))
 
 
