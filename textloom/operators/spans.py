@@ -172,7 +172,8 @@ def intent_rows() -> list[tuple[str, int, str]]:
 def intents(tokens: DataFrame, table: DataFrame, longest: int = 6) -> DataFrame:
     """``input_id, seq, intent, n``: the shortest path of the table (``phrase, n, intent``) at each place."""
     w = ordered()
-    near = tokens.select("input_id", "seq", F.array(*(F.lead(F.lower("word"), k).over(w) for k in range(longest))).alias("ws"))
+    first = table.select(F.split("phrase", " ")[0].alias("_first")).distinct()
+    near = tokens.select("input_id", "seq", F.lower("word").alias("_w"), F.array(*(F.lead(F.lower("word"), k).over(w) for k in range(longest))).alias("ws")).join(first, F.col("_w") == F.col("_first"), "left_semi")
     grams = near.select("input_id", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ws", 1, n), " ").alias("phrase"), (F.size(F.array_compact(F.slice("ws", 1, n))) == n).alias("ok")))).alias("g"))
     hits = grams.where("g.ok").select("input_id", "seq", "g.n", "g.phrase").join(table, ["phrase", "n"])
     return hits.groupBy("input_id", "seq").agg(F.min_by("intent", F.struct("n", "intent")).alias("intent"), F.min("n").alias("n"))

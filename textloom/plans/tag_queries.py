@@ -118,11 +118,18 @@ def _short(t):
 
 
 AMBIG = f"{LEX}, {SENSE}, ambig AS (SELECT word FROM sense WHERE len(potential_pos) > 1)"
-FEATS = f"""nbr AS (SELECT s.input_id, s.seq, s.w, s.t, CAST(n.seq - s.seq AS INT) AS "offset", n.w AS nw, n.t AS nt FROM sents s JOIN ambig a ON a.word = s.w JOIN sents n ON n.input_id = s.input_id AND n.sent = s.sent AND n.seq BETWEEN s.seq - 8 AND s.seq + 4 AND n.seq <> s.seq),
-kinds AS (SELECT *, unnest([{{'kind': 'tag', 'value': nt, 'base': 1.6}}, {{'kind': 'word', 'value': nw, 'base': 1.8}}, {{'kind': 'tag_group', 'value': {_short('nt')}, 'base': 1.2}}, {{'kind': 'word_group', 'value': {_group('nw')}, 'base': 1.4}}, {{'kind': 'suffix', 'value': {_suffix('nw')}, 'base': 1.0}}, {{'kind': 'prefix', 'value': {_prefix('nw')}, 'base': 1.0}}]) AS f FROM nbr),
+FEATS = f"""{TOK}, pron AS (SELECT l.word, t.pronoun FROM (SELECT word, token_id FROM sense) l JOIN tok t USING (token_id) WHERE t.pronoun IS NOT NULL),
+nbr AS (SELECT s.input_id, s.seq, s.w, s.t, CAST(n.seq - s.seq AS INT) AS "offset", n.w AS nw, n.t AS nt, pr.pronoun.category AS pc, pr.pronoun.person AS pp, pr.pronoun.number AS pn FROM sents s JOIN ambig a ON a.word = s.w JOIN sents n ON n.input_id = s.input_id AND n.sent = s.sent AND n.seq BETWEEN s.seq - 8 AND s.seq + 4 AND n.seq <> s.seq LEFT JOIN pron pr ON pr.word = n.w),
+kinds AS (SELECT *, unnest([{{'kind': 'tag', 'value': nt, 'base': 1.6}}, {{'kind': 'word', 'value': nw, 'base': 1.8}}, {{'kind': 'tag_group', 'value': {_short('nt')}, 'base': 1.2}}, {{'kind': 'word_group', 'value': {_group('nw')}, 'base': 1.4}}, {{'kind': 'suffix', 'value': {_suffix('nw')}, 'base': 1.0}}, {{'kind': 'prefix', 'value': {_prefix('nw')}, 'base': 1.0}}, {{'kind': 'pronoun_category', 'value': pc, 'base': 1.0}}, {{'kind': 'pronoun_person', 'value': pp, 'base': 1.0}}, {{'kind': 'pronoun_number', 'value': pn, 'base': 1.0}}]) AS f FROM nbr),
 feats AS (SELECT input_id, seq, w, t, "offset", f.kind AS kind, f.value AS value, round(CAST(f.base AS DOUBLE) * CASE WHEN "offset" < 0 THEN 1 + CAST(0.15 AS DOUBLE) * (8 + "offset") ELSE 1 + CAST(0.25 AS DOUBLE) * (4 - "offset") END, 4) AS weight FROM kinds WHERE f.value IS NOT NULL)"""
 
 
+def _pronouns(spark, d):
+    lx = lexicon(spark, d)
+    t = lx.tokens.where("pronoun is not null").select("token_id", "pronoun.category", "pronoun.person", "pronoun.number")
+    return lx.default_senses().select("word", "token_id").join(t, "token_id").drop("token_id")
+
+
 def _ambiguous(spark, d):
     return lexicon(spark, d).default_senses().where(F.size("potential_pos") > 1).select("word")
 
@@ -130,7 +137,7 @@ def _ambiguous(spark, d):
 @query(f"WITH {SENTS}, {AMBIG}, {FEATS} SELECT * FROM feats")
 def context_features(spark: SparkSession, d: str) -> DataFrame:
     """Features around every token with several senses."""
-    return K.features(_sents(spark, d), _ambiguous(spark, d))
+    return K.features(_sents(spark, d), _ambiguous(spark, d), _pronouns(spark, d))
 
 
 NEIGH = "neigh AS (SELECT input_id, seq, w, t, coalesce(lag(t) OVER o, '^') AS before, coalesce(lead(t) OVER o, '$') AS behind, coalesce(lag(w) OVER o, '^') AS word_before FROM sents WINDOW o AS (PARTITION BY input_id, sent ORDER BY seq))"
@@ -161,7 +168,7 @@ bl AS (SELECT input_id, seq, w, tag, round(0.8 * q + 0.2 * coalesce(freq, 0.0),
 
 def _by_features(spark, d):
     s, words = _sents(spark, d), _ambiguous(spark, d)
-    f = K.features(s, words)
+    f = K.features(s, words, _pronouns(spark, d))
     return K.resolve_by_features(f, K.learn_scores(f), K.tag_frequency(s, words))
 
 
