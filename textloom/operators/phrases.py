@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from textloom.functions import predicates as P
 from textloom.operators.spans import intent_rows
 
-#: Non-pronoun tokens after which all antecedents are forgotten.
+# Fixed value: non-pronoun tokens after which all antecedents are forgotten.
 MEMORY = 30
 SEPARATORS = {",", ";", "-", "+"}
 ASKING = {"who", "what", "where", "why", "how", "when"}

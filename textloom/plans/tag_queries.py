@@ -189,7 +189,7 @@ def resolved_tags(spark: SparkSession, d: str) -> DataFrame:
     marked = words.select(F.col("word").alias("_w"), F.lit(True).alias("_a"))
     t = s.join(marked, F.col("w") == F.col("_w"), "left").join(by_path, ["input_id", "seq"]).join(by_rule, ["input_id", "seq"], "left").join(by_feature, ["input_id", "seq"], "left")
     a = F.coalesce("_a", F.lit(False))
-    method = F.when(a & F.col("r").isNotNull(), "rule").when(a & (F.col("score") >= 0.85), "feature").when(a | (F.col("t") == "FW"), "hmm").otherwise("unambiguous")
+    method = F.when(a & F.col("r").isNotNull(), "rule").when(a & (F.col("score") >= K.SURE), "feature").when(a | (F.col("t") == "FW"), "hmm").otherwise("unambiguous")
     tag = F.when(method == "rule", F.col("r")).when(method == "feature", F.col("f")).otherwise(F.col("h"))
     sure = F.when(method.isin("rule", "unambiguous"), 1.0).when(method == "feature", F.col("score")).otherwise(F.col("confidence"))
     return t.select("input_id", "seq", F.col("w").alias("word"), tag.alias("tag"), method.alias("method"), F.round(sure, 6).alias("confidence"))
