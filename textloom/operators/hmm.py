@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import predicates as P
+from textloom.session import dimension_join
 
 #: Tags an unknown word may have.
 OPEN_CLASS = ("NN", "NNS", "NNP", "VB", "VBD", "VBG", "VBN", "VBZ", "JJ", "RB")
@@ -66,7 +67,7 @@ def candidates(sents: DataFrame, senses: DataFrame, tags: DataFrame) -> DataFram
     some = F.filter("_c", lambda c: c["tag"] != "FW")
     own = F.when(F.col("_c").isNull(), F.expr("array()").cast("array<struct<code:int,tag:string>>")).when(F.size(some) > 0, some).otherwise(F.col("_c"))
     open_ = tags.where(F.col("tag").isin(*OPEN_CLASS)).agg(F.collect_set(F.struct("code", "tag"))).scalar()
-    joined = sents.join(known, F.col("w") == F.col("_w"), "left")
+    joined = dimension_join(sents, known, F.col("w") == F.col("_w"))
     return joined.select("input_id", "sent", "seq", "w", F.explode(F.when(F.size(own) > 0, own).otherwise(open_)).alias("c")).select("input_id", "sent", "seq", "w", "c.tag", "c.code")
 
 
@@ -77,8 +78,8 @@ def decode(sents: DataFrame, senses: DataFrame, tags: DataFrame) -> DataFrame:
     """
     emit, miss = emissions(sents), unseen(sents)
     c = candidates(sents, senses, tags)
-    c = c.join(emit.select(F.col("tag").alias("_t"), F.col("word").alias("_w"), F.col("lp").alias("_e")), (F.col("tag") == F.col("_t")) & (F.col("w") == F.col("_w")), "left")
-    c = c.join(miss.select(F.col("tag").alias("_u"), F.col("lp").alias("_m")), F.col("tag") == F.col("_u"), "left")
+    c = dimension_join(c, emit.select(F.col("tag").alias("_t"), F.col("word").alias("_w"), F.col("lp").alias("_e")), (F.col("tag") == F.col("_t")) & (F.col("w") == F.col("_w")))
+    c = dimension_join(c, miss.select(F.col("tag").alias("_u"), F.col("lp").alias("_m")), F.col("tag") == F.col("_u"))
     scored = c.groupBy("input_id", "sent", "seq").agg(F.array_sort(F.collect_list(F.struct("code", "tag", F.coalesce("_e", "_m", F.lit(-30.0)).alias("e")))).alias("cands"))
     sequences = scored.groupBy("input_id", "sent").agg(F.array_sort(F.collect_list(F.struct("seq", "cands"))).alias("tokens"))
     model = {"": {r["tag"]: r["lp"] for r in initial(sents).collect()}}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import predicates as P
 from textloom.operators.spans import intent_rows
+from textloom.session import dimension_join
 
 # Fixed value: non-pronoun tokens after which all antecedents are forgotten.
 MEMORY = 30
@@ -344,7 +345,7 @@ _OUT = "phrase int, start int, end int, split_token int, tense string, person st
 def describe(tokens: DataFrame, lexicon_tokens: DataFrame, person: Column | None = None, entity: Column | None = None) -> DataFrame:
     """Tokens with what reading needs. person, entity: tests on the dictionary's columns; by default names and plural nouns."""
     lex = lexicon_tokens.select(F.col("token_id").alias("_id"), "pronoun", "is_auxiliary", "is_predicative", (person if person is not None else F.col("is_name") | P.is_named_entity(F.col("pos"))).alias("_person"), (entity if entity is not None else F.col("pos") == "NNS").alias("_entity"))
-    t = tokens.select("input_id", "seq", "word", F.coalesce(F.upper("pos"), F.lit("FW")).alias("pos"), "token_id", F.col("is_name").alias("_name")).join(lex, F.col("token_id") == F.col("_id"), "left")
+    t = dimension_join(tokens.select("input_id", "seq", "word", F.coalesce(F.upper("pos"), F.lit("FW")).alias("pos"), "token_id"), lex, F.col("token_id") == F.col("_id"))
     p = F.col("pos")
     flag = lambda c: F.coalesce(c, F.lit(False))
     return t.select("input_id", "seq", "word", "pos", "pronoun", P.is_noun(p).alias("is_noun"), P.is_verb(p).alias("is_verb"), P.is_adverb(p).alias("is_adverb"), P.is_adjective(p).alias("is_adjective"), P.is_pronoun(p).alias("is_pronoun"), P.is_preposition(p).alias("is_preposition"), flag(F.col("is_auxiliary")).alias("is_auxiliary"), flag(F.col("is_predicative")).alias("is_predicative"), (P.is_named_entity(p) | flag(F.col("_person"))).alias("is_person"), flag(F.col("_entity")).alias("is_entity"))

@@ -9,6 +9,7 @@ from textloom.functions.affixes import PREFIXES_BY_LENGTH, SUFFIXES, prefix_clas
 from textloom.lexicon import preprocess_rows
 from textloom.operators.cleaning import SPECIALS, clean_words as to_words, expand, peel, shape, special_tokens as to_special, words_of
 from textloom.plans.base import CATS, INPUT_WORDS, LEX, SENSE, STREAM, TOK, inputs, lexicon, stream, tag, values_sql, words_sql
+from textloom.session import dimension_join
 from textloom.sources import read_table
 
 Q: dict = {}
@@ -122,14 +123,14 @@ def lexicon_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Every token with its first sense; unknown words are FW with id 0."""
     l = lexicon(spark, d).default_senses().withColumnRenamed("word", "_w").withColumnRenamed("pos", "_p").withColumnRenamed("token_id", "_t")
     s = stream(spark, d).select("input_id", "seq", "word")
-    return s.join(l, F.lower("word") == F.col("_w"), "left").select("input_id", "seq", "word", F.coalesce("_p", F.lit("FW")).alias("pos"), F.coalesce("_t", F.lit(0)).alias("token_id"), F.coalesce("potential_pos", F.array().cast("array<string>")).alias("potential_pos"))
+    return dimension_join(s, l, F.lower("word") == F.col("_w")).select("input_id", "seq", "word", F.coalesce("_p", F.lit("FW")).alias("pos"), F.coalesce("_t", F.lit(0)).alias("token_id"), F.coalesce("potential_pos", F.array().cast("array<string>")).alias("potential_pos"))
 
 
 @query(f"WITH {STREAM}, {TOK} SELECT s.input_id, s.seq, s.token_id, coalesce(t.word, '') AS lexicon_word, coalesce(t.pos, 'FW') AS lexicon_pos, t.stem AS lexicon_stem, t.token_id IS NOT NULL AS is_known FROM stream s LEFT JOIN tok t USING (token_id)")
 def token_by_id(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by their id; a missing id gives an empty default token that keeps the id."""
     t = lexicon(spark, d).tokens.select(F.col("token_id").alias("_id"), F.col("word").alias("w"), F.col("pos").alias("p"), F.col("stem").alias("lexicon_stem"))
-    return stream(spark, d).join(t, F.col("token_id") == F.col("_id"), "left").select("input_id", "seq", "token_id", F.coalesce("w", F.lit("")).alias("lexicon_word"), F.coalesce("p", F.lit("FW")).alias("lexicon_pos"), "lexicon_stem", F.col("_id").isNotNull().alias("is_known"))
+    return dimension_join(stream(spark, d).select("input_id", "seq", "token_id"), t, F.col("token_id") == F.col("_id")).select("input_id", "seq", "token_id", F.coalesce("w", F.lit("")).alias("lexicon_word"), F.coalesce("p", F.lit("FW")).alias("lexicon_pos"), "lexicon_stem", F.col("_id").isNotNull().alias("is_known"))
 
 
 @query(f"WITH {STREAM}, {LEX}, {SENSE} SELECT word, l.pos, l.token_id, l.potential_pos FROM (SELECT DISTINCT word FROM stream) JOIN sense l USING (word)")
@@ -142,8 +143,8 @@ def word_lookup(spark: SparkSession, d: str) -> DataFrame:
 def resense(spark: SparkSession, d: str) -> DataFrame:
     """The sense of every token for the tag it was given; flags are kept."""
     one = lexicon(spark, d).senses.groupBy("word", "pos").agg(F.min_by("token_id", "ord").alias("sense_id")).select(F.col("word").alias("_w"), F.col("pos").alias("_p"), "sense_id")
-    s = stream(spark, d)
-    return s.join(one, (F.lower("word") == F.col("_w")) & (F.upper("pos") == F.col("_p")), "left").select("input_id", "seq", "word", F.upper("pos").alias("pos"), "sense_id", "is_possessive", "is_negative")
+    s = stream(spark, d).select("input_id", "seq", "word", "pos", "is_possessive", "is_negative")
+    return dimension_join(s, one, (F.lower("word") == F.col("_w")) & (F.upper("pos") == F.col("_p"))).select("input_id", "seq", "word", F.upper("pos").alias("pos"), "sense_id", "is_possessive", "is_negative")
 
 
 @query(f"WITH {LEX}, {SENSE}, v AS (SELECT word, arg_min(pos, ord) AS verb_pos, arg_min(token_id, ord) AS verb_id FROM lex WHERE starts_with(pos, 'V') GROUP BY 1) SELECT word, sense.pos, v.verb_pos, v.verb_id FROM sense JOIN v USING (word)")
@@ -174,8 +175,8 @@ def tag_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {STREAM}, {TOK} SELECT s.input_id, s.seq, s.word FROM stream s LEFT JOIN tok t USING (token_id) WHERE NOT coalesce(t.is_stop_word, false)")
 def stop_word_removal(spark: SparkSession, d: str) -> DataFrame:
-    stop = lexicon(spark, d).tokens.where("is_stop_word").select("token_id")
-    return stream(spark, d).join(stop, "token_id", "left_anti").select("input_id", "seq", "word")
+    stop = lexicon(spark, d).tokens.where("is_stop_word").select(F.col("token_id").alias("_id"))
+    return dimension_join(stream(spark, d).select("input_id", "seq", "word", "token_id"), stop, F.col("token_id") == F.col("_id"), "left_anti").select("input_id", "seq", "word")
 
 
 _SUF = "CASE " + " ".join(f"WHEN ends_with(w, '{s}') THEN '{s}'" for s in SUFFIXES) + " END"

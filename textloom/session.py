@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,13 +24,12 @@ def local_session(cores: str | int = "*", partitions: int = 8, name: str = "text
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine."""
+    """The folder of ``spark.checkpoint.dir``, or the one set on the context; where neither is (tests) a local one."""
+    context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="textloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    spark.sparkContext.setCheckpointDir(shared)
-    return shared
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
+    return shared or context.getCheckpointDir()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
@@ -39,3 +38,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     Counting reads only ``limit(max_rows + 1)``; use it for dimension tables read from files.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def dimension_join(rows: DataFrame, dim: DataFrame, on: Column, how: str = "left", salts: int = 16, max_rows: int = 200_000) -> DataFrame:
+    """Many rows, of which a third may share a key, joined to a dimension; ``on`` compares columns of both.
+
+    A dimension of at most ``max_rows`` rows, which is counted, is broadcast. A larger one is repeated once per salt
+    and the rows are spread over the salts by a hash of all their columns that can be hashed, so that a hot key is
+    split; how: inner, left, left_semi or left_anti, which a repeated right side leaves right.
+    """
+    if dim.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(dim), on, how)
+    plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    spread = dim.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, on & (F.col("_salt") == F.col("_salt_of")), how).drop("_salt", "_salt_of")
