@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import canonical_with_places
-from textloom.session import ensure_checkpoint_dir
+from textloom.session import dimension_join, ensure_checkpoint_dir
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
@@ -317,7 +317,7 @@ def find_personal(texts: DataFrame, min_bits: float = 2.0, min_share: float = 0.
     found = scan.where("term is null").select(*place, "pii_type", "terms", "slot")  # equal rows of deliveries made twice fall together below
     known = disclosures(scan.where("term is not null").select("term", "inside", "total"))
     terms = found.where("pii_type = 'name'").select(*place, "slot", F.explode_outer("terms").alias("term"))
-    judged = terms.join(known, "term", "left").groupBy(*place).agg(F.max("slot").alias("slot"), F.max(F.coalesce(F.when(F.col("bits") >= min_bits, F.col("share")), F.lit(0.0))).alias("most"), F.min(F.coalesce("share", F.lit(0.0))).alias("least"))
+    judged = dimension_join(terms, known.withColumnRenamed("term", "_term"), F.col("term") == F.col("_term")).groupBy(*place).agg(F.max("slot").alias("slot"), F.max(F.coalesce(F.when(F.col("bits") >= min_bits, F.col("share")), F.lit(0.0))).alias("most"), F.min(F.coalesce("share", F.lit(0.0))).alias("least"))
     kept = judged.where((F.col("slot") & (F.col("most") >= min_share)) | (~F.col("slot") & (F.col("least") >= run_share)))
     return found.where("pii_type <> 'name'").select(*place, "pii_type").distinct().unionByName(kept.select(*place, F.lit("name").alias("pii_type")))
 
