@@ -67,8 +67,10 @@ def _of_kind(kind: str, extra: str = ""):
     sql = f"WITH {INPUT_WORDS}, {_SHAPES} SELECT core, number, unit, count(*) AS occurrences FROM words JOIN shapes USING (word) WHERE kind IN ({kind}) GROUP BY ALL"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        s = clean_words(spark, d).select(shape(F.col("word")).alias("s")).select("s.*")
-        return s.where(f"kind in ({kind})").groupBy("core", "number", "unit").agg(F.count("*").alias("occurrences"))
+        # shapes are found once per distinct word, and counts added up
+        counts = clean_words(spark, d).groupBy("word").agg(F.count("*").alias("n"))
+        s = counts.select("n", F.inline(F.array(shape(F.col("word")))))
+        return s.where(f"kind in ({kind})").groupBy("core", "number", "unit").agg(F.sum("n").alias("occurrences"))
 
     return run, sql
 
