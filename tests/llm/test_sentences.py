@@ -61,6 +61,13 @@ def test_units_cover_every_visible_character_once(text):
     assert all(not text[a].isspace() and not text[b - 1].isspace() for a, b in got)
 
 
+@pytest.mark.parametrize("units", [["He said no.", "Nobody came back."], ["We saw the sun.", "They sat.", "Nobody moved."], ["This is art.", "Museums know it."], ["Passport no. QQ 31 70 B and fig. IV were refused.", "See No. 9.", "We met on Sat. June 5."], ["Dr. Will came in Sept. 2023.", "We left on Sun.", "They stayed."]])
+@pytest.mark.parametrize("gap", [" ", "\n"])
+def test_dots_behind_plain_words_are_read_by_the_best_path(units, gap):
+    text = gap.join(units)
+    assert [text[a:b] for a, b in sentences(text)] == units
+
+
 def test_operator(spark):
     long = "This is one. " * 4000
     rows = [(1, "One two. Three four.", "x"), (1, "One two. Three four.", "x"), (2, None, "x"), (3, " \n ", "x"), (4, long, "x")]

@@ -2,8 +2,9 @@
 
 Method: scripts without spaces are segmented by a lattice of dictionary words; their gaps (line ends, spaces) are then
 classified by the last word before the gap, a final particle or one that needs more to follow, and the opening word
-behind it. For spaced scripts every terminator is a node of a lattice that carries what stands before and behind it:
-abbreviations that never or seldom end a sentence, ordinals, initials, quotations and brackets that are open.
+behind it. For spaced scripts every dot that is not settled by what surrounds it is a node of a lattice with three
+readings, end, abbreviation and ordinal, scored by what stands before and behind it; the best path through a run of
+dots decides. Other stops, quotations and brackets that are open settle themselves, as do stops of spaceless scripts.
 
 The rules run on the consistent form of the text (see ``canonical``); places refer to the original. Texts are scanned
 where they lie; only the places found are shuffled, so that deliveries made twice count once.
@@ -33,6 +34,11 @@ NEVER = set(
     см стр г-н г-жа т.е ул д-р им рис гл п тел κ κα κος δρ αρ σελ π.χ डॉ श्री د أ م""".split()
 )
 MAYBE = set("""etc inc ltd co corp bros jr a.m p.m u.n u.s u.k e.u usw u.s.w gmbh s.a s.l s.a.s s.r.l etc ave rd blvd т.д т.п д г гг руб коп тыс κ.λπ κ.ά λπ δηλ mio mrd""".split())
+#: Of NEVER, those that are words or stand at a sentence's end as well, and those of them that need a number behind.
+PLAIN = set("""no nos sun sat mon mar fig art vol cap est dept apt ft jan feb apr jun jul aug sep sept oct nov dec tue tues wed thu thur thurs fri рис им""".split())
+NUMBERED = set("no nos fig art vol cap рис".split())
+#: Of PLAIN, those that are abbreviations only with a capital.
+CAPITALISED = set("sun sat mon mar".split())
 CLOSINGS = re.compile(
     r"(?i)(kind|best|warm|many)? ?regards|yours( (sincerely|faithfully|truly))?|sincerely( yours)?|many thanks|thanks|thank you|cheers|mit freundlichen grüßen|mit freundlichem gruß|viele grüße|beste grüße|hochachtungsvoll|cordialement|bien à vous|salutations( distinguées)?|un cordial saludo|saludos( cordiales)?|atentamente|un saludo|с уважением|с наилучшими пожеланиями|με εκτίμηση|με φιλικούς χαιρετισμούς|مع التحية|مع خالص التحية|सादर|धन्यवाद|敬具|此致|敬礼|以上"
 )
@@ -97,6 +103,11 @@ _OPENING, _CLOSING = "«“„‘(「『（【《〈[{", "»”“’)」』）
 _PAIRS = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "«": "»", "„": "“”", "“": "”", "【": "】", "《": "》", "‹": "›"}
 _STOPS = re.compile(r"[.!?…。！？।॥؟．;]+")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
+#: A dot with a word behind it, and what ends a run of such dots: another stop, a line end, a mark that closes.
+_DOT = re.compile(r"(?<![.!?])\.[ \t]+([^\s,;:)—–]\S*)")
+_SETTLED = re.compile(r"[!?…。！？।॥؟．;\n]|\.[»”“’)\]}\"']")
+# The score of a reading that one rule settles, and what an end right behind an end costs.
+FIRM, SHORT = 8.0, 0.5
 
 
 def _spaceless_goes_on(before: str, behind: str) -> bool:
@@ -137,7 +148,7 @@ def _quoted(text: str) -> tuple[list[int], list[int]]:
     return depth, opened
 
 
-def _ends(text: str, i: int, j: int, begun: int, depth: list[int], opened: list[int]) -> int:
+def _ends(text: str, i: int, j: int, begun: int, depth: list[int], opened: list[int], read: dict[int, bool]) -> int:
     """The end of the sentence whose stop is text[i:j], or 0 if it goes on."""
     stop = text[i:j]
     n = len(text)
@@ -163,7 +174,7 @@ def _ends(text: str, i: int, j: int, begun: int, depth: list[int], opened: list[
         rest = text[m:].lstrip()
         if closed or _BLANK.match(text, m) or not rest:
             return k
-        return 0 if _abbreviated(text, i, rest[0], rest.split()[0], begun) else k
+        return 0 if _abbreviated(text, i, rest[0], rest.split()[0], begun, read) else k
     behind = text[m]
     if closed:
         # a quotation or bracket in a running sentence, or one that is followed by who said it
@@ -203,42 +214,83 @@ def _ends(text: str, i: int, j: int, begun: int, depth: list[int], opened: list[
     b = m
     while b < n and not text[b].isspace():
         b += 1
-    return 0 if _abbreviated(text, i, behind, text[m:b], begun) else k
+    return 0 if _abbreviated(text, i, behind, text[m:b], begun, read) else k
 
 
 def _cased(c: str) -> bool:
     return c.islower() or c.isupper()
 
 
-def _abbreviated(text: str, i: int, behind: str, next_word: str, begun: int) -> bool:
-    """Whether the dot at i is part of an abbreviation, ordinal or initial, so that the sentence goes on."""
+def _scores(text: str, i: int, behind: str, next_word: str, begun: int) -> tuple[float, float, float]:
+    """How well the dot at i reads as an end, as part of an abbreviation or initial, and as an ordinal's."""
     a = i
     while a > begun and not text[a - 1].isspace() and text[a - 1] not in "(«“„\"'’,/[":
         a -= 1
     word = text[a:i]
     low = word.lower()
     before = text[begun:a].split()
-    opener = next_word.strip("«“„\"(¿¡.,:;!?»”)'") in OPENERS
+    bare = next_word.strip("«“„\"(¿¡.,:;!?»”)'")
+    opener = bare in OPENERS
     spaced = (before[-1].lower() + low) if before and before[-1].endswith(".") else ""
+    end, abbreviation, ordinal = (FIRM, 0.0, 0.0), (0.0, FIRM, 0.0), (0.0, 0.0, FIRM)
+    if low in PLAIN and spaced not in NEVER:
+        if not behind.isupper() and not opener:
+            return abbreviation
+        weight = 4.0 if opener else 0.0
+        if low in NUMBERED and not any(c.isdigit() for c in bare) and (word.isupper() or not bare.isupper()):  # capitals are a number or begin one
+            weight += 4.0
+        if low in CAPITALISED and word.islower():
+            weight += 4.0
+        if before and before[-1].lower() in OPEN_ENDED and low in ("sun", "art", "fig"):
+            weight += 2.0
+        return weight, 3.0, 0.0
     if low in NEVER or spaced in NEVER:
-        # "No." and the like end a sentence only as its only words
-        return True
+        return abbreviation
     if low in MAYBE or spaced in MAYBE:
         if behind.islower() or behind.isdigit():
-            return True
+            return abbreviation
         if low in ("ave", "rd", "blvd", "co", "st") and not opener:
-            return True
-        return next_word.rstrip(".,").lower() in MAYBE
+            return abbreviation
+        return abbreviation if next_word.rstrip(".,").lower() in MAYBE else end
     if len(word) == 1 and word.isalpha():
-        return behind.islower() or not opener or word.isupper()
+        return abbreviation if behind.islower() or not opener or word.isupper() else end
     if word.isdigit() and len(word) <= 3 and before:
         if before[-1].lower() in ORDINAL_BEFORE and (behind.isalpha() or behind.isdigit()):
-            return not (opener and before[-1].lower() in ("und", "bis"))
+            return end if opener and before[-1].lower() in ("und", "bis") else ordinal
         if behind.islower():
-            return len(word) <= 2
+            return ordinal if len(word) <= 2 else end
     if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
-        return behind.islower() or not opener
-    return False
+        return abbreviation if behind.islower() or not opener else end
+    return end
+
+
+def _abbreviated(text: str, i: int, behind: str, next_word: str, begun: int, read: dict[int, bool]) -> bool:
+    """Whether the dot at i is part of an abbreviation, ordinal or initial, so that the sentence goes on.
+
+    The dots from i to the next stop that settles itself are read together, each by the best path through their
+    readings; whether the one before is an end decides what stands before the next. read keeps what was found.
+    """
+    if i in read:
+        return read[i]
+    nodes = [(i, behind, next_word)]
+    hard = _SETTLED.search(text, i + 1)
+    stop = hard.start() if hard else len(text)
+    nodes += [(m.start(), m[1][0], m[1]) for m in _DOT.finditer(text, i + 1, stop)]
+    paths: list[list[tuple[float, int]]] = []
+    for k, (at, first, word) in enumerate(nodes):
+        if not k:
+            paths.append([(v, -1) for v in _scores(text, at, first, word, begun)])
+            continue
+        last = nodes[k - 1][0]
+        fresh, on = _scores(text, at, first, word, last + 1), _scores(text, at, first, word, begun)
+        short = SHORT if at - last <= 4 else 0.0
+        paths.append([max((paths[-1][p][0] + (fresh if p == 0 else on)[r] - (short if p == r == 0 else 0.0), -p) for p in range(3)) for r in range(3)])
+        paths[-1] = [(v, -p) for v, p in paths[-1]]
+    r = max(range(3), key=lambda x: (paths[-1][x][0], -x))
+    for k in range(len(nodes) - 1, -1, -1):
+        read[nodes[k][0]] = r != 0
+        r = paths[k][r][1]
+    return read[i]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -249,6 +301,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     n = len(form)
     depth, opened = _quoted(form)
     out: list[tuple[int, int]] = []
+    read: dict[int, bool] = {}
     begun = 0
 
     def close(stop: int) -> None:
@@ -291,7 +344,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 close(i)
         elif c in ".!?…。！？।॥؟．;":
             j = _STOPS.match(form, i).end()
-            e = _ends(form, i, j, begun, depth, opened)
+            e = _ends(form, i, j, begun, depth, opened, read)
             if e:
                 close(e)
                 i = e
