@@ -20,15 +20,27 @@ def scanner():
 
 
 @pytest.mark.parametrize("text, kind", CASES)
-def test_base_score(scanner, text, kind):
-    base = scanner.features(text)[:, 0]
-    assert [k for k in M.KINDS if base[KIND[k]] > 0] == ([kind] if kind else [])
+def test_dense_features(scanner, text, kind):
+    """What is aimed at someone shows in the features of its kind; what only speaks of it shows as reported, or nowhere."""
+    x = scanner.features(text)
+    names = {f: i for i, f in enumerate(M.FEATURES)}
+    aimed = ("near_address", "near_adjective", "near_group", "adjective_near_group", "phrases", "phrase_near_address", "open_terms", "open_adjectives")
+    if kind:
+        assert any(x[KIND[kind], names[f]] > 0 for f in aimed)
+    if not text:
+        assert not x[:, names["terms_rate"]].any() and not x[:, names["learnt_rate"]].any()
+
+
+def test_obfuscation_and_loudness(scanner):
+    names = {f: i for i, f in enumerate(M.FEATURES)}
+    plain, hidden, loud = (scanner.features(t)[0] for t in ("You are a moron.", "You are a m0r*n!", "YOU ARE A MORON!"))
+    assert plain[names["obfuscated"]] == 0 and hidden[names["obfuscated"]] > 0 and plain[names["terms_rate"]] == hidden[names["terms_rate"]]
+    assert loud[names["loud_terms"]] == 1 and loud[names["capitals_rate"]] > plain[names["capitals_rate"]] and hidden[names["exclaims_rate"]] > 0
 
 
 def test_trees_learn_and_calibration_is_monotone():
     rng = np.random.default_rng(1)
     x = np.zeros((2000, len(M.FEATURES)))
-    x[:, 0] = -1
     x[:, 3], x[:, 5] = rng.random(2000), rng.random(2000)
     true = (x[:, 3] > 0.6) & (x[:, 5] < 0.5)
     y = (true ^ (rng.random(2000) < 0.05)).astype(float)
@@ -49,6 +61,19 @@ def test_fit_and_score(spark):
     assert {r["doc_id"] for r in scores if r["abusive"] >= 0.5} == {i for i in range(80) if i % 4 == 0}
     assert all(r["sexual"] < 0.5 and r["hateful"] < 0.5 for r in scores)
     none = labels.limit(0)
-    assert {r["doc_id"] for r in M.score(d, M.fit(d, none)).collect() if r["abusive"] >= 0.5} == {i for i in range(80) if i % 4 == 0}
+    assert all(r[k] is None for r in M.score(d, M.fit(d, none)).collect() for k in M.KINDS)
     assert M.score(d.limit(0), M.fit(d, none)).count() == 0
-    assert all(len(m.trees) >= 0 for m in M.fit(d, labels, max_labels=5))
+    assert M.fit(d, labels, max_labels=5).boosted[0] is not None
+
+
+def test_the_learnt_lexicon_and_trees_decide(spark):
+    """Words that no list holds are learnt from labels, and the same term is judged by its neighbourhood."""
+    bad, good = "You are a weasel and a snollygoster.", "The weasel is a small animal of the woods."
+    rows = [(i, "We go on. " * (i // 2 % 7) + (bad if i % 2 else good)) for i in range(200)] + [(1000, "You are a weasel and a snollygoster, they say."), (1001, "A weasel of the woods.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, "abusive" if i % 2 else None) for i in range(160)], "doc_id long, flagged int, kind string")
+    m = M.fit(d, labels)
+    assert m.boosted[0].trees and "snollygoster" in m.learnt[0]
+    got = {r["doc_id"]: r["abusive"] for r in M.score(d, m).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in range(160, 200)) and got[1000] >= 0.5 > got[1001]
+    assert all(r["hateful"] is None or r["hateful"] < 0.5 for r in M.score(d, m).collect())

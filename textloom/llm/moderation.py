@@ -1,24 +1,27 @@
 """Abusive, hateful or sexual content: a calibrated score per document and kind.
 
-Method: gradient-boosted trees over dense features - lexicon densities, nearness of the second person, capitals,
-punctuation and obfuscation rates - with isotonic calibration. The trees start from a base score, a fixed weighing
-of the same features, so that few labels only correct it; calibration is steadied by a few pseudo-observations.
+Method: gradient-boosted trees over dense features - lexicon densities, nearness of the second person and of groups,
+capitals, punctuation and obfuscation rates - with isotonic calibration. The trees start from nothing but the share of
+flagged opinions; what a combination of features means they learn from the labels.
 
 One pass over the text finds lexicon terms with an automaton (leet digits mapped back, single stars, stretched and
-spaced-out letters undone); only passages around a term are looked at closer. The features of a document and kind are
-those of its strongest passage, and rates over the whole text. Texts are scanned where they lie: no shuffle.
+spaced-out letters undone); only passages around a term are looked at closer. Two lexicons are used: lists of words and
+phrases of general use, and a learnt one, the log-odds of words and pairs of words near such terms in labelled documents
+(for the training of the trees they are counted without the document's own fold). Texts are scanned where they lie: no
+shuffle.
 
 The model is fitted on a sample of labelled documents of at most ``max_labels`` documents (those with the smallest
-hash of their id; a documented bound); every document is scored. The sample of ids, its features and the model are of
-bounded size and are all that is collected or broadcast.
+hash of their id; a documented bound); every document is scored. The sample of ids, its features, the learnt lexicon
+and the model are of bounded size and are all that is collected or broadcast.
 
 Defined results: null and empty texts have the score of a text without any term; null opinions are no opinions;
-opinions on unknown documents are ignored; without labels the base score is used; repeated rows are scored each;
-an empty table gives an empty result; further columns are ignored.
+opinions on unknown documents are ignored; without opinions on a kind there is nothing to learn from and its scores are
+null; repeated rows are scored each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,38 +31,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.session import ensure_checkpoint_dir
+
 KINDS = ("abusive", "hateful", "sexual")
 
-# Lexicons, our own. Single words, lower case.
-INSULTS = """idiot imbecile cretin moron halfwit dimwit nitwit twit dunce blockhead numbskull dolt liar swine scum maggot weasel parasite hag leech worm
+# Lexicons, our own, of general use. Lower case.
+INSULTS = """idiot imbecile cretin moron halfwit dimwit nitwit twit twat dunce blockhead numbskull dolt liar swine scum maggot weasel parasite hag leech worm
 toad coward crook buffoon scoundrel bastard bitch whore slut jerk loser filth scumbag sleazebag dirtbag lowlife arsehole asshole wanker prick dickhead bollocks rat pig snake clown fool
 imbécile crétin abruti porc menteur menteuse ordure idiote connard connasse salaud salope raclure débile minable pourriture fumier lâche canaille bouffon escroc enfoiré crapule
 drecksack abschaum lügner trottel schwein dummkopf schwachkopf arschloch mistkerl vollidiot depp lump schuft halunke versager feigling dreckskerl miststück schlampe hure wichser penner idioten
 imbécil cretino basura mentiroso mentirosa payaso cerdo idiota canalla gusano estúpido sinvergüenza desgraciado cobarde gilipollas cabrón puta zorra escoria capullo embustero""".split()
-SLURS = """pathetic stinking spineless brainless worthless filthy disgusting miserable gutless rotten slimy lousy dirty sale pathétique répugnant immonde mieser miese mieses dreckiger dreckigen dreckige dreckiges widerlicher elender
+ADJECTIVES = """pathetic stinking spineless brainless worthless filthy disgusting miserable gutless rotten slimy lousy dirty stupid sale sales pathétique répugnant immonde mieser miese mieses dreckiger dreckigen dreckige dreckiges widerlicher elender
 asqueroso asquerosa sucio sucia repugnante inmundo patético""".split()
 ADDRESS = """you your yours yourself thou ye u vous votre vos tu toi ton ta tes t sie ihnen ihr ihre ihren du dich dir dein deine deinen euch euer usted ustedes ti tú vosotros vous-même""".split()
-SILENCERS = ["shut your", "shut up", "get lost", "go to hell", "sit down, you", "fermez-la", "ferme-la", "la ferme", "ta gueule", "espèce de", "espèces de", "das maul", "den mund halten", "halt die klappe", "halt's maul", "cállese", "cállate", "pedazo de", "cierra la boca", "should crawl", "crawl back", "like you would", "make me sick", "makes me sick", "choke on"]
-THREATS = ["break your", "break his", "break her", "where you live", "make you sorry", "make you pay", "kill you", "shoot you", "hang you", "beat you", "burn your house", "smash your", "wring your neck", "cut your throat", "watch your back", "you will regret", "casser les", "casser la gueule", "briser les os", "vous tuer", "te tuer", "où vous habitez", "où tu habites", "égorger", "knochen brechen", "die beine brechen", "umbringen", "wo du wohnst", "wo sie wohnen", "die fresse", "aufhängen", "romperle", "romperte", "partirle", "partirte", "matarle", "matarte", "dónde vive", "dónde vives", "lo pagará"]
-GROUPS = """women woman girls cripple cripples foreigners foreigner immigrants immigrant migrants refugees gypsies gays homosexuals lesbians blacks jews muslims christians disabled pensioners natives tribe folk people community families quarter oskeni ostravelli quellish velmari tarnfolk maroshi
+SILENCING = ["shut your", "shut up", "get lost", "go to hell", "drop dead", "fermez-la", "ferme-la", "la ferme", "ta gueule", "espèce de", "espèces de", "das maul", "den mund halten", "halt die klappe", "halt's maul", "cállese", "cállate", "pedazo de", "cierra la boca"]
+THREATS = ["break your", "break his", "break her", "hurt you", "find you", "where you live", "make you sorry", "make you pay", "kill you", "shoot you", "hang you", "beat you", "burn your house", "smash your", "cut your throat", "watch your back", "you will regret", "casser les", "casser la gueule", "briser les os", "vous tuer", "te tuer", "où vous habitez", "où tu habites", "égorger", "knochen brechen", "die beine brechen", "umbringen", "wo du wohnst", "wo sie wohnen", "die fresse", "aufhängen", "romperle", "romperte", "partirle", "partirte", "matarle", "matarte", "dónde vive", "dónde vives", "lo pagará"]
+GROUPS = """women woman girls cripple cripples foreigners foreigner immigrants immigrant migrants refugees gypsies gays homosexuals lesbians blacks jews muslims christians disabled pensioners natives tribe folk people community families
 femmes étrangers immigrés réfugiés handicapés frauen ausländer flüchtlinge behinderte krüppel zuwanderer mujeres extranjeros inmigrantes refugiados inválidos gitanos""".split()
-DEMEANING = ["vermin", "are rats", "like rats", "subhuman", "not human", "not human beings", "are animals", "like animals", "cockroaches", "thieves by blood", "by blood", "breed like", "driven out", "drive them out", "send them back", "send every", "burn down the", "burn them", "too stupid", "belong at the", "belong in the kitchen", "no business on", "all a burden", "are a burden", "never trust a", "next door", "every last", "go back to", "wipe them out", "get rid of them", "not welcome", "are a plague", "inferior",
-    "de la vermine", "sont des rats", "voleur de naissance", "voleurs de naissance", "faut les chasser", "à sa porte", "ungeziefer", "untermenschen", "verjagt", "gehören vertrieben", "von geburt an", "als nachbarn", "raus mit", "alimañas", "echarlos", "ladrón de nacimiento", "ladrones de nacimiento", "de vecino", "son ratas", "fuera los"]
-SEXUAL = """sex sexual sexually naked nude nudes tits boobs breasts cock dick pussy blowjob orgasm erection horny porn porno rape raped raping grope groped groping fondled moaned penis vagina undress
-sexe nu nue seins baise baiser bite chatte nichons sexo desnudo desnuda tetas polla coño follar nackt nackte titten ficken schwanz fotze muschi""".split()
-EXPLICIT = ["had sex with", "have sex with", "having sex with", "sex with me", "strip naked", "get naked", "your clothes off", "clothes off", "on your knees for", "spread her legs", "spread your legs", "spread their legs", "into his bed", "into my bed", "in my bed", "show us your", "naked body", "moaned about", "under her skirt", "sleep with me", "suck my", "groped her", "groped him", "groped me", "touched her breasts", "warm my bed",
-    "déshabille-toi", "déshabillez-vous", "dans mon lit", "dans son lit", "couché nu", "couché avec", "coucher avec moi", "à genoux devant moi", "zieh dich aus", "ziehen sie sich aus", "in mein bett", "ins bett", "hatte sex", "sex mit", "quítate la ropa", "quítese la ropa", "a mi cama", "en mi cama", "tenido sexo", "sexo con", "acostarse conmigo", "abre las piernas", "écarte les jambes", "mach die beine breit"]
+DEMEANING = """vermin rats cockroaches lice subhuman subhumans savages animals parasites plague inferior degenerates criminals thieves thief burden infest swarm deport
+vermine cafards sauvages animaux parasites fléau inférieurs voleur voleurs fardeau ungeziefer untermenschen ratten parasiten schmarotzer kakerlaken dieb diebe verbrecher plage
+alimañas ratas cucarachas salvajes animales parásitos plaga ladrón ladrones carga""".split()
+EXPELLING = ["driven out", "drive them out", "drive out", "send them back", "send them home", "go back to", "get rid of", "wipe out", "wipe them out", "burn down", "burn them", "kill all", "not welcome", "not human", "keep them out", "breed like", "les chasser", "dehors les", "renvoyer chez", "raus mit", "vertrieben", "verjagt", "rauswerfen", "fuera los", "echarlos", "expulsarlos"]
+SEXUAL = """sex sexual sexually naked nude nudes tits boobs breasts cock dick pussy blowjob orgasm erection horny porn porno rape raped raping grope groped groping fondled moaned penis vagina undress bed lap knees
+sexe nu nue seins baise baiser bite chatte nichons lit genoux sexo desnudo desnuda tetas polla coño follar cama rodillas nackt nackte titten ficken schwanz fotze muschi bett knien""".split()
+EXPLICIT = ["had sex", "have sex", "having sex", "sex with", "strip naked", "get naked", "clothes off", "on your knees", "spread her legs", "spread your legs", "show us your", "naked body", "under her skirt", "sleep with me", "suck my", "groped her", "groped him", "groped me", "touched her",
+    "déshabille-toi", "déshabillez-vous", "couché avec", "coucher avec", "zieh dich aus", "ziehen sie sich aus", "hatte sex", "sex mit", "quítate la ropa", "quítese la ropa", "sexo con", "acostarse con", "abre las piernas", "écarte les jambes", "mach die beine breit"]
 #: Speaking about such language or matters.
-REPORTED = ["the word", "the words", "unparliamentary", "withdrawn", "withdraw it", "withdraw that", "le mot", "les mots", "retirez", "das wort", "rüge", "la palabra", "retirarse", "del acta", "offence", "incite", "incitement", "hatred against", "hate speech", "hetze", "strafbar", "la haine contre", "délit", "el odio contra", "delito", "were treated", "treated like", "disgrace", "survivors", "victims", "victim of", "evidence on", "education", "health", "services", "a court", "falls under", "the act", "registered", "fever", "breeding", "farms", "pest control", "control in", "flames", "peste", "the term", "called me", "the expression", "condemn", "prohibits", "prohibited", "forbids", "forbidden", "prevention", "schweinepest", "opfer", "victimes", "víctimas"]
+REPORTED = ["the word", "unparliamentary", "withdraw", "le mot", "les mots", "retirez", "retirer", "das wort", "zurückziehen", "la palabra", "retire", "offence", "incite", "hatred", "hate speech", "hetze", "hass", "strafbar", "la haine", "délit", "el odio", "delito", "treated like", "survivors", "victim", "evidence", "education", "health", "a court", "the term", "called me", "the expression", "condemn", "prohibit", "forbid", "prevention", "opfer", "victime", "víctima"]
 
+_REPORTED = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, REPORTED)) + ")")
 _LEET = str.maketrans("0134579@$", "oieaszgas")
-_LEET_ALT = str.maketrans("0134578@$", "oieastbas")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_][^\W\d_]){3,}(?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüéèêàáíóúñçß"
 _ENDS = ("", "s", "es", "e", "n", "en", "in", "r", "er", "x")
 
-FEATURES = ("base", "terms", "near_address", "slur_near", "address", "silencer", "threat", "group", "demeaning", "explicit", "reported", "capital", "obfuscated", "exclaims", "bracketed", "density", "capitals_rate", "exclaim_rate", "obfuscation_rate", "log_words")
+#: What is counted on its own for each kind: its terms and its phrases.
+_TERMS = {"abusive": "insult", "hateful": "demeaning", "sexual": "sexual"}
+_PHRASES = {"abusive": ("silencing", "threat"), "hateful": ("expelling",), "sexual": ("explicit",)}
+FEATURES = ("terms_rate", "phrases_rate", "near_address", "near_adjective", "near_group", "adjective_near_group", "phrases", "phrase_near_address", "phrase_near_group", "open_terms", "open_adjectives", "reported", "learnt", "learnt_rate", "loud_terms", "capitals_near", "exclaims_near", "obfuscated", "bracketed", "capitals_rate", "exclaims_rate", "obfuscation_rate", "log_words")
+#: A learnt term needs so many labelled documents; its log-odds are smoothed by half an opinion and cut at either end.
+LEARNT_DOCS, LEARNT_CUT = 4, 3.0
+#: An opinion names one kind only; against the others it weighs so much of an opinion that names none.
+OTHER_KIND = 0.1
+#: Parts of the labelled documents that the learnt lexicon is counted in.
+FOLDS = 5
 
 
 def _automaton():
@@ -73,7 +89,7 @@ def _automaton():
             if len(w) > 3:
                 for i in range(len(w)):
                     entries.setdefault(w[:i] + "*" + w[i + 1 :], set()).add(tag)
-    for tag, phrases in (("threat", THREATS), ("demeaning", DEMEANING), ("explicit", EXPLICIT), ("silencer", SILENCERS)):
+    for tag, phrases in (("adjective", ADJECTIVES), ("demeaning", DEMEANING), ("expelling", EXPELLING), ("threat", THREATS), ("explicit", EXPLICIT), ("silencing", SILENCING)):
         for p in phrases:
             entries.setdefault(p, set()).add(tag)
     for c in _LETTERS:
@@ -84,26 +100,47 @@ def _automaton():
     return a
 
 
+def _near(a: list[int], b: list[int]) -> float:
+    """1 for neighbours and less the more words lie between; 0 if either is missing."""
+    return max((1 / max(1, abs(i - j)) for i in a for j in b), default=0.0)
+
+
 class Scanner:
-    """Finds the passages of a text that hold lexicon terms, and their features."""
+    """Finds the passages of a text that hold lexicon terms, and their features.
 
-    def __init__(self):
+    learnt: the learnt lexicon, term to opinions by kind, clean ones last, and their sums; both per fold. fold: one that
+    is left out.
+    """
+
+    def __init__(self, learnt: tuple[dict[str, np.ndarray], np.ndarray] | None = None, fold: int | None = None):
         self.automaton = _automaton()
-        self.insults, self.slurs, self.address, self.groups = set(INSULTS), set(SLURS), set(ADDRESS), set(GROUPS)
+        self.adjectives, self.address, self.groups = set(ADJECTIVES), set(ADDRESS), set(GROUPS)
         self.lexicon = {w: "insult" for w in INSULTS} | {w: "sexual" for w in SEXUAL}
         self.collapsed = {re.sub(r"(.)\1+", r"\1", w): t for w, t in self.lexicon.items()}
+        counts, sums = learnt or ({}, np.zeros((FOLDS, len(KINDS) + 1)))
+        kept = [i for i in range(FOLDS) if i != fold]
+        sums = sums[kept].sum(axis=0)
+        folded = {t: c[kept].sum(axis=0) for t, c in counts.items()}
+        self.odds = {t: tuple(self._odds(c, sums, k) for k in range(len(KINDS))) for t, c in folded.items() if c.sum() >= LEARNT_DOCS}
+
+    @staticmethod
+    def _odds(counts: np.ndarray, sums: np.ndarray, k: int) -> float:
+        yes = (counts[k] + 0.5) / (sums[k] + 1)
+        no = (OTHER_KIND * (counts[:-1].sum() - counts[k]) + counts[-1] + 0.5) / (OTHER_KIND * (sums[:-1].sum() - sums[k]) + sums[-1] + 1)
+        return max(-LEARNT_CUT, min(LEARNT_CUT, math.log(yes / no)))
 
     def hits(self, low: str) -> list[tuple[int, int, str, bool]]:
         """Start, end, tag and whether it was obfuscated, of every term."""
         out = []
         plain = low.translate(_LEET)
-        for end, (key, tags) in self.automaton.iter(plain):
-            start, end = end - len(key) + 1, end + 1
+        n = len(plain)
+        for last, (key, tags) in self.automaton.iter(plain):
+            start, end = last - len(key) + 1, last + 1
             if tags == ("stretched",):
                 a, b = start, end
                 while a and low[a - 1].isalnum():
                     a -= 1
-                while b < len(low) and low[b].isalnum():
+                while b < n and low[b].isalnum():
                     b += 1
                 tag = self.collapsed.get(re.sub(r"(.)\1+", r"\1", plain[a:b]))
                 if tag:
@@ -113,13 +150,13 @@ class Scanner:
             if before.isalnum() or before == "*":
                 continue
             b = end
-            while b < len(plain) and (plain[b].isalnum() or plain[b] == "*") and b - end < 3:
+            while b < n and (plain[b].isalnum() or plain[b] == "*") and b - end < 3:
                 b += 1
             tail = plain[end:b]
-            if tail and (tail not in _ENDS or len(key) < 5 or (b < len(plain) and plain[b].isalnum())):
+            if tail and (tail not in _ENDS or len(key) < 5 or (b < n and plain[b].isalnum())):
                 continue
             same = low[start:end] == key and "*" not in key
-            out.extend((start, b, tag, not same) for tag in tags)
+            out.extend((start, b, tag, not same) for tag in tags if same or tag in ("insult", "sexual"))
         for m in _SPACED.finditer(low):
             joined = re.sub(r"[ .\-_]", "", m[0])
             for k in range(min(3, len(joined) - 3)):
@@ -128,12 +165,12 @@ class Scanner:
                     break
         return out
 
-    def passages(self, text: str, low: str, hits: list) -> dict[tuple[int, int], list]:
+    def passages(self, low: str, hits: list) -> dict[tuple[int, int], list]:
         """The hits by passage: a sentence or a remark in brackets."""
         out: dict[tuple[int, int], list] = {}
         for h in sorted(hits):
             a, b = h[0], h[1]
-            while a and not (low[a - 1] in "\n[]()" or (low[a - 1] in " " and a > 1 and low[a - 2] in ".!?" and not (a > 2 and a - 3 >= 0 and not low[a - 3].isalnum()) and not low[max(0, a - 4)] == ".")):
+            while a and not (low[a - 1] in "\n[]()" or (low[a - 1] in " " and a > 1 and low[a - 2] in ".!?" and not (a > 2 and not low[a - 3].isalnum()) and not low[max(0, a - 4)] == ".")):
                 a -= 1
             n = len(low)
             while b < n and not (low[b] in "\n[]()" or (low[b] in ".!?" and (b + 1 == n or low[b + 1] in " \n)]"))):
@@ -141,103 +178,140 @@ class Scanner:
             out.setdefault((a, min(n, b + 1)), []).append(h)
         return out
 
-    def features(self, text: str | None) -> np.ndarray:
-        """A row of features for each kind."""
+    def context(self, words: list[str], own: list[tuple[int, int, str, bool]], at: list[int]) -> set[str]:
+        """The words and pairs of words of a passage, with obfuscated terms by their tag."""
+        hidden = {i for h, i in zip(own, at, strict=True) if h[3]}
+        plain = ["<hidden>" if i in hidden else w for i, w in enumerate(words)]
+        return {*plain, *map(" ".join, zip(plain, plain[1:], strict=False))}
+
+    def parts(self, text: str | None) -> tuple[str, str, list, Iterator]:
+        """The text, its lower case, all hits, and each passage with its words and the words that hits stand at."""
         text = text or ""
         low = text.lower()
         if len(low) != len(text):
             text = low
+        hits = self.hits(low)
+
+        def each():
+            for (a, b), own in self.passages(low, hits).items():
+                tokens = [(m.start() + a, m[0]) for m in _TOKEN.finditer(low[a:b])]
+                at = [max(0, sum(p <= h[0] for p, _ in tokens) - 1) for h in own]
+                yield a, b, own, tokens, at
+
+        return text, low, hits, each()
+
+    def terms(self, text: str | None) -> set[str]:
+        """What the learnt lexicon counts once per document."""
+        return set().union(*(self.context([w for _, w in tokens], own, at) for _, _, own, tokens, at in self.parts(text)[3]))
+
+    def features(self, text: str | None) -> np.ndarray:
+        """A row of features for each kind."""
+        text, low, hits, each = self.parts(text)
         n_words = low.count(" ") + low.count("\n") + 1
         out = np.zeros((len(KINDS), len(FEATURES)))
-        best = [-9.0] * len(KINDS)
-        hits = self.hits(low)
-        obfuscated = sum(h[3] for h in hits)
-        for (a, b), own in self.passages(text, low, hits).items() if hits else ():
+        out[:, 12] = -9.0
+        counts = {tag: 0 for tag in ("insult", "sexual", "demeaning", "expelling", "threat", "explicit", "silencing", "adjective")}
+        for h in hits:
+            counts[h[2]] += 1
+        for a, b, own, tokens, at in each:
             part, raw = low[a:b], text[a:b]
-            tokens = [(m.start() + a, m[0]) for m in _TOKEN.finditer(part)]
             words = [t for _, t in tokens]
-            position = {p: i for i, (p, _) in enumerate(tokens)}
-            spots = [i for i, t in enumerate(words) if t in self.address or t.split("-")[-1] in ("vous", "toi")]
-            slurs = [i for i, t in enumerate(words) if t in self.slurs]
-            groups = [i for i, t in enumerate(words) if t in self.groups] + [i for i, (p, t) in enumerate(tokens) if i and len(t) > 3 and text[p].isupper() and (t.endswith(("i", "ish", "folk", "ians", "ese", "er", "s")))]
-            at = {k: [h for h in own if h[2] == k] for k in ("insult", "sexual", "threat", "demeaning", "explicit", "silencer")}
-            reported = sum(r in part for r in REPORTED)
+            address = [i for i, t in enumerate(words) if t in self.address or t.split("-")[-1] in ("vous", "toi")]
+            groups = [i for i, (p, t) in enumerate(tokens) if t in self.groups or (i and len(t) > 3 and text[p].isupper() and t.endswith(("i", "ish", "folk", "ians", "ese", "er", "s")))]
+            spots: dict[str, list[int]] = {}
+            for h, i in zip(own, at, strict=True):
+                spots.setdefault(h[2], []).append(i)
+            adjectives = spots.get("adjective", [])
+            reported = bool(_REPORTED.search(part))
             bracketed = float(a > 0 and low[a - 1] in "([")
-            exclaims = part.count("!") + (low[b - 1 : b] == "!")
+            exclaims = part.count("!") / max(1, len(words))
+            capitals = sum(map(str.isupper, raw)) / max(1, len(raw))
+            context = self.context(words, own, at)
             for k, kind in enumerate(KINDS):
-                terms = at[("insult", "demeaning", "sexual")[k]]
-                idx = [position.get(h[0], next((i for i, (p, _) in enumerate(tokens) if p >= h[0]), len(tokens))) for h in terms]
-                near = min((abs(i - j) for i in idx for j in spots), default=99)
-                slur = min((i - j for i in idx for j in slurs if j < i), default=99) if kind == "abusive" else min((abs(i - j) for i in groups for j in slurs), default=99)
-                capital = sum(len(h) > 1 and text[h[0] : h[1]].isupper() and h[1] - h[0] > 3 for h in terms)
-                if kind == "abusive":
-                    aimed = near <= 8 or slur <= 2 or bool(at["silencer"])
-                    base = -4 + 6 * bool(terms) * aimed + 1.5 * bool(terms) * (not aimed) + 6 * bool(at["threat"]) * bool(spots or "break" in part) - 6 * bool(reported)
-                elif kind == "hateful":
-                    base = -4 + 6 * bool(terms) * bool(groups) + 6 * (slur <= 2 and bool(groups) and not at["insult"] and bool(terms)) - 7 * bool(reported)
-                else:
-                    base = -4 + 7 * bool(at["explicit"]) + 2 * bool(terms) * bool(spots) + 0.5 * bool(terms) - 5 * bool(reported)
-                if base > best[k]:
-                    best[k] = base
-                    out[k, :15] = (max(-6, min(6, base)), len(terms), min(near, 20), min(slur, 20), len(spots), len(at["silencer"]), len(at["threat"]), len(groups), len(at["demeaning"]), len(at["explicit"]), reported, capital, sum(h[3] for h in own), exclaims, bracketed)
-        for k in range(len(KINDS)):
-            if best[k] == -9.0:
-                out[k, 0], out[k, 2], out[k, 3] = -6, 20, 20
-        capitals = sum(map(str.isupper, text)) if text else 0
-        out[:, 15:] = (1000 * len(hits) / n_words, capitals / max(1, len(text)), text.count("!") / n_words, obfuscated / n_words, np.log1p(n_words))
+                terms = spots.get(_TERMS[kind], [])
+                phrases = [i for tag in _PHRASES[kind] for i in spots.get(tag, [])]
+                f = out[k]
+                if terms or phrases or (kind != "sexual" and adjectives):
+                    odds = [self.odds[t][k] for t in context if t in self.odds]
+                    f[12] = max(f[12], sum(odds))
+                    f[13] = max(f[13], sum(odds) / max(1, len(odds)))
+                    f[15], f[16] = max(f[15], capitals), max(f[16], exclaims)
+                    f[18] = max(f[18], bracketed)
+                    f[17] += sum(h[3] for h in own if h[2] == _TERMS[kind])
+                    f[14] += sum(h[1] - h[0] > 3 and text[h[0] : h[1]].isupper() for h in own if h[2] == _TERMS[kind])
+                if reported:
+                    f[11] += len(terms) + len(phrases)
+                    continue
+                f[2] = max(f[2], _near(terms, address))
+                f[3] = max(f[3], _near(terms, adjectives))
+                f[4] = max(f[4], _near(terms, groups))
+                f[5] = max(f[5], _near(adjectives, groups))
+                f[6] = max(f[6], len(phrases))
+                f[7] = max(f[7], _near(phrases, address))
+                f[8] = max(f[8], _near(phrases, groups))
+                f[9] = max(f[9], len(terms))
+                f[10] = max(f[10], len(adjectives))
+        for k, kind in enumerate(KINDS):
+            out[k, 0] = 1000 * counts[_TERMS[kind]] / n_words
+            out[k, 1] = 1000 * sum(counts[p] for p in _PHRASES[kind]) / n_words
+        out[:, 19:] = (sum(map(str.isupper, text)) / max(1, len(text)), text.count("!") / n_words, sum(h[3] for h in hits) / n_words, np.log1p(n_words))
         return out
 
 
 class Boosted:
-    """Boosted trees of depth 2 for weighted soft labels, and an isotonic calibration."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, rate: float = 0.15, least: float = 12, bins: int = 24):
-        self.trees: list[tuple] = []
-        self.base = x[:, 0].copy() if len(x) else np.zeros(0)
-        raw = self.base.copy()
-        if len(x):
-            cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(x.shape[1])]
-            for _ in range(rounds):
-                p = 1 / (1 + np.exp(-raw))
-                g, h = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-3)
-                first = self._split(x, g, h, weight, np.ones(len(x), bool), cuts, least)
-                if first is None:
-                    break
-                j, c = first
-                tree = [j, c]
-                for side in (x[:, j] <= c, x[:, j] > c):
-                    deeper = self._split(x, g, h, weight, side, cuts, least)
-                    parts = [side] if deeper is None else [side & (x[:, deeper[0]] <= deeper[1]), side & (x[:, deeper[0]] > deeper[1])]
-                    tree.append((deeper, [rate * g[s].sum() / (h[s].sum() + 5.0) for s in parts]))
-                self.trees.append(tuple(tree))
-                raw = raw + self._tree(x, tree)
+    """Boosted trees for weighted soft labels, from a constant, and an isotonic calibration."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, rate: float = 0.2, depth: int = 3, least: float = 5, ridge: float = 2.0, bins: int = 32):
+        share = float(np.clip((y * weight).sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3))
+        self.start, self.trees = math.log(share / (1 - share)), []
+        self.ridge, self.least = ridge, least
+        raw = np.full(len(x), self.start)
+        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) if np.ptp(x[:, j]) == 0 else self._cuts(x[:, j], bins) for j in range(x.shape[1])]
+        codes = [np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)]
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-raw))
+            g, h = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-3)
+            tree = self._grow(codes, cuts, g, h, weight, np.ones(len(x), bool), depth, rate)
+            if not isinstance(tree, tuple):
+                break
+            self.trees.append(tree)
+            raw = raw + self._tree(x, tree)
         self.steps = self._isotonic(raw, y, weight)
 
     @staticmethod
-    def _split(x, g, h, weight, rows, cuts, least):
-        best, found = 1.0, None
-        gs, hs = g[rows].sum(), h[rows].sum()
-        for j, own in enumerate(cuts):
+    def _cuts(v: np.ndarray, bins: int) -> np.ndarray:
+        """Quantiles of all values and of those that differ from the commonest, which most documents have."""
+        kinds, n = np.unique(v, return_counts=True)
+        rest = v[v != kinds[n.argmax()]]
+        return np.unique(np.concatenate([np.quantile(v, np.linspace(0, 1, bins)[1:-1]), np.quantile(rest, np.linspace(0, 1, bins)), [kinds[n.argmax()]]]))[:-1]
+
+    def _grow(self, codes, cuts, g, h, weight, rows, depth, rate):
+        """A node (feature, cut, low, high), or the value of a leaf."""
+        gs, hs, ws = g[rows].sum(), h[rows].sum(), weight[rows].sum()
+        best, found = 0.5, None
+        for j, own in enumerate(cuts if depth else ()):
             if not len(own):
                 continue
-            bin_of = np.searchsorted(own, x[rows, j], "left")
-            gl, hl, wl = (np.cumsum(np.bincount(bin_of, v[rows], len(own) + 1))[:-1] for v in (g, h, weight))
-            gain = gl**2 / (hl + 5) + (gs - gl) ** 2 / (hs - hl + 5) - gs**2 / (hs + 5)
-            gain[(wl < least) | (weight[rows].sum() - wl < least)] = 0
+            gl, hl, wl = (np.cumsum(np.bincount(codes[j][rows], v[rows], len(own) + 1))[:-1] for v in (g, h, weight))
+            gain = gl**2 / (hl + self.ridge) + (gs - gl) ** 2 / (hs - hl + self.ridge) - gs**2 / (hs + self.ridge)
+            gain[(wl < self.least) | (ws - wl < self.least)] = 0
             k = int(gain.argmax())
             if gain[k] > best:
-                best, found = gain[k], (j, float(own[k]))
-        return found
+                best, found = gain[k], (j, k)
+        if found is None:
+            return rate * gs / (hs + self.ridge)
+        j, k = found
+        low = codes[j] <= k
+        return j, float(cuts[j][k]), self._grow(codes, cuts, g, h, weight, rows & low, depth - 1, rate), self._grow(codes, cuts, g, h, weight, rows & ~low, depth - 1, rate)
 
     @staticmethod
     def _tree(x, tree):
+        if not isinstance(tree, tuple):
+            return np.full(len(x), tree)
         j, c, low, high = tree
         out = np.zeros(len(x))
-        for side, (deeper, values) in ((x[:, j] <= c, low), (x[:, j] > c, high)):
-            if deeper is None:
-                out[side] = values[0]
-            else:
-                out[side] = np.where(x[side, deeper[0]] <= deeper[1], values[0], values[1])
+        side = x[:, j] <= c
+        out[side], out[~side] = Boosted._tree(x[side], low), Boosted._tree(x[~side], high)
         return out
 
     @staticmethod
@@ -256,49 +330,95 @@ class Boosted:
         return np.array([b[2] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        raw = x[:, 0].copy()
+        raw = np.full(len(x), self.start)
         for t in self.trees:
             raw += self._tree(x, t)
         ends, values = self.steps
         return values[np.minimum(np.searchsorted(ends, raw, "left"), len(values) - 1)]
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scanner = Scanner()
-    for b in batches:
-        rows = [scanner.features(t).ravel().tolist() for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+class Model:
+    """The learnt lexicon and a fitted model per kind; None where a kind has no opinions."""
+
+    def __init__(self, learnt: tuple[dict[str, np.ndarray], np.ndarray], boosted: list[Boosted | None]):
+        self.learnt, self.boosted = learnt, boosted
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labels: int = 20_000) -> list[Boosted]:
-    """A model per kind from the opinions ``doc_id, flagged, kind`` on at most ``max_labels`` documents."""
+def learn_lexicon(own: DataFrame, max_terms: int = 50_000) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Words and pairs of words near lexicon terms with the flagged opinions per kind and the clean ones of their documents.
+
+    own: ``text, fold`` and the opinions of labelled documents. Kept are the ``max_terms`` terms of most opinions, a bound
+    of the model.
+    """
+    names = [*KINDS, "clean"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner()
+        for b in batches:
+            terms = pa.array([sorted(scanner.terms(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([terms, *b.columns[1:]], names=["terms", *b.schema.names[1:]])
+
+    rows = own.select("text", "fold", *names)
+    found = rows.mapInArrow(run, "terms array<string>, fold int, " + ", ".join(f"{c} double" for c in names)).where("size(terms) > 0")
+    per_fold = [F.sum(F.when(F.col("fold") == i, F.col(c)).otherwise(0.0)).alias(f"{c}{i}") for i in range(FOLDS) for c in names]
+    total = sum((F.col(f"{c}{i}") for i in range(FOLDS) for c in names), F.lit(0.0))
+    counts = found.withColumn("term", F.explode("terms")).groupBy("term").agg(*per_fold).withColumn("n", total)
+    kept = counts.where(F.col("n") >= LEARNT_DOCS).orderBy(F.col("n").desc(), "term").limit(max_terms).collect()
+    sums = found.agg(*per_fold).first()
+
+    def table(r) -> np.ndarray:
+        return np.array([[r[f"{c}{i}"] or 0.0 for c in names] for i in range(FOLDS)])
+
+    return {r["term"]: table(r) for r in kept}, table(sums)
+
+
+def opinions(labels: DataFrame) -> DataFrame:
+    """``doc_id`` with the opinions for each kind and those for none."""
     one = F.col("flagged") == 1
-    votes = labels.where("flagged is not null and doc_id is not null").groupBy("doc_id").agg(*(F.sum(F.when(one & (F.col("kind") == k), 1.0).otherwise(0.0)).alias(k) for k in KINDS), F.sum(F.when(one, 0.0).otherwise(1.0)).alias("clean"))
-    sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
-    schema = own.select("doc_id").schema.add("x", T.ArrayType(T.DoubleType()))
-    rows = {r["doc_id"]: r["x"] for r in own.mapInArrow(_featured, schema).collect()}
-    given = [r for r in sample.collect() if r["doc_id"] in rows]
-    x = np.array([rows[r["doc_id"]] for r in given]).reshape(len(given), len(KINDS), len(FEATURES))
-    models = []
+    return labels.where("flagged is not null and doc_id is not null").groupBy("doc_id").agg(*(F.sum(F.when(one & (F.col("kind") == k), 1.0).otherwise(0.0)).alias(k) for k in KINDS), F.sum(F.when(one, 0.0).otherwise(1.0)).alias("clean"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labels: int = 20_000) -> Model:
+    """The model from the opinions ``doc_id, flagged, kind`` on at most ``max_labels`` documents.
+
+    The labelled documents, of which there are that many at most, are written once and read by both steps of learning.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    names = [*KINDS, "clean"]
+    sample = opinions(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels).checkpoint()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int")).checkpoint()
+    learnt = learn_lexicon(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanners = [Scanner(learnt, i) for i in range(FOLDS)]
+        for b in batches:
+            rows = [scanners[i].features(t).ravel().tolist() for t, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(rows, pa.list_(pa.float64()))], names=[*names, "x"])
+
+    given = own.orderBy("doc_id").select("text", "fold", *names)
+    rows = given.mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", x array<double>").collect()
+    x = np.array([r["x"] for r in rows]).reshape(len(rows), len(KINDS), len(FEATURES))
+    boosted: list[Boosted | None] = []
     for k, kind in enumerate(KINDS):
-        yes = np.array([r[kind] for r in given])
-        no = np.array([r["clean"] for r in given])  # an opinion names one kind only and says nothing of the others
+        yes = np.array([r[kind] for r in rows])
+        no = np.array([r["clean"] + OTHER_KIND * sum(r[o] for o in KINDS if o != kind) for r in rows])
         some = yes + no > 0
-        models.append(Boosted(x[some, k], (yes / np.maximum(yes + no, 1e-9))[some], (yes + no)[some]))
-    return models
+        boosted.append(Boosted(x[some, k], (yes / np.maximum(yes + no, 1e-9))[some], (yes + no)[some]) if some.any() else None)
+    return Model(learnt, boosted)
 
 
-def score(docs: DataFrame, models: list[Boosted], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document's ``doc_id`` and columns ``keep``, with a score between 0 and 1 for each kind."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     n = 1 + len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(shared.value.learnt)
         for b in batches:
             x = np.array([scanner.features(t) for t in b.column(n).to_pylist()]).reshape(b.num_rows, len(KINDS), len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *(pa.array(m.score(x[:, k])) for k, m in enumerate(shared.value))], names=["doc_id", *keep, *KINDS])
+            scores = [pa.nulls(b.num_rows, pa.float64()) if m is None else pa.array(m.score(x[:, k])) for k, m in enumerate(shared.value.boosted)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), *scores], names=["doc_id", *keep, *KINDS])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("text"))
     schema = rows.drop("text").schema
