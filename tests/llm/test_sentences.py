@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm.sentences import find_sentences, lattice, sentences
+from textloom.llm.sentences import Segmenter, find_sentences, lattice, sentences
 
 CASES = [
     ["Dear office,", "Dr. Vocby's clinic closed at 5 p.m. on 16.06.2023, i.e. before we arrived.", "We need lamps, pipes etc. for it."],
@@ -75,3 +75,38 @@ def test_operator(spark):
     got = find_sentences(df, "input_id", "original").groupBy("input_id").count().collect()
     assert {r[0]: r[1] for r in got} == {1: 2, 4: 4000}
     assert find_sentences(df.limit(0), "input_id", "original").count() == 0
+
+
+@pytest.mark.parametrize(
+    "units",
+    [
+        ["The U.S. Army came.", "It left."], ["She has a Ph.D. in law.", "He has none."], ["Wir wohnen Hauptstr. 5 im Dorf.", "Kommen Sie."],
+        ["Բարեւ ձեզ։", "Ինչպես եք։"], ["ሰላም ነው።", "እንዴት ነህ።"], ["မင်္ဂလာပါ။", "နေကောင်းလား။"], ["یہ کتاب ہے۔", "وہ قلم ہے۔"],
+    ],
+)
+def test_outside_the_templates(units):
+    text = " ".join(units)
+    assert [text[a:b] for a, b in sentences(text)] == units
+
+
+def test_the_lattice_decides_gaps_of_spaceless_scripts():
+    """What follows a closed quotation, and line ends, are read by the words of the whole run, however long."""
+    s = Segmenter(["天気", "図書館", "电视台"])
+
+    def units(text):
+        return [text[a:b].replace("\n", "/") for a, b in sentences(text, s)]
+
+    assert units("「もう閉まりました。」と彼女が言った。") == ["「もう閉まりました。」と彼女が言った。"]
+    assert units("「もう閉まりました。」図書館は遠い。") == ["「もう閉まりました。」", "図書館は遠い。"]
+    assert units("“会关门吗？”她问。") == ["“会关门吗？”她问。"]
+    assert units("“会关门吗？”电视台很远。") == ["“会关门吗？”", "电视台很远。"]
+    long = "学" * 60
+    assert units(f"{long}电视\n台很远。") == [f"{long}电视/台很远。"]  # a word lies across the line end
+    assert units(f"{long}完了\n电视台很远。") == [f"{long}完了", "电视台很远。"]
+    assert units(f"{long}図書館は\n{long}です。") == [f"{long}図書館は/{long}です。"]
+
+
+def test_many_lines_and_marks_take_linear_time():
+    text = "line of words that goes on and\n" * 3000 + "(" * 2000 + "a. B" * 2000 + ")" * 2000
+    got = sentences(text)
+    assert got and got[-1][1] == len(text)

@@ -1,10 +1,12 @@
 """Sentence boundaries across languages and scripts.
 
-Method: scripts without spaces are segmented by a lattice of dictionary words; their gaps (line ends, spaces) are then
-classified by the last word before the gap, a final particle or one that needs more to follow, and the opening word
-behind it. For spaced scripts every dot that is not settled by what surrounds it is a node of a lattice with three
+Method: scripts without spaces are segmented by a lattice of dictionary words, over the whole run that a gap stands in;
+gaps (line ends, spaces, quotations and brackets that close) are then classified by the last word before the gap, a
+final particle or one that needs more to follow, and the opening word behind it; a word that lies across a line end
+joins the lines. The dictionary is made of function words and the pieces of a public tokenizer's vocabulary, whose file
+is a parameter. For spaced scripts every dot that is not settled by what surrounds it is a node of a lattice with three
 readings, end, abbreviation and ordinal, scored by what stands before and behind it; the best path through a run of
-dots decides. Other stops, quotations and brackets that are open settle themselves, as do stops of spaceless scripts.
+dots decides. Other stops of spaced scripts settle themselves, unless they are inside a quotation or bracket.
 
 The rules run on the consistent form of the text (see ``canonical``); places refer to the original. Texts are scanned
 where they lie; only the places found are shuffled, so that deliveries made twice count once.
@@ -15,8 +17,12 @@ code points; every visible character belongs to exactly one unit; an empty table
 
 from __future__ import annotations
 
+import base64
+import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,24 +63,45 @@ OPEN_ENDED = set(
 )
 #: Words that seldom stand behind an abbreviation within a sentence, but open one.
 OPENERS = set(
-    """The A An I We You He She It They This That These Those There My Our Your His Her Their Who What When Where Why How Which Is Are Was Were Do Does Did Can Could Will Would Please Nobody Somebody Everyone Everybody No Two Three Following According Compared Under After Before Since Once With As To For In On At See Version Bus Ticket Invoice Bill Passport Thank Wait Download Send Write Contact Room
-    Der Die Das Wir Ich Er Es Wann Bitte Niemand Größere Über Laut Meine Mein Herr Frau Am Im Schreiben Rechnung Zimmer Er Als Was Wer Wie Wo
-    Le La Les L'aide Un Une Nous Je Il Elle Ils Quand Veuillez Personne Selon Comme Encore À Été Voir Attendez Mon Ma Mes Notre Appelez Écrivez
-    El Los Las Una Nuestra Nuestro Mi Mis Según Nadie Envíenme Hacen Véase Espere Dijo Usted Como Hablé Escriban Me Una Mañana
-    Мы Я Он Она Они Мост Когда Никто Пришлите Сосед Нужны Цена Номер Меня Мой Пишите См Ο Η Το Κανείς Πότε Στείλτε Θέλουμε Περιμένουμε Με Γράψτε""".split()
+    """The A An I We You He She It They This That These Those There My Our Your His Her Its Their Who What When Where Why How Which Is Are Was Were Do Does Did Can Could Will Would Shall Should Must May Might Have Has Had Please Nobody Somebody Everyone Everybody Nothing Something Everything No Not Yes Some Many Most All Both Each Every Another One Two Three Following According Compared Under After Before Since Once While Although Though Because If Unless Until With Without As To From For In On At By Of And But Or So Yet Then Thus Now Here Today Yesterday Tomorrow However Therefore Also See Let Thank Thanks
+    Der Die Das Ein Eine Einen Einem Einer Wir Ich Er Es Sie Ihr Du Man Wann Wer Was Wie Wo Warum Weshalb Bitte Niemand Jemand Jeder Jede Alle Viele Einige Kein Keine Über Unter Nach Vor Seit Mit Ohne Laut Für Gegen Bei Von Zu Meine Mein Unser Unsere Dieser Diese Dieses Am Im In An Auf Als Wenn Weil Da Dann Danach Deshalb Aber Und Oder Auch Heute Gestern Morgen Hier Dort Ist Sind War Hat Haben Kann Können
+    Le La Les L'on Un Une Des Du Nous Je Il Elle Ils Elles On Vous Tu Ce Cet Cette Ces Quand Qui Que Quoi Où Comment Pourquoi Combien Veuillez Personne Rien Chaque Tous Toutes Selon Comme Encore Après Avant Depuis Avec Sans Pour Par Sur Dans En À Au Aux Mon Ma Mes Notre Nos Votre Vos Son Sa Ses Leur Leurs Mais Et Ou Donc Or Car Puis Ensuite Alors Aussi Voir Merci Est Sont Était
+    El Los Las Una Unos Unas Nuestra Nuestro Mi Mis Su Sus Tu Yo Él Ella Ellos Nosotros Usted Ustedes Según Nadie Nada Cada Todos Todas Este Esta Estos Estas Ese Esa Eso Esto Cuando Cuándo Quién Qué Cómo Dónde Por Para Con Sin Desde Hasta Después Antes Como Me Se Le Les Lo De Del Al Si No Sí Pero Y O Entonces También Además Véase Gracias Hay Es Son Era Hoy Ayer Mañana Hace Hacen
+    Мы Я Он Она Оно Они Вы Ты Это Этот Эта Эти Тот Та Те Когда Кто Что Где Как Почему Зачем Никто Ничто Все Всё Каждый Мой Моя Мои Меня Мне Нам Нас Наш Наша Наши Ваш Его Её Их В На С У К По Из От До Для За Но И А Или Если Потом Затем Также Пожалуйста Сегодня Вчера Завтра См Нет Да
+    Ο Η Το Οι Τα Ένας Μια Ένα Εγώ Εμείς Εσείς Αυτός Αυτή Αυτό Αυτοί Πότε Ποιος Ποια Τι Πού Πώς Γιατί Κανείς Κανένας Όλοι Κάθε Με Σε Στο Στη Στην Για Από Και Αλλά Ή Αν Όταν Μετά Πριν Επίσης Σήμερα Χθες Αύριο Μου Μας Σας Θα Να Δεν Παρακαλώ""".split()
 )
 #: Words before a number with a dot that make it an ordinal.
 ORDINAL_BEFORE = set("am der die das dem den des vom zum zur im ab bis seit jeden nächsten letzten dritten und".split())
 
-# Dictionaries of the lattice for scripts without spaces: function words, endings and common words.
-JA = "です ます ません でした ました ください ない た だ か ね よ さ ぞ わ は が を に へ と で も の から まで より ので のに けど が、 そう という こと もの まだ もう 様 さん 私 あなた ここ そこ これ それ あの その この どこ いつ なに 何 誰 円 料金 電話 番号 電話番号 受付 受付番号 駅前 橋 役所 窓口 図書館 工事 来月 時刻表 バス ガス プール 街灯 修理 直って 送って 待って 思い 開き 始まる 高すぎる 分かり 職員 案内 詳しく 別紙 見て 届いた 言った 週間 担当者 ご担当者 本当 えっ".split()
-JA_FINAL = set("です ます ません でした ました ください ない た だ か ね よ ぞ わ 様 届いた 言った".split())
-JA_OPEN = set("は が を に へ と で も の から まで より ので のに けど という".split())
-ZH = "了 吗 吧 呢 啊 的 地 得 是 在 和 与 或 把 被 从 到 对 给 向 我 你 他 她 我们 你们 他们 这 那 这个 那个 什么 时候 什么时候 谁 哪里 怎么 请 会 还 又 已经 等 星期 学校 门口 路 修好 没有 公交 公交车 车站 灯 坏 邻居 说 市场 下个月 才 重开 新 表格 寄 图书馆 开门 关门 费用 元 涨 电话 编号 叫 见 附件 这句话 写 信封 上 工作人员 问 结束 回去 然后 就 走 真的 尊敬 修理 路灯".split()
-ZH_FINAL = set("了 吗 吧 呢 啊 的 好 走 元".split())
-ZH_OPEN = set("是 在 和 与 或 把 被 从 到 对 给 向 请 会 的".split())
-TH = "สวัสดี ค่ะ ครับ คะ นะ แล้ว ไหม ใช่ไหม อยู่ ใหม่ ให้ คือ ที่ เป็น จาก และ หรือ ของ ใน กับ ว่า ได้ ไม่ มี ใคร รู้ เรื่อง รถเมล์ สาย ห้องสมุด เปิด เมื่อไหร่ หมายเลข ไฟ ถนน ไฟถนน เสีย อีก สะพาน หน้า ตลาด ยัง ปิด ราคา ขึ้น บาท กรุณา ส่ง แบบฟอร์ม มา เรา รอ หลาย สัปดาห์ เบอร์ โทร เบอร์โทร ฉัน ผม โรงเรียน จะ ย้าย เดือน ชื่อ".split()
-TH_OPEN = set("คือ ที่ เป็น จาก และ หรือ ของ ใน กับ ว่า ชื่อ".split())
+# Function words of the lattice for scripts without spaces: particles, endings, pronouns, question words, verbs of saying.
+JA = "です ます ません でした ました ましょう ください ない なかった た だ だった か ね よ さ ぞ わ な は が を に へ と で も の や から まで より ので のに けど けれど ながら が、 そう という といった って とのこと との こと もの ため まだ もう また 様 さん 私 僕 彼 彼女 あなた ここ そこ あそこ これ それ あれ あの その この どこ どれ どの いつ なに なぜ どう 何 誰 する した して いる います いた ある あります あった なる なり いい よい とても".split()
+JA_FINAL = set("です ます ません でした ました ましょう ください ない なかった た だ だった か ね よ ぞ わ 様 した いた あった います あります".split())
+JA_OPEN = set("は が を に へ と で も の や から まで より ので のに けど けれど ながら という といった って とのこと との".split())
+ZH = "了 吗 嗎 吧 呢 啊 啦 的 地 得 是 在 和 与 與 或 把 被 从 從 到 对 對 给 給 向 跟 为 為 我 你 您 他 她 它 我们 我們 你们 你們 他们 他們 她们 这 這 那 这个 這個 那个 那個 这句 這句 这些 這些 什么 什麼 谁 誰 哪里 哪裡 怎么 怎麼 为什么 為什麼 请 請 会 會 能 要 想 还 還 又 也 都 就 才 已经 已經 没有 沒有 不 很 说 說 问 問 道 答 喊 叫 写 寫 回答 表示".split()
+ZH_FINAL = set("了 吗 嗎 吧 呢 啊 啦 的".split())
+ZH_OPEN = set("是 在 和 与 與 或 把 被 从 從 到 对 對 给 給 向 跟 为 為 请 請 会 會 的 我 你 他 她".split())
+TH = "ค่ะ ครับ คะ นะ นะคะ นะครับ แล้ว ไหม ใช่ไหม อยู่ ด้วย เลย สิ ให้ คือ ที่ เป็น จาก และ หรือ ของ ใน กับ ว่า แต่ เพราะ ถ้า ซึ่ง โดย เพื่อ ได้ ไม่ มี ไม่มี ใคร อะไร เมื่อไหร่ ทำไม อย่างไร ที่ไหน ยัง มา ไป จะ กำลัง เคย ต้อง ควร เรา ฉัน ผม ดิฉัน เขา เธอ คุณ มัน ชื่อ นี้ นั้น ทุก หลาย อีก".split()
+TH_OPEN = set("คือ ที่ เป็น จาก และ หรือ ของ ใน กับ ว่า แต่ เพราะ ถ้า ซึ่ง โดย เพื่อ ชื่อ".split())
+#: Words behind a closed quotation or bracket that go on with its sentence: particles, who spoke, what was meant.
+GOES_ON = {"ja": JA_OPEN | {"そう", "です", "でした", "だ"}, "zh": set("的 是 了 这 這 那 这句 這句 这个 這個 这些 這些 他 她 我 你 他们 他們 她们 我们 我們 说 說 问 問 道 答 喊 叫 回答 表示 就 也 都 等".split()), "th": TH_OPEN}
+
+#: A public tokenizer's vocabulary (a base64 piece and its rank a line); on every machine, as is the tokenizer of ``packing``.
+DICTIONARY = os.environ.get("TEXTLOOM_DICTIONARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def dictionary(path: str = DICTIONARY) -> list[str]:
+    """The pieces of two characters or more of a vocabulary that are wholly in a spaceless script; none without a file."""
+    if not path or not os.path.exists(path):
+        return []
+    out = []
+    with open(path, "rb") as f:
+        for line in f:
+            if not line.strip():
+                continue
+            piece = base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip()
+            if len(piece) > 1 and _SPACELESS.fullmatch(piece):
+                out.append(piece)
+    return out
 
 
 def lattice(text: str, words: set[str], longest: int) -> list[str]:
@@ -95,72 +122,135 @@ def lattice(text: str, words: set[str], longest: int) -> list[str]:
     return out[::-1]
 
 
-_LATTICES = {k: (set(w), max(map(len, w)), final, opening) for k, w, final, opening in (("ja", JA, JA_FINAL, JA_OPEN), ("zh", ZH, ZH_FINAL, ZH_OPEN), ("th", TH, set(), TH_OPEN))}
+class Segmenter:
+    """Words of spaceless runs by their best path, and what they say about a gap."""
+
+    def __init__(self, pieces: list[str]):
+        words = {"ja": {*JA}, "zh": {*ZH}, "th": {*TH}}
+        for p in pieces:
+            words["th" if _THAI.match(p) else "ja" if _KANA.search(p) else "zh"].add(p)
+        words["ja"] |= {p for p in words["zh"] if p in pieces}  # Japanese writes such words too
+        self.words = {k: (w, max(map(len, w))) for k, w in words.items()}
+        self.segment = lru_cache(maxsize=20_000)(self._segment)
+
+    def _segment(self, kind: str, run: str) -> tuple[str, ...]:
+        return tuple(lattice(run, *self.words[kind]))
+
+    @staticmethod
+    def kind(before: str, behind: str) -> str:
+        run = before + behind
+        return "th" if _THAI.search(run) else "ja" if _KANA.search(run) else "zh"
+
+    @staticmethod
+    def _runs(text: str, i: int, j: int) -> tuple[str, str]:
+        """The whole spaceless runs that end at i and begin at j."""
+        a, b, n = i, j, len(text)
+        while a and _SPACELESS.match(text, a - 1):
+            a -= 1
+        while b < n and _SPACELESS.match(text, b):
+            b += 1
+        return text[a:i], text[j:b]
+
+    def goes_on(self, text: str, i: int, j: int) -> bool:
+        """Whether the gap text[i:j], which has no stop, is within a sentence."""
+        before, behind = self._runs(text, i, j)
+        if not before and not behind:
+            return False
+        kind = self.kind(before, behind)
+        last = (self.segment(kind, before) or ("",))[-1]
+        first = (self.segment(kind, behind) or ("",))[0]
+        if kind == "th":
+            return last in TH_OPEN
+        if before and behind and last not in (JA_FINAL if kind == "ja" else ZH_FINAL):
+            at = 0
+            for w in self.segment(kind, before + behind):
+                if at < len(before) < at + len(w):
+                    return True  # a word lies across the gap
+                at += len(w)
+        final, opening = (JA_FINAL, JA_OPEN) if kind == "ja" else (ZH_FINAL, ZH_OPEN)
+        return last in opening or (last not in final and first in (JA_OPEN if kind == "ja" else ZH_FINAL))
+
+    def after_closing(self, text: str, k: int) -> bool:
+        """Whether the word at k goes on with the sentence of a quotation or bracket that closes before it."""
+        behind = self._runs(text, k, k)[1]
+        kind = self.kind(text[max(0, k - 12) : k], behind)
+        words = self.segment(kind, behind)
+        return bool(words) and words[0] in GOES_ON[kind]
+
+
 _KANA = re.compile("[ぁ-ヿ]")
 _HAN = re.compile("[一-鿿㐀-䶿]")
 _THAI = re.compile("[ก-๛]")
+_SPACELESS = re.compile("[ぁ-ヿ一-鿿㐀-䶿ก-๛]+")
 _OPENING, _CLOSING = "«“„‘(「『（【《〈[{", "»”“’)」』）】》〉]}\"'"
 _PAIRS = {"(": ")", "（": "）", "[": "]", "「": "」", "『": "』", "«": "»", "„": "“”", "“": "”", "【": "】", "《": "》", "‹": "›"}
-_STOPS = re.compile(r"[.!?…。！？।॥؟．;]+")
+#: Stops of their own script that end a sentence whatever follows: also Armenian, Urdu, Ethiopic, Burmese, Khmer, Tibetan.
+_OWN = "।॥؟։۔።၊။។།"
+_STOPS = re.compile(rf"[.!?…。！？．;{_OWN}]+")
+_MARKS = re.compile(r"\n\n|[\"()（）\[\]「」『』«»„“”【】《》‹›]")
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 #: A dot with a word behind it, and what ends a run of such dots: another stop, a line end, a mark that closes.
 _DOT = re.compile(r"(?<![.!?])\.[ \t]+([^\s,;:)—–]\S*)")
-_SETTLED = re.compile(r"[!?…。！？।॥؟．;\n]|\.[»”“’)\]}\"']")
+_SETTLED = re.compile(rf"[!?…。！？．;\n{_OWN}]|\.[»”“’)\]}}\"']")
+#: Where something has to be decided.
+_PLACES = re.compile(rf"[\n.!?…。！？．;{_OWN}]| (?=[ก-๛])")
+_INITIALS = re.compile(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]{1,3}")
+_NEXT = re.compile(r"\s*(\S+)")
 # The score of a reading that one rule settles, and what an end right behind an end costs.
 FIRM, SHORT = 8.0, 0.5
 
 
-def _spaceless_goes_on(before: str, behind: str) -> bool:
-    """Whether a gap without a stop in a spaceless script is within a sentence."""
-    kind = "th" if _THAI.search(before[-12:] or behind[:12]) else "ja" if _KANA.search(before[-20:] + behind[:20]) else "zh"
-    words, longest, final, opening = _LATTICES[kind]
-    last = (lattice(before[-24:].strip(), words, longest) or [""])[-1]
-    first = (lattice(behind[:24].strip(), words, longest) or [""])[0]
-    if kind == "th":
-        return last in opening
-    return last in opening or (last not in final and first in (JA_OPEN if kind == "ja" else set("了 吗 吧 呢 的".split())))
-
-
-def _quoted(text: str) -> tuple[list[int], list[int]]:
-    """For each place the depth of quotations and brackets that are closed later, and where the outermost opened."""
-    n = len(text)
-    depth, opened = [0] * (n + 1), [-1] * (n + 1)
-    stack: list[tuple[int, str]] = []
-    spans = []
-    for i, c in enumerate(text):
-        if stack and c in stack[-1][1]:
-            spans.append((stack.pop()[0], i))
-        elif c == '"':
-            if any(s[1] == '"' for s in stack):
-                while stack[-1][1] != '"':
-                    stack.pop()
-                spans.append((stack.pop()[0], i))
-            else:
-                stack.append((i, '"'))
-        elif c in _PAIRS:
-            stack.append((i, _PAIRS[c]))
-        elif c == "\n" and text[i + 1 : i + 2] == "\n":
-            stack.clear()
-    for a, b in spans:
-        for k in range(a, b):
-            depth[k] += 1
-            opened[k] = a if opened[k] < 0 else min(opened[k], a)
-    return depth, opened
-
-
-def _ends(text: str, i: int, j: int, begun: int, depth: list[int], opened: list[int], read: dict[int, bool]) -> int:
+class Quoted:
+    """Quotations and brackets that are closed: how deep a place is in them, and where the outermost opened."""
+
+    def __init__(self, text: str):
+        stack: list[tuple[int, str]] = []
+        self.spans: list[tuple[int, int]] = []
+        for m in _MARKS.finditer(text):
+            i, c = m.start(), m[0]
+            if stack and c in stack[-1][1]:
+                self.spans.append((stack.pop()[0], i))
+            elif c == '"':
+                if any(s[1] == '"' for s in stack):
+                    while stack[-1][1] != '"':
+                        stack.pop()
+                    self.spans.append((stack.pop()[0], i))
+                else:
+                    stack.append((i, '"'))
+            elif c in _PAIRS:
+                stack.append((i, _PAIRS[c]))
+            elif len(c) > 1:
+                stack.clear()
+        self.spans.sort()
+        self.starts = [a for a, _ in self.spans]
+        self.reach: list[int] = []  # how far spans up to here reach, so that looking back can stop
+        for _, b in self.spans:
+            self.reach.append(max(b, self.reach[-1]) if self.reach else b)
+
+    def around(self, i: int) -> int:
+        """Where the outermost span around i opened, or -1."""
+        k = bisect_right(self.starts, i) - 1
+        found = -1
+        while k >= 0 and self.reach[k] > i:
+            if self.spans[k][1] > i:
+                found = self.starts[k]
+            k -= 1
+        return found
+
+
+def _ends(text: str, i: int, j: int, begun: int, quoted: Quoted, read: dict[int, bool], segmenter: Segmenter) -> int:
     """The end of the sentence whose stop is text[i:j], or 0 if it goes on."""
     stop = text[i:j]
     n = len(text)
     if stop[0] == ";" and not ("Ͱ" <= text[i - 1 : i] <= "Ͽ" or "ἀ" <= text[i - 1 : i] <= "῿"):
         return 0
     k = j
-    while k < n and text[k] in _CLOSING and depth[k - 1]:
+    while k < n and text[k] in _CLOSING and quoted.around(k - 1) >= 0:
         k += 1
-    if depth[k - 1] and k < n:
+    if k < n and quoted.around(k - 1) >= 0:
         return 0
     closed = k > j
-    wide = stop[-1] in "。！？．।॥؟"
+    wide = stop[-1] in "。！？．" or stop[-1] in _OWN
     if k >= n:
         return k
     m = k
@@ -178,7 +268,10 @@ def _ends(text: str, i: int, j: int, begun: int, depth: list[int], opened: list[
     behind = text[m]
     if closed:
         # a quotation or bracket in a running sentence, or one that is followed by who said it
-        started = opened[j - 1] <= begun + 1 or text[begun : opened[j - 1]].strip(" ¿¡-") == ""
+        opened = quoted.around(j - 1)
+        started = opened <= begun + 1 or text[begun:opened].strip(" ¿¡-") == ""
+        if _SPACELESS.match(behind):
+            return 0 if not started or segmenter.after_closing(text, m) else k
         if not _cased(behind) and behind not in "«“„\"(¿¡":
             return 0 if m == k or not behind.isdigit() else k
         if m == k and stop[0] in "。！？":
@@ -249,7 +342,7 @@ def _scores(text: str, i: int, behind: str, next_word: str, begun: int) -> tuple
     if low in MAYBE or spaced in MAYBE:
         if behind.islower() or behind.isdigit():
             return abbreviation
-        if low in ("ave", "rd", "blvd", "co", "st") and not opener:
+        if low in ("ave", "rd", "blvd", "co", "st", "u.s", "u.n", "u.k", "e.u") and not opener:
             return abbreviation
         return abbreviation if next_word.rstrip(".,").lower() in MAYBE else end
     if len(word) == 1 and word.isalpha():
@@ -259,8 +352,10 @@ def _scores(text: str, i: int, behind: str, next_word: str, begun: int) -> tuple
             return end if opener and before[-1].lower() in ("und", "bis") else ordinal
         if behind.islower():
             return ordinal if len(word) <= 2 else end
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
+    if _INITIALS.fullmatch(word):
         return abbreviation if behind.islower() or not opener else end
+    if low.endswith(("str", "pl")) and word[0].isupper() and behind.isdigit():
+        return abbreviation  # a street and its number
     return end
 
 
@@ -293,13 +388,14 @@ def _abbreviated(text: str, i: int, behind: str, next_word: str, begun: int, rea
     return read[i]
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def sentences(text: str | None, segmenter: Segmenter | None = None) -> list[tuple[int, int]]:
     """Start and end (exclusive) of the sentences of a text, in order."""
     if not text or not text.strip():
         return []
+    segmenter = segmenter or _segmenter()
     form, start, end = canonical_with_places(text)
     n = len(form)
-    depth, opened = _quoted(form)
+    quoted = Quoted(form)
     out: list[tuple[int, int]] = []
     read: dict[int, bool] = {}
     begun = 0
@@ -318,70 +414,78 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         begun = stop
 
     i = 0
-    while i < n:
+    while m := _PLACES.search(form, i):
+        i = m.start()
         while begun < i and form[begun].isspace():
             begun += 1
         c = form[i]
         if c == "\n":
-            blank = _BLANK.match(form, i)
-            line = form[form.rfind("\n", 0, i) + 1 : i].strip()
             unit = form[begun:i].strip()
-            rest = form[i + 1 :].lstrip()
-            if not unit or not rest:
+            behind = _NEXT.match(form, i + 1)
+            if not unit or not behind:
                 i += 1
                 continue
-            whole = unit == line
+            whole = unit == form[form.rfind("\n", 0, i) + 1 : i].strip()
+            at = behind.start(1)
             if (
-                blank
+                _BLANK.match(form, i)
                 or ENTRY.match(unit)
-                or ENTRY.match(rest)
+                or ENTRY.match(form, at)
                 or (whole and (CLOSINGS.fullmatch(unit.rstrip(" ,!")) or (GREETINGS.match(unit) and unit[-1] in ",:：،、!") or (HEADINGS.match(unit) and len(unit.split()) <= 8) or (GREETINGS.match(unit) and len(unit) < 14)))
-                or _line_ends(unit, rest)
+                or _line_ends(unit, form, at, segmenter)
             ):
                 close(i)
-        elif c == " " and _THAI.match(form, i + 1) and begun < i and (_THAI.match(form, i - 1) or _THAI.search(form, begun, i)):
-            if not _spaceless_goes_on(form[begun:i], form[i + 1 :]):
+        elif c == " ":
+            if begun < i and (_THAI.match(form, i - 1) or _THAI.search(form, begun, i)) and not segmenter.goes_on(form, i, i + 1):
                 close(i)
-        elif c in ".!?…。！？।॥؟．;":
+        else:
             j = _STOPS.match(form, i).end()
-            e = _ends(form, i, j, begun, depth, opened, read)
+            e = _ends(form, i, j, begun, quoted, read, segmenter)
             if e:
                 close(e)
-                i = e
-                continue
-            i = j
+            i = max(e, j)
             continue
         i += 1
     close(n)
     return out
 
 
-def _line_ends(unit: str, rest: str) -> bool:
-    """Whether a line that lacks its stop ends a unit at a single line end."""
-    first = rest[0]
-    last = unit.split()[-1] if unit.split() else ""
+@lru_cache(maxsize=2)
+def _segmenter(path: str = DICTIONARY) -> Segmenter:
+    return Segmenter(dictionary(path))
+
+
+def _line_ends(unit: str, form: str, at: int, segmenter: Segmenter) -> bool:
+    """Whether a line that lacks its stop ends a unit at a single line end; at: where the next line begins."""
+    first = form[at]
+    last = unit.rsplit(None, 1)[-1]
     tail = unit[-1]
-    if _THAI.match(tail) or _HAN.match(tail) or _KANA.match(tail) or _HAN.match(first) or _KANA.match(first) or _THAI.match(first):
-        return not _spaceless_goes_on(unit, rest)
+    if _SPACELESS.match(tail) or _SPACELESS.match(first):
+        edge = at
+        while form[edge - 1].isspace():
+            edge -= 1
+        return not segmenter.goes_on(form, edge, at)
     if first.islower() or first.isdigit() or first in ",;:)»”—–":
         return False
     if last.lower().strip("'’") in OPEN_ENDED or tail in ",(«“„":
         return False
     if last.endswith("."):
         return False  # an abbreviation, or the stop would have ended the unit
-    if tail == ":" and len(unit.split()) == 1:
+    if tail == ":" and last == unit:
         return False
     return last.lower() not in NEVER and last not in ("Frau", "Herr", "Herrn", "Señor", "Señora", "Monsieur", "Madame", "Господин", "Госпожа", "Κύριος", "Κυρία") or first not in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def find_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, start_char, end_char`` of every sentence, each once."""
+def find_sentences(df: DataFrame, key: str, text: str, vocabulary: str = DICTIONARY) -> DataFrame:
+    """``key, start_char, end_char`` of every sentence, each once; vocabulary: the file of the lattice's dictionary."""
+    pieces = dictionary(vocabulary)  # at most some thousand short words, as many as the vocabulary has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(pieces)
         for b in batches:
             at, starts, ends = [], [], []
             for k, t in enumerate(b.column(1).to_pylist()):
-                for s, e in sentences(t):
+                for s, e in sentences(t, segmenter):
                     at.append(k)
                     starts.append(s)
                     ends.append(e)
