@@ -4,8 +4,9 @@ Method: a Bloom filter of the parent keys is broadcast. A reference that the fil
 and is ``missing``; it takes part in no join. References that the filter lets pass are verified by an exact join with
 the spans of life of the parent's loads, then all are counted.
 
-The filter has a fixed size, set by ``expected`` and ``false_positives``; with more parents than that it lets more
-references pass to the exact join and the result stays the same. Parents are one row per key with an array of their
+The filter is sized by the number of distinct parents, which is estimated first, and by ``false_positives``, up to
+``MAX_FILTER_BYTES``; with more parents than that holds it lets more references pass to the exact join and the result
+stays the same. Parents are one row per key with an array of their
 spans (the loads of one key, few by nature). They are broadcast if they are few, which is counted, else references
 are salted and the parents repeated once per salt, so that a key a third of all rows refer to is spread out.
 
@@ -29,9 +30,11 @@ from pyspark.sql import types as T
 from textloom.session import broadcast_if_small
 
 SALTS = 16
+#: The largest filter that is broadcast; it holds some 56 million keys at one percent of false positives.
+MAX_FILTER_BYTES = 64 << 20
 
 
-def _spots(keys: np.ndarray, bits: int, hashes: int) -> np.ndarray:
+def filter_spots(keys: np.ndarray, bits: int, hashes: int) -> np.ndarray:
     """The filter's positions of each key: two mixed 64-bit hashes, combined once per hash function."""
     with np.errstate(over="ignore"):
         x = keys.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
@@ -41,19 +44,23 @@ def _spots(keys: np.ndarray, bits: int, hashes: int) -> np.ndarray:
         return np.stack([(one + np.uint64(i) * two) % np.uint64(bits) for i in range(hashes)])
 
 
-def bloom_filter(keys: DataFrame, key: str, expected: int = 1_000_000, false_positives: float = 0.01) -> tuple[np.ndarray, int]:
+def bloom_filter(keys: DataFrame, key: str, expected: int | None = None, false_positives: float = 0.01) -> tuple[np.ndarray, int]:
     """The filter of the whole column as bytes, and the number of its hash functions.
 
-    Every task fills a filter of its own and passes on the words that are not zero; they are merged by ``bit_or`` on
-    the executors. What comes to the driver is the filter, of fixed size (1.2 MB by default).
+    expected: the number of distinct keys where it is known, else it is estimated. Every task fills a filter of its own
+    and passes on the words that are not zero; they are merged by ``bit_or`` on the executors. What comes to the driver
+    is the filter: 1.2 bytes a key at one percent, at most ``MAX_FILTER_BYTES``.
     """
-    bits = (int(-expected * math.log(false_positives) / math.log(2) ** 2) // 64 + 1) * 64
+    if expected is None:
+        expected = int(keys.agg(F.approx_count_distinct(key, 0.02)).first()[0] * 1.05)
+    expected = max(1000, expected)
+    bits = (min(int(-expected * math.log(false_positives) / math.log(2) ** 2), MAX_FILTER_BYTES * 8) // 64 + 1) * 64
     hashes = max(1, round(bits / expected * math.log(2)))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            spots = _spots(b.column(0).to_numpy(zero_copy_only=False), bits, hashes).ravel()
+            spots = filter_spots(b.column(0).to_numpy(zero_copy_only=False), bits, hashes).ravel()
             np.bitwise_or.at(own, spots >> np.uint64(3), np.uint8(1) << (spots & np.uint64(7)).astype(np.uint8))
         words = own.view(np.int64)
         some = np.flatnonzero(words)
@@ -65,7 +72,7 @@ def bloom_filter(keys: DataFrame, key: str, expected: int = 1_000_000, false_pos
     return out.view(np.uint8), hashes
 
 
-def find_orphans(refs: DataFrame, parents: DataFrame, expected: int = 1_000_000) -> DataFrame:
+def find_orphans(refs: DataFrame, parents: DataFrame, expected: int | None = None) -> DataFrame:
     """The distinct references that name no parent alive at their time: the columns of ``refs`` and ``reason``.
 
     refs: ``target_id``, ``ref_time`` and any further columns. parents: ``key``, ``loaded_at``, ``deleted_at``.
@@ -80,7 +87,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, expected: int = 1_000_000)
 
     def might_exist(ids: pd.Series) -> pd.Series:
         own = shared.value
-        spots = _spots(ids.to_numpy(np.int64), len(own) * 8, hashes)
+        spots = filter_spots(ids.to_numpy(np.int64), len(own) * 8, hashes)
         return pd.Series(((own[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0))
 
     tested = refs.withColumn("_hit", F.pandas_udf(might_exist, T.BooleanType())("target_id"))
