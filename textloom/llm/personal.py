@@ -2,15 +2,18 @@
 
 Method: information-theoretic sanitisation. Structured values (email addresses, phone and identity numbers, street
 addresses) are found by their form. For names the corpus decides: every term's co-occurrence with protected slots
-(after "my name is", after a title, and so on) is set against all its occurrences; its disclosure is
-log2(P(slot | term) / P(slot)). A candidate in a slot is a name if one of its terms reveals enough; a run of terms
-outside any slot is a name if all of them do. Terms that reveal little, such as function words, are kept. All
-occurrences in all texts are counted. Found values are generalised to a placeholder of their type.
+(behind "my name is" and its like, or a title) is set against all its occurrences; its disclosure is
+log2(P(slot | term) / P(slot)). Every term of every text, wherever it stands and however it is written, is a candidate:
+a name is a chain of terms that disclose enough, with the initials, particles and rare terms in it. Terms too seldom
+for a count of their own are judged by their last letters. Terms that reveal little, such as function words, are kept.
+Slots are seeds of the counts and lower what a single term needs; they are no names by themselves. All occurrences in
+all texts are counted. Found values are generalised to a placeholder of their type.
 
 Rules run on the consistent form of a text (see ``canonical``) and places refer to the original. Token rows are matched
 by their offsets, counted without plain spaces and line feeds, which no token holds.
 
-Texts themselves are not shuffled: what is shuffled are candidates and partial counts of terms.
+Texts themselves are not shuffled: what is shuffled are candidates and partial counts of terms. A name may have any
+number of terms. In scripts without spaces names are found in slots only.
 
 Defined results: null and blank texts hold nothing; values of deliveries made twice are one (in the counts of terms
 they weigh twice, on either side of the share); token rows without a letter or
@@ -22,12 +25,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.canonical import canonical_with_places
+from textloom.operators.orphans import bloom_filter, filter_spots
 from textloom.session import dimension_join, ensure_checkpoint_dir
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -80,55 +87,98 @@ _ADDRESS = [
     ),
 ]
 
-# Names. Cues are read without regard to case; what they frame is at most four terms.
-_TERM = r"[^\W\d_][^\W\d_'’\-]*(?:['’\-][^\W\d_]+)*\.?"
-_NAME = rf"{_TERM}(?:,?[ \n]{_TERM}){{0,3}}?"
-_EDGE = r"(?=[ \n]?(?:[.!?;,()\n]|$))"
-_FRAMES = [
-    re.compile(rf"\b(?i:my[ \n]name[ \n]is|my[ \n]name's|i[ \n]am[ \n]called|call[ \n]me)[ \n]({_NAME})(?=[ \n]and i\b|[ \n]and live\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:i[ \n]spoke[ \n](?:to|with)|i[ \n]talked[ \n]to|i[ \n]met|i[ \n]wrote[ \n]to|ask[ \n]for)[ \n]({_NAME})(?=[ \n](?:at|about|from|in|on|yesterday|today|last)\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:form|letter|file|application|parcel|card)[ \n](?:for|of)[ \n]({_NAME})(?=[ \n]\()", re.I),
-    re.compile(rf"\b(?:contact|attn|attention|signed|name):[ \n]?({_TERM},[ \n]{_TERM}(?=,)|{_NAME})(?=,|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:ich[ \n]heiße|mein[ \n]name[ \n]ist)[ \n]({_NAME})(?=[ \n]und\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:je[ \n]m['’]appelle|mon[ \n]nom[ \n]est)[ \n]({_NAME})(?=[ \n]et\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:j['’]ai[ \n]parlé[ \n](?:à|avec)|j['’]ai[ \n]vu|j['’]ai[ \n]écrit[ \n]à|demandez)[ \n]({_NAME})(?=[ \n](?:hier|aujourd|au|à|de|du|lundi|ce)\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:ich[ \n]habe|ich[ \n]sprach|wir[ \n]haben)[ \n]mit[ \n]({_NAME})(?=[ \n](?:gesprochen|telefoniert|über|am|im|gestern|in)\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:me[ \n]llamo|mi[ \n]nombre[ \n]es)[ \n]({_NAME})(?=[ \n]y\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:hablé[ \n]con|escribí[ \n]a|pregunté[ \n]por)[ \n]({_NAME})(?=[ \n](?:ayer|hoy|el|en|sobre)\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:la[ \n]señora|el[ \n]señor|señora|señor)[ \n]({_NAME})(?=[ \n]\(|[ \n](?:espera|vive|ha|no|es|está|llamó|pagó|dijo|tiene|quiere)\b|[.!?;\n]|$)", re.I),
-    re.compile(rf"(?:\b)(?:меня[ \n]зовут|моё[ \n]имя|мое[ \n]имя)[ \n]({_NAME})(?=[.!?;\n]|$)", re.I),
-    re.compile(rf"\b(?:με[ \n]λένε|ονομάζομαι|το[ \n]όνομά[ \n]μου[ \n]είναι)[ \n]({_NAME})(?=[.!?;\n]|$)", re.I),
-    re.compile(r"(?:اسمي|أنا اسمي)[ \n]([^\W\d_]+(?: [^\W\d_]+){1,3}?)(?=[.!؟،\n]|$)"),
-    re.compile(r"मेरा नाम[ \n]([^\s।]+(?: [^\s।]+){0,3}?)(?= है)"),
-    re.compile(r"(?:私は|私の名前は|名前は)([一-鿿々ぁ-ヺー]{2,8}?)(?=です|と申します|といいます)"),
-    re.compile(r"(?:我叫|我是|我的名字是|我的名字叫)([一-鿿]{2,4}?)(?=[。，！？、\n]|$)"),
-    re.compile(rf"\b(?:herrn?|frau)[ \n]({_NAME})(?=,?[ \n](?:erreicht|hat|ist|wohnt|wird|war|und|kommt|(?:Am |An der |Im |In der |Zum |Zur )?(?:{_UP}[\wßäöü\-]*\.? ){{1,3}}\d)|[.!?;\n]|$)", re.I),
-]
-#: A frame is tried only where one of its words stands.
-_FRAME_WORDS = [
-    ("my name", "i am called", "call me"), ("i spoke", "i talked", "i met", "i wrote", "ask for"), ("form", "letter", "file", "application", "parcel", "card"), ("contact", "attn", "attention", "signed", "name:"),
-    ("ich heiße", "mein name"), ("appelle", "mon nom"), ("ai parlé", "ai vu", "ai écrit", "demandez"), (" mit ",), ("me llamo", "mi nombre"), ("hablé con", "escribí a", "pregunté por"), ("señor",), ("зовут", "имя"), ("με λένε", "ονομάζομαι", "όνομά"),
-    ("اسمي",), ("मेरा नाम",), ("私", "名前"), ("我",), ("herr", "frau"),
-]
-_TITLE = re.compile(r"(?<![\w.])(?:(?i:mr|mrs|ms|miss|mx|dr|prof|professor|sir|madam|herrn?|frau|sr|sra|srta|sres|dña|dra|mme|mlle|monsieur|madame|mademoiselle)\.?|M\.|Г-н|г-н|Г-жа|г-жа|господин|госпожа|κ\.|κα\.?|κ\.κ\.|Δρ\.?|الدكتور|السيد|السيدة|د\.|أ\.|डॉ\.?|श्री|श्रीमती|सुश्री)[ \n](?=[^\W\d_])")
-_TITLED = re.compile(r"(?:^|[\s(])(?:mr|mrs|ms|miss|dr|prof|herrn?|frau|sr|sra|srta|dra|mme|mlle|monsieur|madame|señora?|m)\.?[ \n]$", re.I)
-_LETTERED = r"(?:[A-ZÀ-ÖØ-ÞŒŠŽΑ-ΩΆΈ-ΏА-ЯЁ][^\W\d_]*)"
-_AFTER_TITLE = re.compile(
-    rf"(?:(?:d|D|O|o|L|l)['’])?{_LETTERED}\.?(?:['’](?!s\b){_LETTERED})?(?:-{_LETTERED})*(?:[ \n](?:(?:d|D|O|o)['’])?{_LETTERED}(?:\.(?=[ \n]{_LETTERED}))?(?:['’](?!s\b){_LETTERED})?(?:-{_LETTERED})*){{0,3}}"
+# Names. A protected slot is where somebody says who somebody is: behind a cue or a title. What stands there is counted.
+_CUES = re.compile(
+    r"(?:\b(?:my[ \n]name[ \n]is|my[ \n]name['’]s|i[ \n]am[ \n]called|call[ \n]me|i[ \n](?:spoke|talked)[ \n](?:to|with)|i[ \n](?:met|wrote[ \n]to)|ask[ \n]for|on[ \n]behalf[ \n]of"
+    r"|(?:contact|attn|attention|signed|name):"
+    r"|ich[ \n]heiße|mein[ \n]name[ \n]ist|ich[ \n]bin|(?:ich[ \n]habe|ich[ \n]sprach|wir[ \n]haben)[ \n]mit|im[ \n]namen[ \n]von"
+    r"|je[ \n]m['’]appelle|mon[ \n]nom[ \n]est|j['’]ai[ \n](?:parlé[ \n](?:à|avec)|vu|écrit[ \n]à)|demandez|de[ \n]la[ \n]part[ \n]de"
+    r"|me[ \n]llamo|mi[ \n]nombre[ \n]es|hablé[ \n]con|escribí[ \n]a|pregunté[ \n]por|en[ \n]nombre[ \n]de"
+    r"|меня[ \n]зовут|мо[её][ \n]имя|με[ \n]λένε|ονομάζομαι|το[ \n]όνομά[ \n]μου[ \n]είναι)|(?<!\w)(?:أنا[ \n])?اسمي|मेरा[ \n]नाम)[ \n]",
+    re.I,
 )
-_AFTER_TITLE_UNCASED = re.compile(r"[؀-ۿऀ-ॿ]+")
-#: What follows a name at the opening of a sentence.
-_BEHIND = re.compile(r"[ \n](?=(?:left the number|lives at|lives in|left (?:a|his|her|their) number)\b|\([+\d(][\d ().+\-]{6,}\) (?:attend|espera|is waiting|wartet)\b)", re.I)
-_OPENING = re.compile(r"(?:^|(?<![^\W\d_])[^\W\d_]{2,}[.][ \n]*|\d\.[ \n]*|[\w)]\.[\w)]\.[ \n]+|[)»”\"][.][ \n]*|[!?:;…\n»”\"“)][ \n]*|, )$")
-_INITIAL = re.compile(r"[^\W\d_]\.")
-_CASED_RUN = re.compile(rf"(?<![\w'’\-@.]){_LETTERED}(?:['’\-]{_LETTERED})*(?:[ ](?:(?:d|O)['’])?{_LETTERED}(?:['’\-]{_LETTERED})*){{1,2}}(?![\w@])")
+_TITLE = re.compile(r"(?<![\w.])(?:(?i:mr|mrs|ms|miss|mx|dr|prof|professor|sir|madam|herrn?|frau|sr|sra|srta|sres|dña|dra|señora?|mme|mlle|monsieur|madame|mademoiselle)\.?|M\.|Г-н|г-н|Г-жа|г-жа|господин|госпожа|κ\.|κα\.?|κ\.κ\.|Δρ\.?|الدكتور|السيد|السيدة|د\.|أ\.|डॉ\.?|श्री|श्रीमती|सुश्री)[ \n](?=[^\W\d_])")
+#: In scripts without spaces the slot has an end as well.
+_WHOLE = [re.compile(r"(?:私は|私の名前は|名前は)([一-鿿々ぁ-ヺー]{2,}?)(?=です|と申します|といいます)"), re.compile(r"(?:我叫|我是|我的名字是|我的名字叫)([一-鿿]{2,4}?)(?=[。，！？、\n]|$)")]
+#: A term: Devanagari and Arabic words with their marks, or letters with apostrophes and hyphens.
+_TERM = re.compile(r"[ऀ-ॣॱ-ॿ]+|[ؠ-ٟٱ-ۓە-ۜ۟-۪ۨ-ۯۺ-ۿ]+|[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_UNCASED = re.compile(r"[ऀ-ॿ؀-ۿ]")
+#: Words between the terms of a name.
+PARTICLES = set("de del della di da dos das do du des la las los le van von der den zu zum zur al el bin ibn abu bint ben ter ten af av".split())
+#: Words that end what stands in a slot of a script without capitals.
+VERBS = set("है हैं हूँ था थी थे ने को से من في إن كان على إلى".split())
+_ELIDED = re.compile(r"[dlo]['’][A-ZÀ-ÖØ-Þ]")
+_POSSESSIVE = re.compile(r"['’]s$")
 _FIRM = re.compile(r"[ \n]?(?:&|(?:and|et|y|und) (?:Co|Sons)|Ltd|Inc|Co\b|GmbH|S\.A|AG\b|SARL|PLC|LLC|Road|Street|St\b|Ave|Lane|Close|Court|Crescent|Hill|Council|Office|School|Station|Party)")
-_TERMS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 
 
-def _terms(text: str) -> list[str]:
-    low = text.lower()
-    return [t for t in _TERMS.findall(low) if len(t) > 1 or not t.isascii()]
+@dataclass(frozen=True)
+class Term:
+    """A word of a text: its place, its form in lower case, and what can be seen of it."""
+
+    start: int
+    end: int
+    low: str
+    capital: bool
+    initial: bool
+    link: str  # what stands before it: a space, a comma, or another gap
+    slot: bool = False
+
+    particle = property(lambda self: self.low in PARTICLES and not self.capital)
+    #: Terms too seldom for a count of their own are judged by their last letters.
+    ending = property(lambda self: "~" + self.low[-4:])
+
+
+def _terms(form: str) -> list[Term]:
+    """All terms of a text in order; a comma or one space between two of them is a link."""
+    starts = _slots(form)
+    out: list[Term] = []
+    before = 0
+    for m in _TERM.finditer(form):
+        a, b = m.span()
+        if p := _POSSESSIVE.search(m[0]):
+            b = a + p.start()
+        raw = form[a:b]
+        gap = form[before:a]
+        dotted = form[b : b + 1] == "."
+        initial = len(raw) == 1 and dotted and not form[max(0, a - 2) : a - 1].isdigit()  # a letter behind digits is a number's
+        link = " " if gap in (" ", "\n") else "," if gap in (", ", ",\n") else "."
+        if out and link == "." and out[-1].initial and gap in (". ", ".\n", "."):
+            link = " "
+        capital = raw[0].isupper() or bool(_UNCASED.match(raw)) or bool(_ELIDED.match(raw))
+        out.append(Term(a, b + initial, raw.lower(), capital, initial, link, a in starts))
+        before = m.end()
+    return out
+
+
+def _slots(form: str) -> set[int]:
+    """Where names are to be expected: behind cues and titles."""
+    at = {m.end() for m in _CUES.finditer(form)}
+    for m in _TITLE.finditer(form):
+        if m[0][:2] == "M." and m.start() in at:
+            continue  # behind a cue or a title it is an initial
+        at.discard(m.start())
+        at.add(m.end())
+    return at
+
+
+def _capital_behind(terms: list[Term], k: int) -> bool:
+    """Whether the particles from k on lead to a capital."""
+    while k < len(terms) and terms[k].particle and terms[k].link == " ":
+        k += 1
+    return k < len(terms) and terms[k].capital and terms[k].link == " "
+
+
+def _in_slots(terms: list[Term]) -> Iterator[Term]:
+    """The terms that stand in a slot: the first, and all that go on with it and are written like it."""
+    inside = False
+    for k, t in enumerate(terms):
+        if t.slot:
+            inside = t.capital or t.initial
+        elif inside:
+            inside = t.low not in VERBS and t.link in " ," and (t.capital or t.initial or (t.particle and _capital_behind(terms, k))) and not (t.link == "," and not terms[k - 1].slot)
+        if inside and not t.initial and not t.particle:
+            yield t
 
 
 def structured(form: str) -> list[tuple[int, int, str]]:
@@ -171,91 +221,20 @@ def structured(form: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _name_start(form: str, b: int) -> int:
-    """The start of the name that ends at b: back over its terms to the opening of the sentence, or to other words."""
-    a = b
-    words = 0
-    while words < 4 and a:
-        k = a
-        while k and form[k - 1] in " \n":
-            k -= 1
-        e = k
-        while k and form[k - 1] not in " \n(«“„\"":
-            k -= 1
-        word = form[k:e]
-        bare = word.rstrip(",.")
-        if not bare or not _TERMS.fullmatch(bare) or (word[-1] == "." and len(bare) > 1):
-            break
-        if word[-1] == ",":
-            # "Surname, Given" at the opening of a sentence; any other comma ends what goes before the name
-            if words == 0 or words > 2 or not (k == 0 or _OPENING.search(form[:k]) or _TITLED.search(form[:k])) or form[:k].endswith(", ") or not (bare[0].isupper() or form[a:b].islower()):
-                break
-        elif words and not bare[0].isupper() and not re.match(r"(?i)[dol]['’]", bare) and not form[k:b].islower():
-            break
-        a, words = k, words + 1
-        if k == 0 or (_OPENING.search(form[:k]) and not form[:k].endswith(", ")):
-            break
-    return a
+_FIELDS = {"start": pa.int32(), "end": pa.int32(), "packed_start": pa.int32(), "packed_end": pa.int32(), "pii_type": pa.string(), "term": pa.string(), "inside": pa.int64(), "total": pa.int64()}
+_SCHEMA = "start int, end int, packed_start int, packed_end int, pii_type string, term string, inside long, total long"
 
 
-def names(form: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, bool]]:
-    """Candidates for names: start, end and whether they stand in a protected slot."""
-    out: list[tuple[int, int, bool]] = []
-
-    def add(a: int, b: int, slot: bool) -> None:
-        for x, y, _ in taken:
-            if x <= a < y < b:  # what stands before belongs to another value
-                a = y
-        while a < b and not form[a].isalpha():
-            a += 1
-        while b > a and (form[b - 1] in " \n,;:" or (form[b - 1] == "." and not (_INITIAL.fullmatch(form[max(a, b - 2) : b]) and (b - 2 <= a or not form[b - 3].isalpha())))):
-            b -= 1
-        if b > a and all(b <= x or a >= y for x, y, *_ in [*taken, *out]):
-            out.append((a, b, slot))
-
-    low = form.lower().replace("\n", " ")
-    for words, pattern in zip(_FRAME_WORDS, _FRAMES, strict=True):
-        if not any(w in low for w in words):
-            continue
-        for m in pattern.finditer(form):
-            a, b = m.span(1)
-            if t := _TITLE.match(form, a):
-                a = t.end()
-            add(a, b, True)
-    for m in _BEHIND.finditer(form):
-        b = m.start()
-        a = _name_start(form, b)
-        if a < b:
-            if t := _TITLE.match(form, a):
-                a = t.end()
-            add(a, b, True)
-    for m in _TITLE.finditer(form):
-        n = _AFTER_TITLE.match(form, m.end()) or _AFTER_TITLE_UNCASED.match(form, m.end())
-        if n:
-            add(n.start(), n.end(), True)
-    for m in _CASED_RUN.finditer(form):
-        if not _FIRM.match(form, m.end()):
-            add(m.start(), m.end(), False)
+def _packed(text: str) -> list[int]:
+    """For every place the number of characters before it that are no plain space or line feed."""
+    out = [0]
+    for c in text:
+        out.append(out[-1] + (c not in " \n"))
     return out
 
 
-def _found(text: str | None) -> tuple[str, list[tuple[int, int, str, list[str], bool]]]:
-    """The consistent form and all candidates in places of the original: start, end, type, terms, in a slot."""
-    if not text or not text.strip():
-        return "", []
-    form, start, end = canonical_with_places(text)
-    fixed = structured(form)
-    out = [(start[a], end[b - 1], kind, [], True) for a, b, kind in fixed]
-    out += [(start[a], end[b - 1], "name", _terms(form[a:b]), slot) for a, b, slot in names(form, fixed)]
-    return form, out
-
-
-_FIELDS = {"start": pa.int32(), "end": pa.int32(), "packed_start": pa.int32(), "packed_end": pa.int32(), "pii_type": pa.string(), "terms": pa.list_(pa.string()), "slot": pa.bool_(), "term": pa.string(), "inside": pa.int64(), "total": pa.int64()}
-_SCHEMA = "start int, end int, packed_start int, packed_end int, pii_type string, terms array<string>, slot boolean, term string, inside long, total long"
-
-
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In one reading of the texts their candidates, and partial counts of terms, in protected slots and anywhere.
+    """In one reading of the texts the values known by their form, and partial counts of terms, in slots and anywhere.
 
     Rows of counts have a term and no input; they are given out when many terms are held, and at the end.
     """
@@ -265,7 +244,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counts() -> pa.RecordBatch:
         keys = list(total)
-        cols = [pa.nulls(len(keys), t) for t in [*_FIELDS.values()][:7]]
+        cols = [pa.nulls(len(keys), t) for t in [*_FIELDS.values()][:5]]
         out = pa.RecordBatch.from_arrays([pa.nulls(len(keys), id_type), *cols, pa.array(keys, pa.string()), pa.array([inside[k] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())], names=["input_id", *_FIELDS])
         inside.clear()
         total.clear()
@@ -276,17 +255,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         at: list[int] = []
         for k, text in enumerate(b.column(1).to_pylist()):
-            form, found = _found(text)
-            total.update(_terms(form))
-            if found:
-                packed = [0]
-                for c in text:
-                    packed.append(packed[-1] + (c not in " \n"))
-                for s, e, kind, terms, slot in found:
+            if not text or not text.strip():
+                continue
+            form, start, end = canonical_with_places(text)
+            terms = _terms(form)
+            total.update(t.low for t in terms)
+            total.update(t.ending for t in terms)
+            for t in _in_slots(terms):
+                inside[t.low] += 1
+                inside[t.ending] += 1
+            for pattern in _WHOLE:
+                for m in pattern.finditer(form):
+                    total[m[1]] += 1
+                    inside[m[1]] += 1
+            if fixed := structured(form):
+                packed = _packed(text)
+                for a, e, kind in fixed:
                     at.append(k)
-                    rows.append((s, e, packed[s], packed[e], kind, terms, slot, None, None, None))
-                    if kind == "name" and slot:
-                        inside.update(terms)
+                    s, e = start[a], end[e - 1]
+                    rows.append((s, e, packed[s], packed[e], kind, None, None, None))
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(_FIELDS)
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, _FIELDS.values(), strict=True))], names=["input_id", *_FIELDS])
         if len(total) > 50_000:
@@ -296,30 +283,181 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def disclosures(counts: DataFrame) -> DataFrame:
-    """``term, bits, share`` of terms seen in slots: their disclosure and P(slot | term). counts: ``term, inside, total``."""
+    """``term, inside, total, bits, share`` of every term and ending: its disclosure and P(slot | term). counts: ``term, inside, total``."""
     counts = counts.groupBy("term").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
-    all_ = counts.agg((F.sum("inside") / F.sum("total")).alias("p")).scalar()
+    all_ = counts.where("not startswith(term, '~')").agg((F.sum("inside") / F.sum("total")).alias("p")).scalar()
     share = F.col("inside") / F.greatest("total", "inside")
-    return counts.where("inside > 0").select("term", F.log2(share / all_).alias("bits"), share.alias("share"))
+    return counts.select("term", "inside", "total", F.when(F.col("inside") > 0, F.log2(share / all_)).alias("bits"), share.alias("share"))
+
+
+def runs(terms: list[Term], discloses) -> list[list[Term]]:
+    """Stretches of terms that may hold a name: around each term that discloses, in each slot, and behind an initial.
+
+    A stretch reaches as far as terms are linked and are capitalised, initials, particles or disclosing; in lower case
+    it takes in the next term on either side as well, which may be the rest of a name. The corpus decides later.
+    """
+    out: list[list[Term]] = []
+    n, k = len(terms), 0
+    while k < n:
+        t = terms[k]
+        signed = t.initial and t.capital and k + 1 < n and terms[k + 1].link == " " and terms[k + 1].capital and not terms[k + 1].initial
+        if not (t.slot or signed or (not t.particle and discloses(t.low))):
+            k += 1
+            continue
+        a = b = k
+
+        def goes(x: Term) -> bool:
+            return x.capital or x.initial or x.low in PARTICLES or discloses(x.low)
+
+        floor = out[-1][-1].end if out else -1
+        while a and not terms[a].slot and terms[a].link in " ," and terms[a - 1].start >= floor and goes(terms[a - 1]):
+            a -= 1
+        while b + 1 < n and terms[b + 1].link in " ," and (not terms[b + 1].slot or (terms[b].initial and b > a)) and (goes(terms[b + 1]) or (terms[b + 1].link == " " and not terms[b].capital and not terms[b].particle and (b == k or goes(terms[b])))):
+            b += 1
+        if not terms[a].capital and a and not terms[a].slot and terms[a].link == " " and terms[a - 1].start >= floor:
+            a -= 1
+        out.append(terms[a : b + 1])
+        k = b + 1
+    return out
+
 
+def _runs(shared, bits: int, hashes: int):
+    """Reads the texts once more for runs around terms of the filter; a row per term of a run, with a number for the run."""
+    names = ["input_id", "run", "i", "start", "end", "packed_start", "packed_end", "term", "ending", "capital", "initial", "particle", "comma", "slot", "firm"]
+    types = [pa.int32()] * 6 + [pa.string()] * 2 + [pa.bool_()] * 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+
+        def discloses(low: str) -> bool:
+            hit = known.get(low)
+            if hit is None:
+                key = np.array([xxhash.xxh64_intdigest(low.encode(), 42)], np.uint64).view(np.int64)
+                spots = filter_spots(key, bits, hashes)
+                hit = bool(((shared.value[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1).all())
+                if len(known) < 200_000:
+                    known[low] = hit
+            return hit
+
+        for b in batches:
+            at: list[int] = []
+            rows: list[tuple] = []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                if not text or not text.strip():
+                    continue
+                form, start, end = canonical_with_places(text)
+                packed = None
+                number = 0
+                for own in runs(_terms(form), discloses):
+                    packed = packed or _packed(text)
+                    for i, t in enumerate(own):
+                        s, e = start[t.start], end[t.end - 1]
+                        at.append(k)
+                        rows.append((number, i, s, e, packed[s], packed[e], t.low, t.ending, t.capital, t.initial, t.low in PARTICLES and not t.capital, t.link == ",", t.slot, bool(_FIRM.match(form, t.end))))
+                    number += 1
+                for pattern in _WHOLE:
+                    for m in pattern.finditer(form):
+                        packed = packed or _packed(text)
+                        s, e = start[m.start(1)], end[m.end(1) - 1]
+                        at.append(k)
+                        rows.append((number, 0, s, e, packed[s], packed[e], m[1], "~", True, False, False, False, True, False))
+                        number += 1
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+
+    return run
+
+
+_RUNS = "run int, i int, start int, end int, packed_start int, packed_end int, term string, ending string, capital boolean, initial boolean, particle boolean, comma boolean, slot boolean, firm boolean"
+
+
+def names(run: list[dict], min_bits: float, min_share: float, run_share: float, rare: int) -> list[tuple[int, int, bool]]:
+    """The names in a run of terms with their counts: first and last term, and whether they stand in a slot.
+
+    A term discloses if its share, or that of its ending where it occurs ``rare`` times at most, is high enough. A name
+    is a chain of disclosing terms, initials and particles with at least one that discloses; a rare term next to one
+    that does, which nothing speaks against, is part of it where its script has capitals. Outside of slots a single term needs ``run_share``.
+    """
+
+    def share(t: dict) -> float:
+        own = t["share"] or 0.0
+        if (t["total"] or 0) <= rare and t["capital"] and (t["ending_bits"] or -9.0) >= min_bits:
+            own = max(own, t["ending_share"] or 0.0)
+        return own
 
-def find_personal(texts: DataFrame, min_bits: float = 2.0, min_share: float = 0.15, run_share: float = 0.6) -> DataFrame:
+    n = len(run)
+    strong = [not t["initial"] and not t["particle"] and share(t) >= min_share and max(t["bits"] or -9.0, t["ending_bits"] or -9.0 if (t["total"] or 0) <= rare else -9.0) >= min_bits for t in run]
+    seldom = [not t["initial"] and not t["particle"] and not s and (t["total"] or 0) <= rare and not _UNCASED.match(t["term"]) for t, s in zip(run, strong, strict=True)]
+    out: list[tuple[int, int, bool]] = []
+    k = 0
+    while k < n:
+        if not (strong[k] or run[k]["initial"] or (seldom[k] and run[k]["capital"])):
+            k += 1
+            continue
+        b = k
+        while b + 1 < n:
+            t = run[b + 1]
+            if run[b]["firm"] or (t["slot"] and not (run[b]["initial"] and b > k)):
+                break  # behind an initial within a name a slot is no title's
+            if t["comma"]:
+                # "Surname, Given": one term before the comma, and a disclosing one or an initial behind it
+                if b != k or not (strong[b + 1] or t["initial"]) or not (strong[k] or seldom[k]):
+                    break
+            elif not (strong[b + 1] or t["initial"] or t["particle"] or seldom[b + 1]):
+                break
+            b += 1
+        last = b
+        while last > k and run[last]["particle"]:
+            last -= 1
+        some = [x for x in range(k, last + 1) if strong[x]]
+        slot = run[k]["slot"]
+        if some:
+            terms = [x for x in range(k, last + 1) if not run[x]["particle"]]
+            if slot or ((len(terms) > 1 or share(run[some[0]]) >= run_share) and not run[last]["firm"]):
+                out.append((k, last, slot))
+        k = b + 1
+    return out
+
+
+def find_personal(texts: DataFrame, min_bits: float = 2.0, min_share: float = 0.15, run_share: float = 0.6, rare: int = 2, false_positives: float = 0.01) -> DataFrame:
     """Values in texts: ``input_id, start, end, packed_start, packed_end, pii_type``; texts has ``input_id, text``.
 
-    A candidate in a slot needs a term of at least ``min_bits`` and ``min_share``; outside of slots all terms of a
-    candidate need ``run_share``. The packed places count characters without plain spaces and line feeds. Texts are
-    read once; what was found in them is checkpointed, since counts and candidates are both taken from it.
+    A term discloses at ``min_bits`` and ``min_share``; see ``names`` for the rest. The packed places count characters
+    without plain spaces and line feeds. Texts are read twice: for values and counts, and, with a Bloom filter of the
+    disclosing terms, sized by their number, for runs around them; what the filter lets pass is judged by an exact join.
     """
+    spark = texts.sparkSession
     texts = texts.select("input_id", "text").where("text is not null")
-    ensure_checkpoint_dir(texts.sparkSession)
-    scan = texts.mapInArrow(_scan, f"input_id {texts.schema['input_id'].dataType.simpleString()}, {_SCHEMA}").checkpoint()
+    ensure_checkpoint_dir(spark)
+    id_type = texts.schema["input_id"].dataType.simpleString()
+    scan = texts.mapInArrow(_scan, f"input_id {id_type}, {_SCHEMA}").checkpoint()
     place = ["input_id", "start", "end", "packed_start", "packed_end"]
-    found = scan.where("term is null").select(*place, "pii_type", "terms", "slot")  # equal rows of deliveries made twice fall together below
-    known = disclosures(scan.where("term is not null").select("term", "inside", "total"))
-    terms = found.where("pii_type = 'name'").select(*place, "slot", F.explode_outer("terms").alias("term"))
-    judged = dimension_join(terms, known.withColumnRenamed("term", "_term"), F.col("term") == F.col("_term")).groupBy(*place).agg(F.max("slot").alias("slot"), F.max(F.coalesce(F.when(F.col("bits") >= min_bits, F.col("share")), F.lit(0.0))).alias("most"), F.min(F.coalesce("share", F.lit(0.0))).alias("least"))
-    kept = judged.where((F.col("slot") & (F.col("most") >= min_share)) | (~F.col("slot") & (F.col("least") >= run_share)))
-    return found.where("pii_type <> 'name'").select(*place, "pii_type").distinct().unionByName(kept.select(*place, F.lit("name").alias("pii_type")))
+    fixed = scan.where("term is null").select(*place, "pii_type").distinct()
+    known = disclosures(scan.where("term is not null").select("term", "inside", "total")).checkpoint()
+    strong = known.where(F.col("bits").isNotNull() & (F.col("bits") >= min_bits) & (F.col("share") >= min_share) & ~F.startswith("term", F.lit("~")))
+    filled, hashes = bloom_filter(strong.select(F.xxhash64("term").alias("key")), "key", false_positives=false_positives)
+    shared = spark.sparkContext.broadcast(filled)
+    found = texts.mapInArrow(_runs(shared, len(filled) * 8, hashes), f"input_id {id_type}, {_RUNS}").distinct()
+    own = known.select(F.col("term").alias("_t"), "total", "bits", "share")
+    ends = known.where(F.startswith("term", F.lit("~"))).select(F.col("term").alias("_e"), F.col("bits").alias("ending_bits"), F.col("share").alias("ending_share"))
+    counted = dimension_join(dimension_join(found, own, F.col("term") == F.col("_t")), ends, F.col("ending") == F.col("_e"))
+    fields = ["i", "term", "start", "end", "packed_start", "packed_end", "capital", "initial", "particle", "comma", "slot", "firm", "total", "bits", "share", "ending_bits", "ending_share"]
+    gathered = counted.groupBy("input_id", "run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("terms"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for k, run in enumerate(b.column(1).to_pylist()):
+                for x, y, _ in names(run, min_bits, min_share, run_share, rare):
+                    at.append(k)
+                    rows.append((run[x]["start"], run[y]["end"], run[x]["packed_start"], run[y]["packed_end"]))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in cols)], names=place)
+
+    called = gathered.select("input_id", "terms").mapInArrow(judge, f"input_id {id_type}, start int, end int, packed_start int, packed_end int").distinct()
+    taken = fixed.groupBy("input_id").agg(F.collect_list(F.struct("start", "end")).alias("_taken"))
+    free = called.join(taken, "input_id", "left").where(~F.coalesce(F.exists("_taken", lambda v: (F.col("start") < v["end"]) & (F.col("end") > v["start"])), F.lit(False)))
+    return fixed.unionByName(free.select(*place, F.lit("name").alias("pii_type")))
 
 
 def token_hits(values: DataFrame, tokens: DataFrame) -> DataFrame:
