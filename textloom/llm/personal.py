@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.canonical import canonical_with_places
+from textloom.llm.canonical import canonical, canonical_with_places
 from textloom.operators.orphans import bloom_filter, filter_spots
 from textloom.session import dimension_join, ensure_checkpoint_dir
 
@@ -103,17 +103,19 @@ _WHOLE = [re.compile(r"(?:私は|私の名前は|名前は)([一-鿿々ぁ-ヺ
 #: A term: Devanagari and Arabic words with their marks, or letters with apostrophes and hyphens.
 _TERM = re.compile(r"[ऀ-ॣॱ-ॿ]+|[ؠ-ٟٱ-ۓە-ۜ۟-۪ۨ-ۯۺ-ۿ]+|[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _UNCASED = re.compile(r"[ऀ-ॿ؀-ۿ]")
+#: Letters of an ending.
+ENDING = 4
 #: Words between the terms of a name.
 PARTICLES = set("de del della di da dos das do du des la las los le van von der den zu zum zur al el bin ibn abu bint ben ter ten af av".split())
 #: Words that end what stands in a slot of a script without capitals.
 VERBS = set("है हैं हूँ था थी थे ने को से من في إن كان على إلى".split())
+_SIGNED = re.compile(r"(?<![^\W\d_])[^\W\d_]\.[ \n]?[^\W\d_]{2}")
 _ELIDED = re.compile(r"[dlo]['’][A-ZÀ-ÖØ-Þ]")
 _POSSESSIVE = re.compile(r"['’]s$")
 _FIRM = re.compile(r"[ \n]?(?:&|(?:and|et|y|und) (?:Co|Sons)|Ltd|Inc|Co\b|GmbH|S\.A|AG\b|SARL|PLC|LLC|Road|Street|St\b|Ave|Lane|Close|Court|Crescent|Hill|Council|Office|School|Station|Party)")
 
 
-@dataclass(frozen=True)
-class Term:
+class Term(NamedTuple):
     """A word of a text: its place, its form in lower case, and what can be seen of it."""
 
     start: int
@@ -122,16 +124,17 @@ class Term:
     capital: bool
     initial: bool
     link: str  # what stands before it: a space, a comma, or another gap
-    slot: bool = False
+    particle: bool
+    slot: bool
 
-    particle = property(lambda self: self.low in PARTICLES and not self.capital)
-    #: Terms too seldom for a count of their own are judged by their last letters.
-    ending = property(lambda self: "~" + self.low[-4:])
 
+def _lows(form: str) -> Iterator[str]:
+    """All terms in lower case, without a possessive."""
+    return (t[:-2] if t[-2:] in ("'s", "’s") else t for t in _TERM.findall(form.lower()))
 
-def _terms(form: str) -> list[Term]:
-    """All terms of a text in order; a comma or one space between two of them is a link."""
-    starts = _slots(form)
+
+def _terms(form: str, starts: set[int]) -> list[Term]:
+    """All terms of a text in order, some at the starts of slots; a comma or one space between two of them is a link."""
     out: list[Term] = []
     before = 0
     for m in _TERM.finditer(form):
@@ -146,7 +149,8 @@ def _terms(form: str) -> list[Term]:
         if out and link == "." and out[-1].initial and gap in (". ", ".\n", "."):
             link = " "
         capital = raw[0].isupper() or bool(_UNCASED.match(raw)) or bool(_ELIDED.match(raw))
-        out.append(Term(a, b + initial, raw.lower(), capital, initial, link, a in starts))
+        low = raw.lower()
+        out.append(Term(a, b + initial, low, capital, initial, link, low in PARTICLES and not capital, a in starts))
         before = m.end()
     return out
 
@@ -258,12 +262,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or not text.strip():
                 continue
             form, start, end = canonical_with_places(text)
-            terms = _terms(form)
-            total.update(t.low for t in terms)
-            total.update(t.ending for t in terms)
-            for t in _in_slots(terms):
-                inside[t.low] += 1
-                inside[t.ending] += 1
+            total.update(_lows(form))
+            if slots := _slots(form):
+                inside.update(t.low for t in _in_slots(_terms(form, slots)))
             for pattern in _WHOLE:
                 for m in pattern.finditer(form):
                     total[m[1]] += 1
@@ -283,9 +284,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def disclosures(counts: DataFrame) -> DataFrame:
-    """``term, inside, total, bits, share`` of every term and ending: its disclosure and P(slot | term). counts: ``term, inside, total``."""
-    counts = counts.groupBy("term").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
-    all_ = counts.where("not startswith(term, '~')").agg((F.sum("inside") / F.sum("total")).alias("p")).scalar()
+    """``term, inside, total, bits, share`` of every term and ending (behind a tilde): its disclosure and P(slot | term).
+
+    counts: ``term, inside, total``. Terms too seldom for a count of their own are judged by their last letters.
+    """
+    own = counts.groupBy("term").agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
+    endings = own.groupBy(F.concat(F.lit("~"), F.substring("term", -ENDING, ENDING)).alias("term")).agg(F.sum("inside").alias("inside"), F.sum("total").alias("total"))
+    all_ = own.agg((F.sum("inside") / F.sum("total")).alias("p")).scalar()
+    counts = own.unionByName(endings)
     share = F.col("inside") / F.greatest("total", "inside")
     return counts.select("term", "inside", "total", F.when(F.col("inside") > 0, F.log2(share / all_)).alias("bits"), share.alias("share"))
 
@@ -345,15 +351,18 @@ def _runs(shared, bits: int, hashes: int):
             for k, text in enumerate(b.column(1).to_pylist()):
                 if not text or not text.strip():
                     continue
+                form = canonical(text)
+                if not (_SIGNED.search(form) or any(map(discloses, _lows(form))) or any(p.search(form) for p in _WHOLE)):
+                    continue
                 form, start, end = canonical_with_places(text)
                 packed = None
                 number = 0
-                for own in runs(_terms(form), discloses):
+                for own in runs(_terms(form, _slots(form)), discloses):
                     packed = packed or _packed(text)
                     for i, t in enumerate(own):
                         s, e = start[t.start], end[t.end - 1]
                         at.append(k)
-                        rows.append((number, i, s, e, packed[s], packed[e], t.low, t.ending, t.capital, t.initial, t.low in PARTICLES and not t.capital, t.link == ",", t.slot, bool(_FIRM.match(form, t.end))))
+                        rows.append((number, i, s, e, packed[s], packed[e], t.low, "~" + t.low[-ENDING:], t.capital, t.initial, t.particle, t.link == ",", t.slot, bool(_FIRM.match(form, t.end))))
                     number += 1
                 for pattern in _WHOLE:
                     for m in pattern.finditer(form):
