@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.session import dimension_join, ensure_checkpoint_dir
+
 #: Letters that look alike, Latin to Cyrillic and Latin to Greek.
 _CYRILLIC = dict(zip("aceopxyisjhkdqwABCEHIJKMOPSTXY", "асеорхуіѕјһкԁԛԝАВСЕНІЈКМОРЅТХУ", strict=True))
 _GREEK = dict(zip("aeiknopuvxyABEZHIKMNOPTYX", "αεικηορυνχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", strict=True))
@@ -134,7 +136,7 @@ def canonical(text: str | None) -> str | None:
 def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
     """The consistent form of a text and, for each of its characters, start and end of what it stands for.
 
-    A text with stray marks that change places in its consistent form is given back unchanged.
+    A letter and the marks behind it are brought to their form together, and each character of it has the place of both.
     """
     form = canonical(text)
     if form == text:
@@ -151,8 +153,8 @@ def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
     k, n = 0, len(seen)
     while k < n:
         j = k + 1
-        while j < n and ((unicodedata.category(seen[j][1])[0] == "M" and not _JOINER.match(seen[j][1])) or seen[j][1] in "ﾞﾟ"):
-            j += 1
+        while j < n and ((unicodedata.category(seen[j][1])[0] == "M" and not _JOINER.match(seen[j][1])) or seen[j][1] in "ﾞﾟ" or "\u1160" <= seen[j][1] <= "\u11ff"):
+            j += 1  # marks, and the vowels and finals of Korean syllables
         part = "".join(c for _, c in seen[k:j])
         if not keep.match(part):
             part = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", part))
@@ -175,9 +177,6 @@ def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
                     b -= 1
                 out[a:b] = r[0]
         joined = "".join(out)
-    if joined != form:  # marks in an order that no letter takes them in; such a text is left as it is
-        places = list(range(len(text) + 1))
-        return text, places[:-1], places[1:]
     return joined, start, end
 
 
@@ -213,17 +212,18 @@ def open_words_udf(s: pd.Series) -> pd.Series:
     return s.map(_open_words)
 
 
-@F.pandas_udf(T.StringType())
-def _settle_udf(text: pd.Series, choices: pd.Series) -> pd.Series:
-    def settle(t, c):
-        c = dict(c or {})
-        if not c:
-            return canonical(t)
-        t = plain_characters(t)
-        main = _main_script(t)
-        return unicodedata.normalize("NFC", _WORD.sub(lambda m: c.get(m[0]) or (readings(m[0], main) or [m[0]])[0], t))
+def _settled(text: str | None, best: dict[str, str]) -> str | None:
+    """The consistent form of a text; best: the readings that the vocabulary has settled."""
+    if not best:
+        return canonical(text)
+    text = plain_characters(text)
+    main = _main_script(text)
+    return unicodedata.normalize("NFC", _WORD.sub(lambda m: best.get(m[0]) or (readings(m[0], main) or [m[0]])[0], text))
+
 
-    return pd.Series([settle(t, c) for t, c in zip(text, choices, strict=True)], dtype=object)
+def _best(opened: list[list[str]], known) -> dict[str, str]:
+    """Of each open word the first reading that the vocabulary has, else the first; the word itself is no evidence."""
+    return {w: next((r for r in rs if r != w and known(r.lower())), rs[0]) for w, *rs in opened}
 
 
 def vocabulary(df: DataFrame, col: str) -> DataFrame:
@@ -236,26 +236,54 @@ def _mixed(c):
     return (c.rlike(r"[Ͱ-ԯἀ-῿]") & c.rlike(r"[A-Za-zÀ-ʯḀ-ỿ]")) | (c.rlike(r"[Ͱ-Ͽ]") & c.rlike(r"[Ѐ-ԯ]"))
 
 
-def canonical_form(df: DataFrame, col: str, vocab: DataFrame | None = None, out: str = "canonical", changed: str = "is_changed") -> DataFrame:
+#: Characters that are never changed; a text of these only is in the consistent form.
+PLAIN = r"^[\n\r -~]*$"
+
+
+def canonical_form(df: DataFrame, col: str, vocab: DataFrame | None = None, out: str = "canonical", changed: str = "is_changed", max_known: int = 200_000) -> DataFrame:
     """``df`` with the consistent form of ``df[col]`` in ``out`` and whether it differs in ``changed``.
 
     vocab: words in column ``word`` (see ``vocabulary``); it decides for words that can be read in two scripts, and for
-    words made of look-alikes only, which are repaired if the vocabulary has the result. Only texts with such
-    words take part in a join, on the text itself; all other rows are mapped where they are.
+    words made of look-alikes only, which are repaired if the vocabulary has the result. The readings that are asked for
+    and known are written once; up to ``max_known`` of them, which is counted, are sent to all tasks and every row is
+    mapped where it is. Beyond that texts with such words are joined to their settled readings, spread by salts.
     """
     df = df.drop(out, changed)
     differs = ~F.col(out).eqNullSafe(F.col(col))
     if vocab is None:
         return df.withColumn(out, canonical_udf(F.col(col))).withColumn(changed, differs)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     foreign = F.coalesce(F.col(col).rlike("[Ͱ-ԯἀ-῿]"), F.lit(False))
-    asked = df.where(foreign).withColumn("_opened", open_words_udf(col))
-    closed = asked.where(F.size("_opened") == 0).drop("_opened")
-    asking = asked.where(F.size("_opened") > 0)
-    opened = asking.select(F.col(col).alias("_text"), "_opened").distinct().withColumn("_open", F.explode("_opened")).select("_text", F.col("_open")[0].alias("_word"), F.posexplode(F.slice("_open", 2, 8)).alias("_rank", "_reading"))
-    known = opened.join(vocab.select(F.col("word").alias("_v")).distinct(), (F.lower("_reading") == F.col("_v")) & (F.col("_reading") != F.col("_word")), "left")
-    best = known.groupBy("_text", "_word").agg(F.min_by("_reading", F.struct(F.col("_v").isNull(), "_rank")).alias("_best"))
-    choices = best.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_best"))).alias("_choices"))
-    settled = choices.select("_text", _settle_udf("_text", "_choices").alias("_settled"))
-    plain = df.where(~foreign).unionByName(closed).withColumn(out, canonical_udf(F.col(col)))
-    mended = asking.drop("_opened").join(settled, F.col(col) == F.col("_text"), "left").withColumn(out, F.coalesce("_settled", canonical_udf(F.col(col)))).drop("_text", "_settled")
-    return plain.unionByName(mended).withColumn(changed, differs)
+    opened = df.where(foreign).select(F.col(col).alias("_text")).withColumn("_opened", open_words_udf("_text")).where(F.size("_opened") > 0)
+    asked = opened.select(F.explode("_opened").alias("_open")).select(F.explode(F.filter("_open", lambda r: r != F.col("_open")[0])).alias("_reading")).select(F.lower("_reading").alias("_reading")).distinct()
+    known = asked.join(vocab.select(F.col("word").alias("_reading")).distinct(), "_reading", "left_semi").checkpoint()
+    if known.count() <= max_known:
+        shared = spark.sparkContext.broadcast(frozenset(r[0] for r in known.collect()))
+
+        def settle(s: pd.Series) -> pd.Series:
+            has = shared.value.__contains__
+            return s.map(lambda t: _settled(t, _best(_open_words(t), has)), na_action="ignore")
+
+        return df.withColumn(out, F.pandas_udf(settle, T.StringType())(F.col(col))).withColumn(changed, differs)
+    each = opened.distinct().withColumn("_open", F.explode("_opened")).select("_text", F.col("_open")[0].alias("_word"), F.posexplode(F.slice("_open", 2, 8)).alias("_rank", "_choice"))
+    hits = dimension_join(each, known, (F.lower("_choice") == F.col("_reading")) & (F.col("_choice") != F.col("_word")), max_rows=max_known)
+    best = hits.groupBy("_text", "_word").agg(F.min_by("_choice", F.struct(F.col("_reading").isNull(), "_rank")).alias("_best"))
+    settled = best.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_best"))).alias("_choices")).select("_text", _settle_udf("_text", "_choices").alias("_settled")).checkpoint()
+    mended = dimension_join(df, settled, F.when(foreign, F.col(col)) == F.col("_text"), max_rows=max_known)
+    return mended.withColumn(out, F.coalesce("_settled", canonical_udf(F.col(col)))).drop("_text", "_settled").withColumn(changed, differs)
+
+
+@F.pandas_udf(T.StringType())
+def _settle_udf(text: pd.Series, choices: pd.Series) -> pd.Series:
+    return pd.Series([_settled(t, dict(c or {})) for t, c in zip(text, choices, strict=True)], dtype=object)
+
+
+def changed_words(df: DataFrame, col: str, vocab: DataFrame | None = None) -> DataFrame:
+    """``word, form`` of the distinct words of ``df[col]`` that the consistent form changes; written once.
+
+    Each word is looked at once, however often it stands; those of plain characters only are not looked at.
+    """
+    words = df.select(F.col(col).alias("word")).where(~F.col("word").rlike(PLAIN)).distinct()
+    ensure_checkpoint_dir(df.sparkSession)
+    return canonical_form(words, "word", vocab, out="form").where("is_changed").select("word", "form").checkpoint()

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.canonical import canonical_form, vocabulary
+from textloom.llm.canonical import PLAIN, canonical_form, changed_words, vocabulary
 from textloom.llm.leakage import find_leaks
 from textloom.llm import moderation
 from textloom.llm.packing import pack, token_counts
 from textloom.llm.personal import find_personal, mask, token_hits
 from textloom.llm.sentences import find_sentences
 from textloom.llm.term_counts import mark_terms, term_counts
+from textloom.session import dimension_join
 from textloom.sources import read_table
 
 
@@ -23,8 +24,9 @@ def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and inputs of every term of word, stem and pos, with its mark."""
     tokens = read_table(spark, d, "token_stream").select("input_id", "seq", "word", "stem", "pos")
-    formed = canonical_form(tokens, "word", _vocabulary(spark, d), out="form")
-    counts = term_counts(formed, {"word": F.lower("form"), "stem": F.col("stem").cast("string"), "pos": F.upper("pos")}, "input_id", "seq")
+    changed = changed_words(tokens, "word", _vocabulary(spark, d)).withColumnRenamed("word", "_word")
+    formed = dimension_join(tokens, changed, F.col("word") == F.col("_word"))
+    counts = term_counts(formed, {"word": F.lower(F.coalesce("form", "word")), "stem": F.col("stem").cast("string"), "pos": F.upper("pos")}, "input_id", "seq")
     return mark_terms(counts, tokens.agg(F.countDistinct("input_id").alias("n")))
 
 
@@ -56,18 +58,29 @@ def p4_masked(spark: SparkSession, d: str) -> DataFrame:
     return mask(*_personal(spark, d))
 
 
+def _originals(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "tokenized_input").select("input_id", "original")
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every original and word: ``src, input_id, seq, text, form, is_changed``."""
-    originals = read_table(spark, d, "tokenized_input").select(F.lit("original").alias("src"), "input_id", F.lit(-1).alias("seq"), F.col("original").alias("text"))
-    words = read_table(spark, d, "token_stream").select(F.lit("word").alias("src"), "input_id", F.col("seq").cast("int").alias("seq"), F.col("word").alias("text"))
-    return canonical_form(originals.union(words), "text", _vocabulary(spark, d), out="form").dropDuplicates(["src", "input_id", "seq"])
+    vocab = _vocabulary(spark, d)
+    texts = canonical_form(_originals(spark, d).dropDuplicates(["input_id"]), "original", vocab, out="form")
+    tokens = read_table(spark, d, "token_stream").select("input_id", F.col("seq").cast("int").alias("seq"), "word").dropDuplicates(["input_id", "seq"])
+    words = dimension_join(tokens, changed_words(tokens, "word", vocab).withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"))
+    return texts.select(F.lit("original").alias("src"), "input_id", F.lit(-1).alias("seq"), F.col("original").alias("text"), "form", "is_changed").unionByName(
+        words.select(F.lit("word").alias("src"), "input_id", "seq", F.col("word").alias("text"), F.coalesce("form", "word").alias("form"), F.col("_word").isNotNull().alias("is_changed"))
+    )
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    originals = read_table(spark, d, "tokenized_input").select(F.lit("original").alias("src"), "input_id", F.lit(-1).alias("seq"), F.col("original").alias("text"))
-    words = read_table(spark, d, "token_stream").select(F.lit("word").alias("src"), "input_id", F.col("seq").cast("int").alias("seq"), F.col("word").alias("text"))
-    formed = canonical_form(originals.union(words), "text", _vocabulary(spark, d), out="form")
-    return formed.where("is_changed").select("src", "input_id", "seq").distinct()
+    tokens = read_table(spark, d, "token_stream").select("input_id", F.col("seq").cast("int").alias("seq"), "word")
+    words = tokens.select(F.lit(None).cast("long").alias("input_id"), F.col("word").alias("text")).where(~F.col("text").rlike(PLAIN)).distinct()
+    texts = _originals(spark, d).withColumnRenamed("original", "text").where(~F.col("text").rlike(PLAIN)).select("input_id", "text", F.lit("original").alias("src"))
+    formed = canonical_form(texts.unionByName(words.withColumn("src", F.lit("word"))), "text", _vocabulary(spark, d), out="form").where("is_changed")
+    changed = formed.select("src", "input_id", F.when(F.col("src") == "word", F.col("text")).alias("_word")).checkpoint()
+    hits = dimension_join(tokens, changed.where("src = 'word'").select("_word"), F.col("word") == F.col("_word"), "left_semi")
+    return changed.where("src = 'original'").select("src", "input_id", F.lit(-1).alias("seq")).unionByName(hits.select(F.lit("word").alias("src"), "input_id", "seq")).distinct()
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:

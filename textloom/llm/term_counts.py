@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PARTIAL = "field string, term string, occurrences long, records long"
+_PARTIAL = "term string, field string, occurrences long, records long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a partition sorted by field, term, record and place: one row per run of equal terms and batch.
+    """Counts of a partition sorted by term, field, record and place: one row per run of equal terms and batch.
 
     A run that crosses batches gives several rows; the last record and place seen are carried over, so that nothing
     is counted twice.
@@ -45,7 +45,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(term | (np.arange(n) == 0))
         yield pa.RecordBatch.from_arrays(
             [cols[0].take(pa.array(starts)), cols[1].take(pa.array(starts)), pa.array(np.add.reduceat(place.astype(np.int64), starts)), pa.array(np.add.reduceat(record.astype(np.int64), starts))],
-            names=["field", "term", "occurrences", "records"],
+            names=["term", "field", "occurrences", "records"],
         )
         last = tuple(c[n - 1].as_py() for c in cols)
 
@@ -57,7 +57,8 @@ def term_counts(df: DataFrame, terms: dict[str, Column], record: str, place: str
     """
     long = df.select(F.col(record).cast("long").alias("record"), F.col(place).cast("long").alias("place"), F.explode(F.array(*(F.struct(F.lit(k).alias("field"), c.alias("term")) for k, c in terms.items()))).alias("t"))
     pairs = long.select("t.field", "t.term", "record", "place").where("term is not null and record is not null and place is not null")
-    placed = pairs.repartitionByRange(F.col("field"), F.col("term"), F.col("record")).sortWithinPartitions("field", "term", "record", "place")
+    # the term goes before the field, so that the sort is settled by its first bytes for most rows
+    placed = pairs.select("term", "field", "record", "place").repartitionByRange(F.col("term"), F.col("field"), F.col("record")).sortWithinPartitions("term", "field", "record", "place")
     return placed.mapInArrow(_runs, _PARTIAL).groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
