@@ -17,10 +17,37 @@ def _phrases(spark, *phrases):
 
 
 def test_the_span_is_the_matched_phrase(spark):
-    found = spans.candidates(_tokens(spark, "in new york city map"), _phrases(spark, "new york", "new york city hall"), longest=4)
+    found = spans.candidates(_tokens(spark, "in new york city map"), _phrases(spark, "new york", "new york city hall"))
     assert [tuple(r) for r in spans.leftmost_longest(found).collect()] == [(1, 1, 2, "new york")]
 
 
+def test_phrases_of_any_length(spark):
+    text = "see new york city hall and the museum of modern art in the city of new york today"
+    long = "the museum of modern art in the city of new york"
+    found = spans.leftmost_longest(spans.candidates(_tokens(spark, text), _phrases(spark, "new york city hall", "new york", long, "modern art")))
+    assert sorted((r["seq"], r["n"], r["phrase"]) for r in found.collect()) == [(1, 4, "new york city hall"), (6, 11, long)]
+    assert spans.candidates(_tokens(spark, text), _phrases(spark).limit(0)).count() == 0
+
+
+def test_phrases_need_neighbours(spark):
+    t = spark.createDataFrame([(1, 0, "new", "NN", "word"), (1, 2, "york", "NN", "word"), (2, 0, "New", "NN", "word"), (2, 1, "York", "NN", "word"), (3, 0, None, "NN", "word")], TOKENS)
+    assert [(r["input_id"], r["seq"]) for r in spans.candidates(t, _phrases(spark, "new york")).collect()] == [(2, 0)]
+
+
+def test_merged_view_takes_every_kind_of_span(spark):
+    pre = spark.createDataFrame(preprocess_rows(), "word string, tag string, value string")
+    words = "she will run and had eaten bread 3 days ago in new york city hall".split()
+    tags = "PRP MD VB CC VBD VBN NN SYS NNS RB IN JJ NNP NN NN".split()
+    t = spark.createDataFrame([(1, i, w, p, "word", i + 1) for i, (w, p) in enumerate(zip(words, tags, strict=True))], TOKENS + ", token_id int")
+    view = spans.merged_view(t, spans.all_spans(t, _phrases(spark, "new york city hall"), pre)).orderBy("seq").collect()
+    assert [(r["seq"], r["n"], r["word"], r["pos"], r["kind"]) for r in view if r["kind"]] == [
+        (1, 2, "will run", "VF", "future"), (4, 2, "had eaten", "VHP", "verb"), (7, 3, "|past_date_period|", "SYS", "period"), (11, 4, "new york city hall", "MWE", "mwe"),
+    ]
+    assert sum(r["n"] for r in view) == len(words) and [r["word"] for r in view if not r["kind"]] == ["she", "and", "bread", "in"]
+    scoring = spans.merged_view(t, spans.all_spans(t, _phrases(spark, "new york city hall"), pre, scoring=True)).collect()
+    assert [r["word"] for r in scoring if r["kind"]] == ["new york city hall"]
+
+
 def test_leftmost_longest_equals_a_scan(spark):
     rng = random.Random(3)
     texts = {k: [rng.choice("abcd") for _ in range(40)] for k in range(25)}
@@ -65,6 +92,9 @@ def test_periods(spark):
     assert got("3 days ago") == [("|past_date_period|", 0, 2)]
     assert got("in 3 weeks") == [("|future_date_period|", 0, 2)]
     assert got("three hours") == []
+    assert got("next march") == [("|future_month|", 0, 1)]
+    assert got("weeks later") == [("|future_date_period|", 0, 1)]
+    assert got("the last 10 minutes") == [("|past_time_period|", 1, 3)]
 
 
 def test_intents(spark):
@@ -75,6 +105,12 @@ def test_intents(spark):
     assert spans.intent_scores(spans.intents(_tokens(spark, "a b"), table), _tokens(spark, "a b")).first()["intent"] == "neutral"
 
 
+def test_intents_of_any_length(spark):
+    path = "it would be of great help to me if you could"
+    table = spark.createDataFrame([(path, len(path.split()), "request")], "phrase string, n int, intent string")
+    assert [r["n"] for r in spans.intents(_tokens(spark, f"well {path} come"), table).collect()] == [11]
+
+
 def test_decoding_equals_brute_force(spark):
     import itertools
     import math
@@ -89,11 +125,14 @@ def test_decoding_equals_brute_force(spark):
             rows.append((k, i, w, {"dog": rng.choice(["NN", "NN", "VB"]), "run": rng.choice(["VB", "VB", "NN"]), "red": "JJ"}[w], "word"))
         rows.append((k, 5, ".", "SS", "word"))
     s = hmm.sentences(spark.createDataFrame(rows, TOKENS))
-    got = {(r["input_id"], r["seq"]): r["tag"] for r in hmm.decode(s, senses, tags).collect()}
-    ini = {r["tag"]: r["lp"] for r in hmm.initial(s).collect()}
-    tr = {(r["prev_tag"], r["tag"]): r["lp"] for r in hmm.transitions(s).collect()}
-    em = {(r["tag"], r["word"]): r["lp"] for r in hmm.emissions(s).collect()}
-    miss = {r["tag"]: r["lp"] for r in hmm.unseen(s).collect()}
+    model = hmm.train(s)
+    decoded = hmm.decode(s, model, senses, tags).collect()
+    got = {(r["input_id"], r["seq"]): r["tag"] for r in decoded}
+    assert all(0 < r["confidence"] <= 1 for r in decoded) and len(decoded) == len(rows)
+    ini = {r["tag"]: r["lp"] for r in model.initial().collect()}
+    tr = {(r["prev_tag"], r["tag"]): r["lp"] for r in model.transitions().collect()}
+    em = {(r["tag"], r["word"]): r["lp"] for r in model.emissions().collect()}
+    miss = {r["tag"]: r["lp"] for r in model.unseen().collect()}
     code = {"NN": 14, "VB": 31, "SS": 27, "JJ": 8}
     options = {"dog": ["NN", "VB"], "run": ["NN", "VB"], "red": ["JJ"], ".": ["SS"]}
     for k in range(12):
@@ -111,6 +150,11 @@ def test_decoding_equals_brute_force(spark):
         assert math.isclose(value(found), value(best), abs_tol=1e-9), (found, best, code)
 
 
+def test_tags_that_are_none_count_as_unknown(spark):
+    rows = [(1, 0, "a", "N N", "word"), (1, 1, "b", "xx", "word"), (1, 2, "c", None, "word"), (1, 3, "d", "nn", "word")]
+    assert [r["t"] for r in hmm.sentences(spark.createDataFrame(rows, TOKENS)).orderBy("seq").collect()] == ["FW", "FW", "FW", "NN"]
+
+
 def test_category_depth(spark):
     class Lx:
         tokens = spark.createDataFrame([(1, [3]), (2, [9]), (3, None)], "token_id int, categories array<smallint>")

@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The tag set.
+TAGS = "CC CS CA DT EX FW IN JJ JJR JJS LS MD MWE NN NNS NNP NNPS NM NZ PDT PR PRP PUNC RB RBR RBS SS SYM SYS UH VB VBD VBG VBN VBP VBZ VF VFG VH VHF VHP VHZ WDT WPR WPRP WRB".split()
+
+
+def known_tag(c: Column) -> Column:
+    """The tag in upper case; FW for null and for what is no tag."""
+    return F.when(F.upper(c).isin(TAGS), F.upper(c)).otherwise("FW")
+
+
 def _tag(c: Column) -> Column:
     return F.coalesce(F.upper(c), F.lit("FW"))
 

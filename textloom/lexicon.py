@@ -39,14 +39,16 @@ def preprocess_rows() -> list[tuple[str, str, str]]:
     return rows + [(s, "|ordinal|", s) for s in ORDINAL_SUFFIXES] + [("s", "|date_period|", "s")]
 
 
-def distinct_stream(stream: DataFrame) -> DataFrame:
-    """Token rows, each key once: of several deliveries the first.
+def distinct_stream(stream: DataFrame, *columns: str) -> DataFrame:
+    """Token rows with ``columns`` (all by default), each key once: of several deliveries the first, of those at one time
+    that of the least hash of these columns, so that all values are of one delivery.
 
-    One shuffle by input serves the deduplication and all windows over an input behind it; every column is taken by
-    itself, so that a query reads only those it needs.
+    One shuffle by input serves the deduplication and all windows over an input behind it. Only the columns named are read.
     """
-    rest = [c for c in stream.columns if c not in ("input_id", "seq")]
-    return stream.repartition("input_id").groupBy("input_id", "seq").agg(*(F.min_by(c, "ingested_at").alias(c) for c in rest))
+    rest = [c for c in columns or stream.columns if c not in ("input_id", "seq")]
+    kept = stream.select("input_id", "seq", "ingested_at", *(c for c in rest if c != "ingested_at"))
+    first = F.min_by(F.struct(*rest), F.struct("ingested_at", F.xxhash64(*rest)))
+    return kept.repartition("input_id").groupBy("input_id", "seq").agg(first.alias("_")).select("input_id", "seq", "_.*")
 
 
 @dataclass
@@ -90,6 +92,12 @@ class Lexicon:
     def preprocess(self) -> DataFrame:
         return self.spark.createDataFrame(preprocess_rows(), "word string, tag string, value string")
 
+    def phrases(self) -> DataFrame:
+        """``phrase, n, mwe_type, token_id``: the dictionary's entries of several words, which serve both views."""
+        words = F.split(F.trim(F.lower("word")), r"\s+")
+        own = self.tokens.where(F.col("word").contains(" ")).select(F.array_join(words, " ").alias("phrase"), F.size(words).alias("n"), F.lit("both").alias("mwe_type"), "token_id").where("n >= 2")
+        return own.groupBy("phrase", "n", "mwe_type").agg(F.min("token_id").alias("token_id"))
+
     def default_senses(self) -> DataFrame:
         """``word, pos, token_id, potential_pos``: the first sense of each word, and all its tags in order."""
         return self.senses.groupBy("word").agg(F.min_by("pos", "ord").alias("pos"), F.min_by("token_id", "ord").alias("token_id"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos"))), lambda s: s["pos"]).alias("potential_pos"))

@@ -60,26 +60,34 @@ def shape(word: Column) -> Column:
     )
 
 
-def peel(words: DataFrame, key: str) -> DataFrame:
-    """``key, pos, sub, part, token_type``: symbols before a word, its core, symbols behind it, in source order."""
+def parts(words: DataFrame, key: str) -> DataFrame:
+    """``key, pos, sub, part, token_type, is_possessive``: symbols before a word, its core, symbols behind it, in source order."""
     s = words.where(F.col("word") != NEWLINE).select(key, "pos", shape(F.col("word")).alias("s"))
 
     def chars(c: Column) -> Column:
         return F.filter(F.split(c, ""), lambda x: x != "")
 
-    parts = F.concat(
-        F.transform(chars(F.col("s.prefix")), lambda x: F.struct(x.alias("part"), F.lit("prefix").alias("token_type"))),
-        F.when(F.col("s.core") == "", F.array()).otherwise(F.array(F.struct(F.col("s.core").alias("part"), F.lit("word").alias("token_type")))),
-        F.transform(chars(F.col("s.suffix")), lambda x: F.struct(x.alias("part"), F.lit("suffix").alias("token_type"))),
+    def part(x: Column, kind: str, possessive: Column) -> Column:
+        return F.struct(x.alias("part"), F.lit(kind).alias("token_type"), possessive.alias("is_possessive"))
+
+    all_ = F.concat(
+        F.transform(chars(F.col("s.prefix")), lambda x: part(x, "prefix", F.lit(False))),
+        F.when(F.col("s.core") == "", F.array()).otherwise(F.array(part(F.col("s.core"), "word", F.col("s.is_possessive")))),
+        F.transform(chars(F.col("s.suffix")), lambda x: part(x, "suffix", F.lit(False))),
     )
-    return s.select(key, "pos", F.posexplode(parts).alias("sub", "p")).select(key, "pos", "sub", "p.part", "p.token_type")
+    return s.select(key, "pos", F.posexplode(all_).alias("sub", "p")).select(key, "pos", "sub", "p.part", "p.token_type", "p.is_possessive")
+
+
+def peel(words: DataFrame, key: str) -> DataFrame:
+    """``key, pos, sub, part, token_type``: see ``parts``."""
+    return parts(words, key).drop("is_possessive")
 
 
-def expand(parts: DataFrame, preprocess: DataFrame, key: str) -> DataFrame:
-    """``key, pos, sub, subsub, part, tag, value``: contractions split into their words, other special words tagged."""
+def expand(parts: DataFrame, preprocess: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key, pos, sub, subsub, part, tag, value`` and the columns ``keep``: contractions split into their words, other special words tagged."""
     hit = parts.join(preprocess.select(F.col("word").alias("_w"), "tag", "value"), F.lower("part") == F.col("_w"), "left")
     own = F.when(F.col("tag") == "|contraction|", F.split("value", " ")).otherwise(F.array("part"))
-    return hit.select(key, "pos", "sub", F.posexplode(own).alias("subsub", "part"), "tag", F.when(F.col("tag") != "|contraction|", F.col("value")).alias("value"))
+    return hit.select(key, "pos", "sub", F.posexplode(own).alias("subsub", "part"), "tag", F.when(F.col("tag") != "|contraction|", F.col("value")).alias("value"), *keep)
 
 
 def special_tokens(words: DataFrame, preprocess: DataFrame, key: str) -> DataFrame:

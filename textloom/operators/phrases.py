@@ -3,6 +3,8 @@
 Reading is sequential: what a token does depends on all before it. Each input's tokens are gathered, a row per input
 bounded by its text, and read by a small state machine in Python over Arrow. Places are offsets into the input's rows.
 
+Texts are read over a view in which spans take the place of the tokens they cover.
+
 Decisions where the order of reading would leave a choice: the last phrase is closed once and covers all its tokens,
 words are compared in lower case, of equal scores the first by name wins, and an empty input has no phrase.
 """
@@ -17,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import predicates as P
+from textloom.lexicon import Lexicon
+from textloom.operators import categories as C
 from textloom.operators.spans import intent_rows
 from textloom.session import dimension_join
 
 # Fixed value: non-pronoun tokens after which all antecedents are forgotten.
 MEMORY = 30
 SEPARATORS = {",", ";", "-", "+"}
-ASKING = {"who", "what", "where", "why", "how", "when"}
+ASKING = {"who", "what", "where", "why"}
+CONJUNCTIONS = {"CC", "CS", "CA"}
 PAST, FUTURE = {"VBD", "VBN", "VHP"}, {"VF", "VFG", "VHF"}
 
 
@@ -39,6 +44,7 @@ class Unit:
     separators: list[int] = field(default_factory=list)
     auxiliaries: list[int] = field(default_factory=list)
     objects: list[int] = field(default_factory=list)
+    linkers: list[int] = field(default_factory=list)
     modifiers: list[Unit] = field(default_factory=list)
     siblings: list[Unit] = field(default_factory=list)
 
@@ -127,10 +133,13 @@ class Antecedents:
 
 
 class Reader:
-    """Reads an input's tokens into phrases."""
+    """Reads an input's tokens into phrases.
+
+    whole: whether the kind of a phrase is judged by all tokens of the text so far, or by its own only.
+    """
 
-    def __init__(self, intents: dict[tuple[str, ...], str]):
-        self.paths = intents
+    def __init__(self, intents: dict[tuple[str, ...], str], whole: bool = True):
+        self.paths, self.whole = intents, whole
         self.longest = max(map(len, intents), default=0)
 
     def read(self, tokens: list[dict]) -> tuple[list[Phrase], list[tuple[int, str]]]:
@@ -173,6 +182,10 @@ class Reader:
                 self.determiners.append(x)
             elif t["pos"] == "CC" or t["word"] in SEPARATORS:
                 self.separators.append(x)
+            if t["pos"] in CONJUNCTIONS:
+                self.linkers.append(x)
+            if t["pos"] == "IN" or t["pos"] in CONJUNCTIONS or t["word"] == ",":
+                self.splitters.append(x)
             if not t["is_pronoun"]:
                 antecedents.other(t)
             last_pos = t["pos"]
@@ -188,6 +201,8 @@ class Reader:
         self.separators: list[int] = []
         self.auxiliaries: list[int] = []
         self.predicatives: list[int] = []
+        self.linkers: list[int] = []
+        self.splitters: list[int] = []
 
     def _intent(self, x: int) -> None:
         for n in range(1, self.longest + 1):
@@ -196,15 +211,40 @@ class Reader:
                 self.found[self.paths[key]] = self.found.get(self.paths[key], 0) + n
                 return
 
+    def _settle_adverbs(self, x: int) -> None:
+        """Gives the verb before x its linkers and those pending adverbs that are its own.
+
+        These are all ahead of a bare noun; else those ahead of a verb with no preposition between, and those ahead of
+        an adjective that do not tell the manner.
+        """
+        verbs = self.verbs or self.phrase.verbs
+        if not verbs:
+            return
+        verb, right = verbs[-1], self.t[x]
+        verb.linkers += self.linkers
+        self.linkers = []
+        adjective = self.adjectives[0] if self.adjectives else None
+        if adjective is None and right["is_noun"]:
+            own = list(self.adverbs)
+        else:
+            until = self.prepositions[0] if self.prepositions else x
+            own = [a for a in self.adverbs if (right["is_verb"] and a < until) or (adjective is not None and a < adjective and not self.t[a].get("is_manner"))]
+        verb.adverbs += own
+        self.adverbs = [a for a in self.adverbs if a not in own]
+
     def _noun(self, x: int) -> None:
         if not self.nouns:
+            self._settle_adverbs(x)
             self._flush_verbs()
+            self.splitters = []
         self.nouns.append(Unit(x, self.determiners, self.adjectives, [], self.prepositions, self.separators))
         self.determiners, self.adjectives, self.prepositions, self.separators = [], [], [], []
 
     def _verb(self, x: int) -> None:
         if not self.verbs:
+            self._settle_adverbs(x)
             self._flush_nouns()
+            self.splitters = []
         self.verbs.append(Unit(x, self.determiners, [], self.adverbs, self.prepositions, self.separators, self.auxiliaries))
         self.determiners, self.adverbs, self.prepositions, self.separators, self.auxiliaries = [], [], [], [], []
 
@@ -212,13 +252,14 @@ class Reader:
         p = self.t[x]["pronoun"]
         if not p or p["category"] not in ("personal", "possessive", "reflexive"):
             return None
+        who = antecedents.resolve(p)
         if p["person"] == "first":
             self.phrase.person = "first"
         elif self.t[x]["word"].lower() == "you":
             self.phrase.person = "second"
         elif self.phrase.person == "undetermined":
             self.phrase.person = "third"
-        return antecedents.resolve(p)
+        return who
 
     def _flush_nouns(self) -> None:
         head: Unit | None = None
@@ -241,7 +282,8 @@ class Reader:
         if head:
             ready.append(head)
         for u in ready:
-            if self.predicatives and self.adjectives and min(self.adjectives) > min(self.predicatives):
+            first = min(self.adjectives, default=-1)
+            if self.predicatives and self.adjectives and first > min(self.predicatives) and not any(self.predicatives[0] < x < first for x in self.splitters):
                 u.adjectives += self.adjectives
                 self.adjectives, self.predicatives = [], []
             self._split_softly(u, "noun")
@@ -256,7 +298,7 @@ class Reader:
                 if head:
                     ready.append(head)
                 head = u
-            elif any(self.t[s]["pos"] == "CC" for s in u.separators):
+            elif not u.prepositions and any(self.t[s]["pos"] == "CC" for s in u.separators):
                 head.siblings.append(u)
             else:
                 head.modifiers.append(u)
@@ -303,7 +345,7 @@ class Reader:
         stopped = p.split is not None and self.t[at]["pos"] == "SS"
         self.phrase = Phrase(at + 1 if stopped else at)
         if not (p.split is not None and self.t[at]["word"].lower() == "|nl|"):
-            self.phrase.person = p.person
+            self.phrase.person, self.phrase.kind = p.person, p.kind
 
     def _close(self, x: int) -> None:
         self._flush_nouns()
@@ -327,28 +369,41 @@ class Reader:
     def _classify(self, at: int) -> str:
         p = self.phrase
         person = "second" if p.person == "undetermined" else p.person
-        own = self.t[p.start : at]
+        own = self.t[0 if self.whole else p.start : at]
         if person in ("first", "third") and p.tense == "past":
             return "conversational"
         if person == "third":
             return "declarative"
         if (at < len(self.t) and self.t[at]["word"] == "?") or (own and own[0]["word"].lower() in ASKING):
             return "interrogative"
-        if any(t["is_predicative"] for t in own):
+        if any(t.get("is_state") or t.get("is_degree") for t in own):
             return "declarative"
-        return "imperative" if p.verbs else "declarative"
+        return "conversational" if any(t.get("is_place") for t in own) else "imperative"
 
 
 _OUT = "phrase int, start int, end int, split_token int, tense string, person string, kind string, intent string, intent_score double, nouns array<int>, verbs array<int>, modifiers array<int>, siblings array<int>, objects array<int>"
 
 
-def describe(tokens: DataFrame, lexicon_tokens: DataFrame, person: Column | None = None, entity: Column | None = None) -> DataFrame:
-    """Tokens with what reading needs. person, entity: tests on the dictionary's columns; by default names and plural nouns."""
-    lex = lexicon_tokens.select(F.col("token_id").alias("_id"), "pronoun", "is_auxiliary", "is_predicative", (person if person is not None else F.col("is_name") | P.is_named_entity(F.col("pos"))).alias("_person"), (entity if entity is not None else F.col("pos") == "NNS").alias("_entity"))
-    t = dimension_join(tokens.select("input_id", "seq", "word", F.coalesce(F.upper("pos"), F.lit("FW")).alias("pos"), "token_id"), lex, F.col("token_id") == F.col("_id"))
+# Category paths of verbs and adverbs that tell a phrase's kind, and of adverbs that do not go with a verb.
+KIND_PATHS = {"is_state": ["verbs/state"], "is_degree": ["adverbs/degree"], "is_place": ["adverbs/place"], "is_manner": ["adverbs/manner"]}
+
+
+def describe(view: DataFrame, lexicon: Lexicon, coreference: DataFrame | None = None, kind_paths: dict[str, list[str]] = KIND_PATHS) -> DataFrame:
+    """A view ``input_id, seq, word, pos, token_id`` with what reading needs of each row.
+
+    Persons and things are told by their categories (coreference: see ``categories.coreference_kinds``); a name that the
+    dictionary lacks is a person.
+    """
+    kinds = (coreference if coreference is not None else C.coreference_kinds(lexicon)).select(F.col("token_id").alias("_kid"), F.col("is_person").alias("_person"), F.col("is_entity").alias("_entity"))
+    has = C.in_ranges(lexicon.tokens, "categories", C.ranges(lexicon, kind_paths)).groupBy(F.col("token_id").alias("_hid")).agg(F.collect_set("kind").alias("_kinds"))
+    lex = lexicon.tokens.select(F.col("token_id").alias("_id"), "pronoun", "is_auxiliary", "is_predicative").join(kinds, F.col("_id") == F.col("_kid"), "left").join(has, F.col("_id") == F.col("_hid"), "left").drop("_kid", "_hid")
+    t = dimension_join(view.select("input_id", "seq", "word", P.known_tag(F.col("pos")).alias("pos"), "token_id"), lex, F.col("token_id") == F.col("_id"))
     p = F.col("pos")
     flag = lambda c: F.coalesce(c, F.lit(False))
-    return t.select("input_id", "seq", "word", "pos", "pronoun", P.is_noun(p).alias("is_noun"), P.is_verb(p).alias("is_verb"), P.is_adverb(p).alias("is_adverb"), P.is_adjective(p).alias("is_adjective"), P.is_pronoun(p).alias("is_pronoun"), P.is_preposition(p).alias("is_preposition"), flag(F.col("is_auxiliary")).alias("is_auxiliary"), flag(F.col("is_predicative")).alias("is_predicative"), (P.is_named_entity(p) | flag(F.col("_person"))).alias("is_person"), flag(F.col("_entity")).alias("is_entity"))
+    own = {k: flag(F.array_contains("_kinds", k)) for k in kind_paths}
+    of_verb, of_adverb = P.is_verb(p), P.is_adverb(p)
+    kinds_of = [(own[k] & (of_verb if k == "is_state" else of_adverb)).alias(k) for k in kind_paths]
+    return t.select("input_id", "seq", "word", "pos", "pronoun", P.is_noun(p).alias("is_noun"), of_verb.alias("is_verb"), of_adverb.alias("is_adverb"), P.is_adjective(p).alias("is_adjective"), P.is_pronoun(p).alias("is_pronoun"), P.is_preposition(p).alias("is_preposition"), flag(F.col("is_auxiliary")).alias("is_auxiliary"), flag(F.col("is_predicative")).alias("is_predicative"), F.coalesce("_person", P.is_named_entity(p)).alias("is_person"), flag(F.col("_entity")).alias("is_entity"), *kinds_of)
 
 
 def _gathered(described: DataFrame) -> DataFrame:

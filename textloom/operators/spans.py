@@ -1,7 +1,8 @@
 """Multi-word spans over token rows ``input_id, seq, word, pos``: phrases of the dictionary, verb groups, periods.
 
-N-grams are made by windows over one input, joined to the phrase tables by their words, and the leftmost-longest spans
-are taken by a fold over an input's candidates. An input's tokens and candidates are bounded by its text.
+Phrases may have any number of words: they are joined to the tokens by their first two words, and the rest is compared
+with the tokens that follow. The leftmost-longest spans are taken by a fold over an input's candidates. An input's
+tokens and candidates are bounded by its text.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import predicates as P
+from textloom.session import dimension_join
 
 #: Verb groups that speak of the future: a slot is written as its tag.
 FUTURE_PATTERNS = ["will VB", "will not VB", "will be VBG", "will have VBN", "will have been VBG", "will not have VBN", "shall VB", "shall not VB", "going to VB", "is going to VB", "are going to VB", "am going to VB"]
@@ -50,13 +52,21 @@ def derive_phrases(tokens: DataFrame, min_count: int = 12) -> DataFrame:
     return counts.select("phrase", "n", F.when(F.col("n") == 2, "both").otherwise("standard").alias("mwe_type"))
 
 
-def candidates(tokens: DataFrame, phrases: DataFrame, longest: int = 3) -> DataFrame:
-    """``input_id, seq, n, phrase, mwe_type``: every place where a phrase stands; the words must be neighbours."""
+def candidates(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``input_id, seq, n, phrase, mwe_type``: every place where a phrase of two words or more stands.
+
+    The words must be neighbours. A phrase's further columns are kept. Words of phrases are in lower case, one space apart.
+    """
+    longest = phrases.agg(F.max("n")).first()[0] or 0  # one number of the phrase table
     w = ordered()
-    near = tokens.select("input_id", "seq", F.lower("word").alias("w1"), *(F.lead(F.lower("word"), k).over(w).alias(f"w{k + 1}") for k in range(1, longest)), *(F.lead("seq", k).over(w).alias(f"s{k + 1}") for k in range(1, longest)))
-    grams = F.array(*(F.when(F.expr(" and ".join(f"s{k} = seq + {k - 1}" for k in range(2, n + 1))), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *(f"w{k}" for k in range(1, n + 1))).alias("phrase"))) for n in range(2, longest + 1)))
-    long = near.select("input_id", "seq", F.explode(F.array_compact(grams)).alias("g")).select("input_id", "seq", "g.n", "g.phrase")
-    return long.join(phrases, ["phrase", "n"]).select("input_id", "seq", "n", "phrase", "mwe_type")
+    ahead = w.rowsBetween(0, max(1, longest - 1))
+    near = tokens.select("input_id", "seq", F.lower("word").alias("_a"), F.lead(F.lower("word")).over(w).alias("_b"), F.collect_list(F.coalesce(F.lower("word"), F.lit(""))).over(ahead).alias("_ws"), F.collect_list("seq").over(ahead).alias("_at"))
+    parts = F.split("phrase", " ")
+    known = phrases.where("n >= 2").withColumn("_x", parts[0]).withColumn("_y", parts[1]).withColumn("_parts", parts)
+    hits = dimension_join(near, known, (F.col("_a") == F.col("_x")) & (F.col("_b") == F.col("_y")), "inner")
+    whole = (F.slice("_ws", 1, F.col("n")) == F.col("_parts")) & (F.try_element_at("_at", F.col("n").cast("int")) == F.col("seq") + F.col("n") - 1)
+    rest = [c for c in phrases.columns if c not in ("n", "phrase", "mwe_type", "input_id", "seq")]
+    return hits.where(whole).select("input_id", "seq", "n", "phrase", "mwe_type", *rest)
 
 
 def leftmost_longest(found: DataFrame) -> DataFrame:
@@ -75,6 +85,52 @@ def span_view(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return rest.unionByName(spans.select("input_id", "seq", "n", F.col("phrase").alias("word"), F.lit("MWE").alias("pos")))
 
 
+#: Kinds of spans in the order in which they are preferred where they begin together and are equally long.
+KINDS = ("mwe", "period", "future", "number")
+
+
+def all_spans(tokens: DataFrame, phrases: DataFrame, preprocess: DataFrame, scoring: bool = False) -> DataFrame:
+    """``input_id, seq, n, phrase, pos, kind``: the spans of a view, none of which overlap, from the left, the longest first.
+
+    The standard view takes phrases, groups that speak of the future, periods and numbers with units, and then those
+    groups of not, have and had that are free of them; the scoring view takes its phrases only.
+    """
+    found = candidates(tokens, phrases).where("mwe_type <> 'standard'" if scoring else "mwe_type <> 'scoring'").select("input_id", "seq", "n", "phrase", F.lit("MWE").alias("pos"), F.lit("mwe").alias("kind"))
+    if not scoring:
+        future = future_verbs(tokens).select("input_id", "seq", "n", F.col("words").alias("phrase"), "pos", F.lit("future").alias("kind"))
+        n = (F.col("last_seq") - F.col("seq") + 1).alias("n")
+        verbs = verb_spans(tokens).select("input_id", "seq", n, F.lit(None).cast("string").alias("phrase"), "pos", F.lit("verb").alias("kind"))
+        periods = period_spans(tokens, preprocess).select("input_id", "seq", n, F.col("tag").alias("phrase"), F.lit("SYS").alias("pos"), F.lit("period").alias("kind"))
+        numbers = number_units(tokens, preprocess).select("input_id", "seq", F.lit(2).alias("n"), F.col("tag").alias("phrase"), F.lit("SYS").alias("pos"), F.lit("number").alias("kind"))
+        found = found.unionByName(future).unionByName(periods).unionByName(numbers)
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    best = found.groupBy("input_id", "seq").agg(F.max_by(F.struct("n", "phrase", "pos", "kind"), F.struct("n", -rank, F.coalesce("phrase", F.lit("")))).alias("s")).select("input_id", "seq", "s.*")
+    taken = leftmost_longest(best.select("input_id", "seq", "n", F.coalesce("phrase", F.lit("")).alias("phrase"))).select("input_id", "seq")
+    chosen = best.join(taken, ["input_id", "seq"])
+    if scoring:
+        return chosen
+    covers = lambda: F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n") - 1))
+    busy = chosen.select("input_id", covers().alias("_in"))
+    clash = verbs.select("input_id", "seq", covers().alias("_in")).join(busy, ["input_id", "_in"], "left_semi").select("input_id", "seq").distinct()
+    return chosen.unionByName(verbs.join(clash, ["input_id", "seq"], "left_anti").select(chosen.columns))
+
+
+def merged_view(tokens: DataFrame, spans: DataFrame) -> DataFrame:
+    """``input_id, seq, n, word, pos, token_id, kind``: spans in place of the tokens they cover; a span without words of
+    its own has those of its tokens. seq is the place of the first token."""
+    w = ordered()
+    ends = spans.select("input_id", "seq", F.col("n").alias("_n"), F.col("phrase").alias("_phrase"), F.col("pos").alias("_pos"), "kind")
+    own = tokens.select("input_id", "seq", "word", P.known_tag(F.col("pos")).alias("pos"), "token_id").join(ends, ["input_id", "seq"], "left")
+    # the last place covered by a span that began before
+    until = F.max(F.when(F.col("_n").isNotNull(), F.col("seq") + F.col("_n") - 1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    began = F.last(F.when(F.col("_n").isNotNull(), F.col("seq")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    grouped = own.withColumn("_at", F.when(F.col("seq") <= F.coalesce(until, F.lit(-1)), began).otherwise(F.col("seq")))
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("word", F.lit("")).alias("word")))), lambda x: x["word"]), " ")
+    v = grouped.groupBy("input_id", F.col("_at").alias("seq")).agg(F.max("_n").alias("_n"), F.max("_phrase").alias("_phrase"), F.max("_pos").alias("_pos"), F.max("kind").alias("kind"), words.alias("_words"), F.min_by("word", "seq").alias("word"), F.min_by("pos", "seq").alias("pos"), F.min_by("token_id", "seq").alias("token_id"))
+    span = F.col("_n").isNotNull()
+    return v.select("input_id", "seq", F.coalesce("_n", F.lit(1)).cast("int").alias("n"), F.when(span, F.coalesce("_phrase", "_words")).otherwise(F.col("word")).alias("word"), F.when(span, F.col("_pos")).otherwise(F.col("pos")).alias("pos"), F.when(span, F.lit(0)).otherwise(F.col("token_id")).alias("token_id"), "kind")
+
+
 def future_verbs(tokens: DataFrame) -> DataFrame:
     """``input_id, seq, n, words, pos, is_negative``: the longest pattern at each place; the verb slot must have the tag.
 
@@ -169,13 +225,14 @@ def intent_rows() -> list[tuple[str, int, str]]:
     return [(p, len(p.split()), k) for k, ps in INTENTS.items() for p in ps]
 
 
-def intents(tokens: DataFrame, table: DataFrame, longest: int = 6) -> DataFrame:
+def intents(tokens: DataFrame, table: DataFrame) -> DataFrame:
     """``input_id, seq, intent, n``: the shortest path of the table (``phrase, n, intent``) at each place."""
     w = ordered()
-    first = table.select(F.split("phrase", " ")[0].alias("_first")).distinct()
-    near = tokens.select("input_id", "seq", F.lower("word").alias("_w"), F.array(*(F.lead(F.lower("word"), k).over(w) for k in range(longest))).alias("ws")).join(first, F.col("_w") == F.col("_first"), "left_semi")
-    grams = near.select("input_id", "seq", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("ws", 1, n), " ").alias("phrase"), (F.size(F.array_compact(F.slice("ws", 1, n))) == n).alias("ok")))).alias("g"))
-    hits = grams.where("g.ok").select("input_id", "seq", "g.n", "g.phrase").join(table, ["phrase", "n"])
+    longest = table.agg(F.max("n")).first()[0] or 1  # one number of the table
+    ahead = F.collect_list(F.lower("word")).over(w.rowsBetween(0, longest - 1))
+    paths = table.withColumn("_parts", F.split("phrase", " ")).withColumn("_first", F.split("phrase", " ")[0])
+    near = tokens.select("input_id", "seq", F.lower("word").alias("_w"), ahead.alias("_ws"))
+    hits = dimension_join(near, paths, F.col("_w") == F.col("_first"), "inner").where(F.slice("_ws", 1, F.col("n")) == F.col("_parts"))
     return hits.groupBy("input_id", "seq").agg(F.min_by("intent", F.struct("n", "intent")).alias("intent"), F.min("n").alias("n"))
 
 

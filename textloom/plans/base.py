@@ -9,8 +9,9 @@ from textloom.lexicon import Lexicon, distinct_stream
 from textloom.sources import read_table
 
 
-def stream(spark: SparkSession, d: str) -> DataFrame:
-    return distinct_stream(read_table(spark, d, "token_stream"))
+def stream(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The token stream, each token once; name the columns that are needed, else all are read."""
+    return distinct_stream(read_table(spark, d, "token_stream"), *columns)
 
 
 def inputs(spark: SparkSession, d: str) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators import categories as C
 from textloom.operators import phrases as R
 from textloom.plans.base import STREAM, lexicon, stream
+from textloom.plans.span_queries import first_paths, merged_view
 
 
 def _described(spark, d):
-    return R.describe(stream(spark, d), lexicon(spark, d).tokens)
+    lx = lexicon(spark, d)
+    return R.describe(merged_view(spark, d), lx, C.coreference_kinds(lx, **first_paths(lx)))
 
 
 def phrase_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +37,11 @@ def pronoun_antecedents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_texts(spark: SparkSession, d: str) -> DataFrame:
-    return R.render_phrases(R.interpret(_described(spark, d)), stream(spark, d))
+    return R.render_phrases(R.interpret(_described(spark, d)), merged_view(spark, d))
 
 
 def token_texts(spark: SparkSession, d: str) -> DataFrame:
-    s = stream(spark, d)
+    s = stream(spark, d, "word", "pos", "token_id", "inner_value")
     return s.select("input_id", "seq", R.render_token(F.col("word"), F.coalesce(F.upper("pos"), F.lit("FW")), F.col("token_id"), F.lit(None).cast("string"), F.col("inner_value")).alias("text"))
 
 

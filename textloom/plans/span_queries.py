@@ -40,7 +40,7 @@ spans AS (SELECT input_id, seq, n, phrase FROM walk)"""
 
 
 def _phrases(spark, d):
-    return X.derive_phrases(stream(spark, d))
+    return X.derive_phrases(stream(spark, d, "word", "token_type"))
 
 
 @query(f"WITH {STREAM}, {PHRASES} SELECT * FROM phrases")
@@ -50,7 +50,7 @@ def mwe_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CANDS} SELECT * FROM cands")
 def mwe_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return X.candidates(stream(spark, d), _phrases(spark, d))
+    return X.candidates(stream(spark, d, "word"), _phrases(spark, d))
 
 
 @query(f"WITH RECURSIVE {CANDS}, {LONGEST.format('cands')} SELECT * FROM spans")
@@ -71,17 +71,17 @@ view AS (SELECT input_id, seq, 1 AS n, word, coalesce(upper(pos), 'FW') AS pos F
 
 @query(f"WITH RECURSIVE {CANDS}, {LONGEST.format('cands')}, {_VIEW} SELECT * FROM view")
 def mwe_view(spark: SparkSession, d: str) -> DataFrame:
-    return X.span_view(stream(spark, d), mwe_longest(spark, d))
+    return X.span_view(stream(spark, d, "word", "pos"), mwe_longest(spark, d))
 
 
 @query(f"WITH RECURSIVE {CANDS}, scoring AS (SELECT * FROM cands WHERE mwe_type IN ('scoring', 'both')), {LONGEST.format('scoring')}, {_VIEW} SELECT * FROM view")
 def mwe_scoring_view(spark: SparkSession, d: str) -> DataFrame:
-    return X.span_view(stream(spark, d), mwe_scoring_longest(spark, d))
+    return X.span_view(stream(spark, d, "word", "pos"), mwe_scoring_longest(spark, d))
 
 
 @query(f"WITH {STREAM}, ws AS (SELECT DISTINCT word FROM stream WHERE regexp_full_match(word, '[a-zA-Z]+')) SELECT word, CASE WHEN lower(word) = word THEN 'lower' WHEN upper(word) = word THEN 'upper' WHEN upper(left(word, 1)) || lower(substr(word, 2)) = word THEN 'title' ELSE 'other' END AS style, upper(left(word, 1)) || lower(substr(word, 2)) AS titled FROM ws")
 def capital_styles(spark: SparkSession, d: str) -> DataFrame:
-    ws = stream(spark, d).where(F.col("word").rlike("^[a-zA-Z]+$")).select("word").distinct()
+    ws = stream(spark, d, "word").where(F.col("word").rlike("^[a-zA-Z]+$")).select("word").distinct()
     return ws.select("word", X.capital_style(F.col("word")).alias("style"), X.apply_style(F.col("word"), F.lit("title"), F.col("word")).alias("titled"))
 
 
@@ -99,7 +99,7 @@ def _future_sql() -> str:
 
 @query(_future_sql())
 def future_verbs(spark: SparkSession, d: str) -> DataFrame:
-    return X.future_verbs(stream(spark, d))
+    return X.future_verbs(stream(spark, d, "word", "pos"))
 
 
 _VERB_SPANS = f"""WITH {STREAM}, marked AS (SELECT *, lower(word) IN ('not', 'have', 'has', 'had') AS marker,
@@ -112,18 +112,18 @@ vspans AS (SELECT input_id, seq, last_seq, CASE WHEN had AND p IN ('VBD', 'VBN')
 
 @query(_VERB_SPANS + " SELECT * FROM vspans WHERE is_negative")
 def negation_spans(spark: SparkSession, d: str) -> DataFrame:
-    return X.verb_spans(stream(spark, d)).where("is_negative")
+    return X.verb_spans(stream(spark, d, "word", "pos")).where("is_negative")
 
 
 @query(_VERB_SPANS + " SELECT * FROM vspans WHERE NOT is_negative")
 def have_spans(spark: SparkSession, d: str) -> DataFrame:
-    return X.verb_spans(stream(spark, d)).where("not is_negative")
+    return X.verb_spans(stream(spark, d, "word", "pos")).where("not is_negative")
 
 
 @query(_VERB_SPANS + ", neg AS (SELECT input_id, last_seq AS seq FROM vspans WHERE is_negative) SELECT s.input_id, s.seq, s.word, n.seq IS NOT NULL AS is_negative FROM stream s LEFT JOIN neg n ON s.input_id = n.input_id AND s.seq = n.seq")
 def negation_flags(spark: SparkSession, d: str) -> DataFrame:
     """Whether each token closes a negated group."""
-    s = stream(spark, d)
+    s = stream(spark, d, "word", "pos")
     n = X.verb_spans(s).where("is_negative").select("input_id", F.col("last_seq").alias("seq"), F.lit(True).alias("_n"))
     return s.join(n, ["input_id", "seq"], "left").select("input_id", "seq", "word", F.coalesce("_n", F.lit(False)).alias("is_negative"))
 
@@ -140,12 +140,39 @@ SELECT input_id, CASE WHEN isdate THEN seq - 1 WHEN suffixed AND num THEN seq -
 
 @query(_PERIOD)
 def date_periods(spark: SparkSession, d: str) -> DataFrame:
-    return X.period_spans(stream(spark, d), lexicon(spark, d).preprocess())
+    return X.period_spans(stream(spark, d, "word"), lexicon(spark, d).preprocess())
 
 
 @query(f"WITH {STREAM}, pre AS (SELECT * FROM {_PRE}), t AS (SELECT input_id, seq, lower(word) AS w, lead(lower(word)) OVER (PARTITION BY input_id ORDER BY seq) AS nx FROM stream) SELECT input_id, seq, t.w AS value, p.value AS unit, p.tag FROM t JOIN pre p ON t.nx = p.w AND p.tag IN ('|date_period|', '|time_period|') WHERE regexp_matches(t.w, '^[0-9][0-9,.]*$')")
 def number_unit_merge(spark: SparkSession, d: str) -> DataFrame:
-    return X.number_units(stream(spark, d), lexicon(spark, d).preprocess())
+    return X.number_units(stream(spark, d, "word"), lexicon(spark, d).preprocess())
+
+
+_FUTURE_BODY = _future_sql().split("WITH ", 1)[1].replace(STREAM + ", ", "").replace(" SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY n DESC) AS rn FROM fhits) WHERE rn = 1", "")
+_VERB_BODY = _VERB_SPANS.split("WITH ", 1)[1].replace(STREAM + ", ", "").replace("marked AS", "marked AS").replace("grouped AS", "vgrouped AS").replace("FROM grouped", "FROM vgrouped").replace(" agg AS", " vagg AS").replace("\nagg AS", "\nvagg AS").replace("FROM agg", "FROM vagg")
+_PERIOD_BODY = _PERIOD.split("WITH ", 1)[1].replace(STREAM + ", ", "")
+_PERIOD_HEAD, _PERIOD_SELECT = _PERIOD_BODY.rsplit("\nSELECT input_id", 1)
+_MERGED = f"""WITH RECURSIVE {CANDS}, {_FUTURE_BODY}, {_VERB_BODY}, {_PERIOD_HEAD}, periods AS (SELECT input_id{_PERIOD_SELECT}),
+numbers AS (SELECT t0.input_id, t0.seq, p.tag FROM (SELECT input_id, seq, lower(word) AS w, lead(lower(word)) OVER (PARTITION BY input_id ORDER BY seq) AS nx FROM stream) t0 JOIN pre p ON t0.nx = p.w AND p.tag IN ('|date_period|', '|time_period|') WHERE regexp_matches(t0.w, '^[0-9][0-9,.]*$')),
+every AS (SELECT input_id, seq, n, phrase, 'MWE' AS pos, 'mwe' AS kind, 1 AS pref FROM cands WHERE mwe_type <> 'scoring'
+  UNION ALL SELECT input_id, seq, last_seq - seq + 1, tag, 'SYS', 'period', 2 FROM periods UNION ALL SELECT input_id, seq, n, words, pos, 'future', 3 FROM fhits
+  UNION ALL SELECT input_id, seq, 2, tag, 'SYS', 'number', 4 FROM numbers),
+best AS (SELECT input_id, seq, n, phrase, pos, kind FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY n DESC, pref, coalesce(phrase, '') DESC) AS rn FROM every) WHERE rn = 1),
+linked AS (SELECT b.*, (SELECT min(c.seq) FROM best c WHERE c.input_id = b.input_id AND c.seq >= b.seq + b.n) AS nxt FROM best b),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY seq) AS rn FROM linked) WHERE rn = 1 UNION ALL SELECT l.*, 2 FROM chosen w JOIN linked l ON l.input_id = w.input_id AND l.seq = w.nxt),
+walk AS (SELECT input_id, seq, n, phrase, pos, kind FROM chosen UNION ALL SELECT input_id, seq, last_seq - seq + 1, NULL, pos, 'verb' FROM vspans v
+  WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.input_id = v.input_id AND c.seq <= v.last_seq AND c.seq + c.n - 1 >= v.seq)),
+inside AS (SELECT w.input_id, w.seq AS began, s.seq, s.word FROM walk w JOIN stream s ON s.input_id = w.input_id AND s.seq BETWEEN w.seq AND w.seq + w.n - 1),
+texts AS (SELECT input_id, began, string_agg(coalesce(word, ''), ' ' ORDER BY seq) AS words FROM inside GROUP BY 1, 2)
+SELECT w.input_id, w.seq, CAST(w.n AS INT) AS n, coalesce(w.phrase, t.words) AS word, w.pos, 0 AS token_id, w.kind FROM walk w JOIN texts t ON t.input_id = w.input_id AND t.began = w.seq
+UNION ALL SELECT s.input_id, s.seq, 1, s.word, CASE WHEN upper(s.pos) IN (SELECT tag FROM pos_tags) THEN upper(s.pos) ELSE 'FW' END, s.token_id, NULL FROM stream s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.input_id = s.input_id AND i.seq = s.seq)"""
+
+
+@query(_MERGED)
+def merged_view(spark: SparkSession, d: str) -> DataFrame:
+    """The view with every kind of span: phrases, future groups, groups of not, have and had, periods, numbers with units."""
+    s = stream(spark, d, "word", "pos", "token_id")
+    return X.merged_view(s, X.all_spans(s, _phrases(spark, d), lexicon(spark, d).preprocess()))
 
 
 _INTENT = f"""WITH {STREAM}, paths AS (SELECT * FROM {values_sql(X.intent_rows(), 'phrase, n, intent')}),
@@ -155,7 +182,7 @@ found AS (SELECT input_id, seq, arg_min(intent, {{'n': n, 'i': intent}}) AS inte
 
 
 def _intents(spark, d):
-    return X.intents(stream(spark, d), spark.createDataFrame(X.intent_rows(), "phrase string, n int, intent string"))
+    return X.intents(stream(spark, d, "word"), spark.createDataFrame(X.intent_rows(), "phrase string, n int, intent string"))
 
 
 @query(_INTENT + " SELECT * FROM found")
@@ -165,7 +192,7 @@ def intent_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_INTENT + ", sums AS (SELECT input_id, intent, sum(n) AS total FROM found GROUP BY 1, 2), top AS (SELECT input_id, intent, total FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY total DESC, ascii(intent), intent DESC) AS rn FROM sums) WHERE rn = 1), size AS (SELECT input_id, count(*) AS c FROM stream GROUP BY 1) SELECT input_id, coalesce(intent, 'neutral') AS intent, coalesce(total / c, 0.0) AS score FROM size LEFT JOIN top USING (input_id)")
 def intent_scores(spark: SparkSession, d: str) -> DataFrame:
-    return X.intent_scores(_intents(spark, d), stream(spark, d))
+    return X.intent_scores(_intents(spark, d), stream(spark, d, "word"))
 
 
 # Token predicates and categories.
@@ -177,7 +204,7 @@ SELECT input_id, seq, starts_with(t, 'N') OR t = 'SYS' AS is_noun, starts_with(t
 
 @query(f"WITH {STREAM}, p AS (SELECT input_id, seq, {_PRED}")
 def token_predicates(spark: SparkSession, d: str) -> DataFrame:
-    return stream(spark, d).select("input_id", "seq", *(f(F.col("pos")).alias(n) for n, f in P.ALL.items()))
+    return stream(spark, d, "pos").select("input_id", "seq", *(f(F.col("pos")).alias(n) for n, f in P.ALL.items()))
 
 
 @query(f"WITH {TOK} SELECT token_id, pronoun.category AS category, coalesce(pronoun.category IN ('personal', 'possessive', 'reflexive') AND pronoun.person <> 'first', false) AS is_anaphora FROM tok WHERE pronoun IS NOT NULL")
@@ -233,7 +260,7 @@ def category_children(spark: SparkSession, d: str) -> DataFrame:
     return C.children(lexicon(spark, d))
 
 
-def _first_paths(lx) -> dict[str, list[str]]:
+def first_paths(lx) -> dict[str, list[str]]:
     """Stand-ins for the named paths, which these tables lack: the first two paths of each tree are persons, the next two things."""
     rows = lx.categories.where("depth = 1 and tree in ('nouns', 'ner')").select("tree", "path", "cat_id").orderBy("cat_id").collect()  # a fixed dimension
     by = {t: [r["path"] for r in rows if r["tree"] == t] for t in ("nouns", "ner")}
@@ -249,13 +276,13 @@ SELECT token_id, CASE WHEN starts_with(pos, 'NNP') THEN rp WHEN pos = 'NNS' THEN
 def coreference_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Dictionary tokens that are persons or things."""
     lx = lexicon(spark, d)
-    return C.coreference_kinds(lx, **_first_paths(lx))
+    return C.coreference_kinds(lx, **first_paths(lx))
 
 
 @query(f"WITH {STREAM}, {TOK}, each AS (SELECT input_id, unnest(map_entries(t.classification_scores)) AS e FROM stream s JOIN tok t USING (token_id)) SELECT input_id, CAST(e.key AS INT) AS code, avg(CAST(e.value AS DOUBLE)) AS score, count(*) AS tokens FROM each GROUP BY 1, 2")
 def classification_scores(spark: SparkSession, d: str) -> DataFrame:
     """Mean score per input and code."""
-    return SC.classification(stream(spark, d), lexicon(spark, d).tokens)
+    return SC.classification(stream(spark, d, "token_id"), lexicon(spark, d).tokens)
 
 
 @query(f"WITH {TOK}, each AS (SELECT token_id, unnest(map_entries(classification_scores)) AS e FROM tok), q AS (SELECT token_id, CAST(e.key AS INT) AS code, CAST(floor(least(greatest(CAST(e.value AS DOUBLE), 0.0), 1.0) * 255 + 0.5) AS INT) AS q FROM each) SELECT token_id, code, CAST(q AS SMALLINT) AS q, q / 255.0 AS value, CAST(least(255, q + q) AS SMALLINT) AS doubled, CAST(floor(least(greatest((q / 255.0) * (q / 255.0), 0.0), 1.0) * 255 + 0.5) AS SMALLINT) AS squared FROM q")

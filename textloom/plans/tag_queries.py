@@ -9,6 +9,7 @@ from textloom.functions.affixes import ADVERBS, AUXILIARIES, MODALS, PASSIVES, P
 from textloom.operators import context as K
 from textloom.operators import hmm as H
 from textloom.operators import spelling as SP
+from textloom.operators.tagger import Tagger, ambiguous, pronouns
 from textloom.plans.base import LEX, SENSE, STREAM, TOK, lexicon, stream
 
 Q: dict = {}
@@ -25,8 +26,8 @@ def query(sql: str | None = None):
     return keep
 
 
-SENTS = f"""{STREAM}, sents AS (SELECT input_id, seq, lower(word) AS w, coalesce(upper(pos), 'FW') AS t,
-  coalesce(sum(CASE WHEN coalesce(upper(pos), 'FW') = 'SS' THEN 1 ELSE 0 END) OVER (PARTITION BY input_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM stream)"""
+SENTS = f"""{STREAM}, sents AS (SELECT input_id, seq, lower(word) AS w, CASE WHEN upper(pos) IN (SELECT tag FROM pos_tags) THEN upper(pos) ELSE 'FW' END AS t,
+  coalesce(sum(CASE WHEN upper(pos) = 'SS' THEN 1 ELSE 0 END) OVER (PARTITION BY input_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM stream)"""
 INITIAL = "ini AS (SELECT tag, round(ln(n / (SELECT sum(n) FROM firsts)), 9) AS lp FROM firsts)"
 FIRSTS = "firsts AS (SELECT tag, count(*) AS n FROM (SELECT input_id, sent, arg_min(t, seq) AS tag FROM sents GROUP BY 1, 2) GROUP BY 1)"
 TRANS = "trans AS (SELECT prev_tag, tag, round(ln(n / sum(n) OVER (PARTITION BY prev_tag)), 9) AS lp FROM (SELECT prev_tag, t AS tag, count(*) AS n FROM (SELECT t, lag(t) OVER (PARTITION BY input_id, sent ORDER BY seq) AS prev_tag FROM sents) WHERE prev_tag IS NOT NULL GROUP BY 1, 2))"
@@ -35,7 +36,7 @@ MISS = f"miss AS (SELECT t AS tag, round(ln({H.SMOOTHING} / (count(*) + {H.SMOOT
 
 
 def _sents(spark, d):
-    return H.sentences(stream(spark, d))
+    return H.sentences(stream(spark, d, "word", "pos"))
 
 
 @query(f"WITH {SENTS} SELECT input_id, seq, CAST(sent AS BIGINT) AS sent FROM sents")
@@ -45,22 +46,22 @@ def sentence_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SENTS}, {FIRSTS}, {INITIAL} SELECT * FROM ini")
 def hmm_initial(spark: SparkSession, d: str) -> DataFrame:
-    return H.initial(_sents(spark, d))
+    return H.train(_sents(spark, d)).initial()
 
 
 @query(f"WITH {SENTS}, {TRANS} SELECT * FROM trans")
 def hmm_transition(spark: SparkSession, d: str) -> DataFrame:
-    return H.transitions(_sents(spark, d))
+    return H.train(_sents(spark, d)).transitions()
 
 
 @query(f"WITH {SENTS}, {EMIT} SELECT * FROM emit")
 def hmm_emission(spark: SparkSession, d: str) -> DataFrame:
-    return H.emissions(_sents(spark, d))
+    return H.train(_sents(spark, d)).emissions()
 
 
 @query(f"WITH {SENTS}, {MISS} SELECT * FROM miss")
 def hmm_unseen(spark: SparkSession, d: str) -> DataFrame:
-    return H.unseen(_sents(spark, d))
+    return H.train(_sents(spark, d)).unseen()
 
 
 @query(f"WITH {SENTS} SELECT word_before, w AS word, t AS tag, count(*) AS n FROM (SELECT coalesce(lag(w) OVER (PARTITION BY input_id, sent ORDER BY seq), '^') AS word_before, w, t FROM sents) GROUP BY 1, 2, 3")
@@ -83,17 +84,20 @@ path AS (SELECT input_id, sent, seq, i, tag, prev FROM (SELECT *, row_number() O
   UNION ALL SELECT v.input_id, v.sent, v.seq, v.i, v.tag, v.prev FROM path p JOIN v ON v.input_id = p.input_id AND v.sent = p.sent AND v.i = p.i - 1 AND v.tag = p.prev)"""
 
 
+def _decoded(spark, d):
+    lx, sents = lexicon(spark, d), _sents(spark, d)
+    return H.decode(sents, H.train(sents), lx.senses, lx.pos_tags)
+
+
 @query(_VITERBI + " SELECT input_id, seq, tag FROM path")
 def viterbi_tags(spark: SparkSession, d: str) -> DataFrame:
-    lx = lexicon(spark, d)
-    return H.decode(_sents(spark, d), lx.senses, lx.pos_tags).select("input_id", "seq", "tag")
+    return _decoded(spark, d).select("input_id", "seq", "tag")
 
 
 @query(_VITERBI + ", sure AS (SELECT input_id, seq, 1.0 / sum(exp(score - top)) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY input_id, seq) AS top FROM v) GROUP BY 1, 2) SELECT tag, count(*) AS tokens, round(avg(confidence), 5) AS confidence FROM path JOIN sure USING (input_id, seq) GROUP BY 1")
 def viterbi_confidence(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and mean confidence per decoded tag."""
-    lx = lexicon(spark, d)
-    return H.decode(_sents(spark, d), lx.senses, lx.pos_tags).groupBy("tag").agg(F.count("*").alias("tokens"), F.round(F.avg("confidence"), 5).alias("confidence"))
+    return _decoded(spark, d).groupBy("tag").agg(F.count("*").alias("tokens"), F.round(F.avg("confidence"), 5).alias("confidence"))
 
 
 # Context features, rules and scores.
@@ -125,13 +129,11 @@ feats AS (SELECT input_id, seq, w, t, "offset", f.kind AS kind, f.value AS value
 
 
 def _pronouns(spark, d):
-    lx = lexicon(spark, d)
-    t = lx.tokens.where("pronoun is not null").select("token_id", "pronoun.category", "pronoun.person", "pronoun.number")
-    return lx.default_senses().select("word", "token_id").join(t, "token_id").drop("token_id")
+    return pronouns(lexicon(spark, d))
 
 
 def _ambiguous(spark, d):
-    return lexicon(spark, d).default_senses().where(F.size("potential_pos") > 1).select("word")
+    return ambiguous(lexicon(spark, d))
 
 
 @query(f"WITH {SENTS}, {AMBIG}, {FEATS} SELECT * FROM feats")
@@ -158,18 +160,18 @@ def rule_resolution(spark: SparkSession, d: str) -> DataFrame:
     return K.apply_rules(s, _ambiguous(spark, d), rules, K.learn_exceptions(s, rules))
 
 
-_RESOLVE = f"""WITH {SENTS}, {AMBIG}, {FEATS}, sc AS (SELECT *, n / sum(n) OVER (PARTITION BY w, "offset", kind, value) AS score FROM (SELECT w, "offset", kind, value, t AS tag, count(*) AS n FROM feats GROUP BY ALL)),
+_RESOLVE_PARTS = """sc AS (SELECT *, n / sum(n) OVER (PARTITION BY w, "offset", kind, value) AS score FROM (SELECT w, "offset", kind, value, t AS tag, count(*) AS n FROM feats GROUP BY ALL)),
 hits AS (SELECT f.input_id, f.seq, f.w, f."offset", f.kind, s.tag, f.weight * s.score AS p FROM feats f JOIN sc s USING (w, "offset", kind, value)),
 parts AS (SELECT input_id, seq, w, "offset", tag, max(p) AS p FROM hits WHERE kind IN ('word', 'tag') GROUP BY ALL UNION ALL SELECT input_id, seq, w, "offset", tag, p FROM hits WHERE kind NOT IN ('word', 'tag')),
 tot AS (SELECT input_id, seq, w, tag, sum(p) AS p FROM parts GROUP BY ALL), shr AS (SELECT *, p / sum(p) OVER (PARTITION BY input_id, seq) AS q FROM tot),
 fr AS (SELECT w, t AS tag, count(*) / sum(count(*)) OVER (PARTITION BY w) AS freq FROM sents WHERE w IN (SELECT word FROM ambig) GROUP BY 1, 2),
 bl AS (SELECT input_id, seq, w, tag, round(0.8 * q + 0.2 * coalesce(freq, 0.0), 6) AS score FROM shr LEFT JOIN fr USING (w, tag))"""
+_RESOLVE = f"WITH {SENTS}, {AMBIG}, {FEATS}, {_RESOLVE_PARTS}"
 
 
 def _by_features(spark, d):
-    s, words = _sents(spark, d), _ambiguous(spark, d)
-    f = K.features(s, words, _pronouns(spark, d))
-    return K.resolve_by_features(f, K.learn_scores(f), K.tag_frequency(s, words))
+    s, words, pronouns = _sents(spark, d), _ambiguous(spark, d), _pronouns(spark, d)
+    return K.resolve_by_features(K.windows(s, words, pronouns), K.model_rows(K.features(s, words, pronouns), K.tag_frequency(s, words)))
 
 
 @query(_RESOLVE + " SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY score DESC, tag) AS rn FROM bl) WHERE rn = 1")
@@ -177,25 +179,21 @@ def feature_resolution(spark: SparkSession, d: str) -> DataFrame:
     return _by_features(spark, d)
 
 
+_RESOLVED = f"""{_VITERBI}, {SENSE}, ambig AS (SELECT word FROM sense WHERE len(potential_pos) > 1), {FEATS}, {_RESOLVE_PARTS}, {NEIGH}, {RULES},
+sure AS (SELECT input_id, seq, 1.0 / sum(exp(score - top)) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY input_id, seq) AS top FROM v) GROUP BY 1, 2),
+bestf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY score DESC, tag) AS rn FROM bl) WHERE rn = 1),
+ruled AS (SELECT input_id, seq, tag FROM neigh JOIN rules USING (w, before) WHERE w IN (SELECT word FROM ambig) AND NOT EXISTS (SELECT 1 FROM exc e WHERE e.w = neigh.w AND e.before = neigh.before AND e.behind = neigh.behind)),
+al AS (SELECT s.input_id, s.seq, s.w, s.t, s.w IN (SELECT word FROM ambig) AS a, p.tag AS h, y.confidence, r.tag AS r, f.tag AS f, f.score FROM sents s JOIN path p USING (input_id, seq) JOIN sure y USING (input_id, seq) LEFT JOIN ruled r USING (input_id, seq) LEFT JOIN bestf f USING (input_id, seq)),
+how AS (SELECT *, CASE WHEN a AND r IS NOT NULL THEN 'rule' WHEN a AND score >= {K.SURE} THEN 'feature' WHEN a OR t = 'FW' THEN 'hmm' ELSE 'unambiguous' END AS method FROM al)
+SELECT input_id, seq, w AS word, CASE method WHEN 'rule' THEN r WHEN 'feature' THEN f ELSE h END AS tag, method, round(CASE WHEN method IN ('rule', 'unambiguous') THEN 1.0 WHEN method = 'feature' THEN score ELSE confidence END, 6) AS confidence FROM how"""
+
+
+@query(_RESOLVED)
 def resolved_tags(spark: SparkSession, d: str) -> DataFrame:
     """The tag of every token and how it was found: rule, then feature, then hidden Markov model, or unambiguous."""
-    s = _sents(spark, d)
     lx = lexicon(spark, d)
-    words = _ambiguous(spark, d)
-    rules = K.learn_rules(s)
-    by_rule = K.apply_rules(s, words, rules, K.learn_exceptions(s, rules)).select("input_id", "seq", F.col("tag").alias("r"))
-    by_feature = _by_features(spark, d).select("input_id", "seq", F.col("tag").alias("f"), "score")
-    by_path = H.decode(s, lx.senses, lx.pos_tags).select("input_id", "seq", F.col("tag").alias("h"), "confidence")
-    marked = words.select(F.col("word").alias("_w"), F.lit(True).alias("_a"))
-    t = s.join(marked, F.col("w") == F.col("_w"), "left").join(by_path, ["input_id", "seq"]).join(by_rule, ["input_id", "seq"], "left").join(by_feature, ["input_id", "seq"], "left")
-    a = F.coalesce("_a", F.lit(False))
-    method = F.when(a & F.col("r").isNotNull(), "rule").when(a & (F.col("score") >= K.SURE), "feature").when(a | (F.col("t") == "FW"), "hmm").otherwise("unambiguous")
-    tag = F.when(method == "rule", F.col("r")).when(method == "feature", F.col("f")).otherwise(F.col("h"))
-    sure = F.when(method.isin("rule", "unambiguous"), 1.0).when(method == "feature", F.col("score")).otherwise(F.col("confidence"))
-    return t.select("input_id", "seq", F.col("w").alias("word"), tag.alias("tag"), method.alias("method"), F.round(sure, 6).alias("confidence"))
-
-
-Q["resolved_tags"] = resolved_tags
+    s = stream(spark, d, "word", "pos")
+    return Tagger.train(s, lx).resolve(H.sentences(s), lx)
 
 
 # Spell correction.
@@ -208,20 +206,24 @@ def _ranked(col, out):
 
 
 def _bonus(table, affix):
-    return "coalesce(" + " + ".join(f"CASE WHEN c = '{k[:2]}' AND {affix} IN ({', '.join(repr(a) for a in affixes.split())}) THEN {bonus} ELSE 0.0 END" for k, (bonus, affixes) in table.items()) + ", 0.0)"
+    return "coalesce(" + " + ".join(f"CASE WHEN c = '{tag}' AND {affix} IN ({', '.join(repr(a) for a in affixes.split())}) THEN {bonus} ELSE 0.0 END" for tag, bonus, affixes in table) + ", 0.0)"
 
 
 COHORTS = f"""cohorts AS (SELECT *, row_number() OVER (PARTITION BY pos_class, size_class ORDER BY coalesce(use, 0) DESC, token_id) - 1 AS rank, count(*) OVER (PARTITION BY pos_class, size_class) AS cohort FROM (
   SELECT t.token_id, t.word, {_pos_class('t.pos')} AS pos_class, CASE WHEN length(t.word) <= 4 THEN 'short' WHEN length(t.word) <= 6 THEN 'short_medium' WHEN length(t.word) <= 8 THEN 'medium' WHEN length(t.word) <= 10 THEN 'medium_long' ELSE 'long' END AS size_class, u.use, tb.tag_before, wb.word_before
-  FROM tok t LEFT JOIN (SELECT w, count(*) AS use FROM neigh GROUP BY 1) u ON u.w = t.word LEFT JOIN {_ranked('before', 'tag_before')} tb ON tb.w = t.word LEFT JOIN {_ranked('word_before', 'word_before')} wb ON wb.w = t.word WHERE regexp_full_match(t.word, '[a-z]+')))"""
-PREDICT = f"""unk AS (SELECT DISTINCT w, before, word_before FROM neigh WHERE t = 'FW' AND regexp_full_match(w, '[a-z]{{3,}}')),
+  FROM tok t LEFT JOIN (SELECT w, count(*) AS use FROM neigh GROUP BY 1) u ON u.w = t.word LEFT JOIN {_ranked('before', 'tag_before')} tb ON tb.w = t.word LEFT JOIN {_ranked('word_before', 'word_before')} wb ON wb.w = t.word WHERE regexp_full_match(t.word, '{SP.LETTERS}')))"""
+PREDICT = f"""unk AS (SELECT DISTINCT w, before, word_before FROM neigh WHERE t = 'FW' AND regexp_full_match(w, '{SP.LETTERS}')),
 cls AS (SELECT before, CASE WHEN starts_with(t, 'N') OR t = 'SYS' THEN 'NN' WHEN starts_with(t, 'V') THEN 'VB' WHEN starts_with(t, 'R') THEN 'RB' WHEN starts_with(t, 'J') THEN 'JJ' END AS c FROM neigh),
 shr AS (SELECT before, c, count(*) / sum(count(*)) OVER (PARTITION BY before) AS share FROM cls WHERE c IS NOT NULL GROUP BY 1, 2), frq AS (SELECT c, count(*) / sum(count(*)) OVER () AS freq FROM cls WHERE c IS NOT NULL GROUP BY 1),
 rawp AS (SELECT w, before, word_before, c, share * sqrt(0.10 / greatest(freq, 1e-6)) + {_bonus(SP.SUFFIX_BONUS, _suffix('w'))} + {_bonus(SP.PREFIX_BONUS, _prefix('w'))} AS r FROM unk JOIN shr USING (before) JOIN frq USING (c)),
 pred AS (SELECT w, before, word_before, c, round(r / sum(r) OVER (PARTITION BY w, before, word_before), 6) AS p FROM rawp)"""
-PROBES = """probes AS (SELECT w, before, word_before AS probe_before, CASE c WHEN 'NN' THEN 'noun' WHEN 'VB' THEN 'verb' WHEN 'RB' THEN 'adverb' ELSE 'adjective' END AS pos_class,
+# levenshtein counts bytes there: letters with accents are first brought to single bytes
+_ACCENTS = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
+_BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456"
+_DISTANCE = f"levenshtein(translate(p.w, '{_ACCENTS}', '{_BYTES}'), translate(c.word, '{_ACCENTS}', '{_BYTES}'))"
+PROBES = f"""probes AS (SELECT w, before, word_before AS probe_before, CASE c WHEN 'NN' THEN 'noun' WHEN 'VB' THEN 'verb' WHEN 'RB' THEN 'adverb' ELSE 'adjective' END AS pos_class,
   unnest(CASE WHEN length(w) <= 3 THEN ['short'] WHEN length(w) <= 5 THEN ['short', 'short_medium'] WHEN length(w) <= 7 THEN ['short_medium', 'medium'] WHEN length(w) <= 11 THEN ['medium', 'medium_long', 'long'] ELSE ['medium_long', 'long'] END) AS size_class FROM pred WHERE p >= 0.2),
-fnd AS (SELECT p.w, p.before, p.probe_before, c.token_id, c.word, c.rank, c.cohort, CAST(levenshtein(p.w, c.word) AS INT) AS distance, c.tag_before, c.word_before FROM probes p JOIN cohorts c USING (pos_class, size_class) WHERE levenshtein(p.w, c.word) BETWEEN 1 AND 3),
+fnd AS (SELECT p.w, p.before, p.probe_before, c.token_id, c.word, c.rank, c.cohort, CAST({_DISTANCE} AS INT) AS distance, c.tag_before, c.word_before FROM probes p JOIN cohorts c USING (pos_class, size_class) WHERE {_DISTANCE} BETWEEN 1 AND 3),
 spell AS (SELECT * EXCLUDE (least) FROM (SELECT *, min(distance) OVER (PARTITION BY w, before, probe_before) AS least FROM fnd) WHERE distance = least)"""
 SPELL = f"WITH {SENTS}, {NEIGH}, {TOK}, {COHORTS}, {PREDICT}, {PROBES}"
 

@@ -124,7 +124,7 @@ def default_sense(spark: SparkSession, d: str) -> DataFrame:
 def lexicon_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Every token with its first sense; unknown words are FW with id 0."""
     l = lexicon(spark, d).default_senses().withColumnRenamed("word", "_w").withColumnRenamed("pos", "_p").withColumnRenamed("token_id", "_t")
-    s = stream(spark, d).select("input_id", "seq", "word")
+    s = stream(spark, d, "word")
     return dimension_join(s, l, F.lower("word") == F.col("_w")).select("input_id", "seq", "word", F.coalesce("_p", F.lit("FW")).alias("pos"), F.coalesce("_t", F.lit(0)).alias("token_id"), F.coalesce("potential_pos", F.array().cast("array<string>")).alias("potential_pos"))
 
 
@@ -132,20 +132,20 @@ def lexicon_lookup(spark: SparkSession, d: str) -> DataFrame:
 def token_by_id(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by their id; a missing id gives an empty default token that keeps the id."""
     t = lexicon(spark, d).tokens.select(F.col("token_id").alias("_id"), F.col("word").alias("w"), F.col("pos").alias("p"), F.col("stem").alias("lexicon_stem"))
-    return dimension_join(stream(spark, d).select("input_id", "seq", "token_id"), t, F.col("token_id") == F.col("_id")).select("input_id", "seq", "token_id", F.coalesce("w", F.lit("")).alias("lexicon_word"), F.coalesce("p", F.lit("FW")).alias("lexicon_pos"), "lexicon_stem", F.col("_id").isNotNull().alias("is_known"))
+    return dimension_join(stream(spark, d, "token_id"), t, F.col("token_id") == F.col("_id")).select("input_id", "seq", "token_id", F.coalesce("w", F.lit("")).alias("lexicon_word"), F.coalesce("p", F.lit("FW")).alias("lexicon_pos"), "lexicon_stem", F.col("_id").isNotNull().alias("is_known"))
 
 
 @query(f"WITH {STREAM}, {LEX}, {SENSE} SELECT word, l.pos, l.token_id, l.potential_pos FROM (SELECT DISTINCT word FROM stream) JOIN sense l USING (word)")
 def word_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Distinct words looked up as they are written."""
-    return stream(spark, d).select("word").distinct().join(lexicon(spark, d).default_senses(), "word").select("word", "pos", "token_id", "potential_pos")
+    return stream(spark, d, "word").select("word").distinct().join(lexicon(spark, d).default_senses(), "word").select("word", "pos", "token_id", "potential_pos")
 
 
 @query(f"WITH {STREAM}, {LEX}, one AS (SELECT word, pos, arg_min(token_id, ord) AS token_id FROM lex GROUP BY 1, 2) SELECT s.input_id, s.seq, s.word, upper(s.pos) AS pos, l.token_id AS sense_id, s.is_possessive, s.is_negative FROM stream s LEFT JOIN one l ON lower(s.word) = l.word AND upper(s.pos) = l.pos")
 def resense(spark: SparkSession, d: str) -> DataFrame:
     """The sense of every token for the tag it was given; flags are kept."""
     one = lexicon(spark, d).senses.groupBy("word", "pos").agg(F.min_by("token_id", "ord").alias("sense_id")).select(F.col("word").alias("_w"), F.col("pos").alias("_p"), "sense_id")
-    s = stream(spark, d).select("input_id", "seq", "word", "pos", "is_possessive", "is_negative")
+    s = stream(spark, d, "word", "pos", "is_possessive", "is_negative")
     return dimension_join(s, one, (F.lower("word") == F.col("_w")) & (F.upper("pos") == F.col("_p"))).select("input_id", "seq", "word", F.upper("pos").alias("pos"), "sense_id", "is_possessive", "is_negative")
 
 
@@ -170,7 +170,7 @@ def tag_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by language and tag."""
     tags = lexicon(spark, d).pos_tags.select("tag", "short_tag")
     langs = read_table(spark, d, "tokenized_input").select("input_id", "lang").distinct()
-    known = stream(spark, d).select("input_id", F.upper("pos").alias("_p")).join(tags, F.col("_p") == F.col("tag"), "left").select("input_id", F.coalesce("tag", F.lit("FW")).alias("tag"))
+    known = stream(spark, d, "pos").select("input_id", F.upper("pos").alias("_p")).join(tags, F.col("_p") == F.col("tag"), "left").select("input_id", F.coalesce("tag", F.lit("FW")).alias("tag"))
     by_input = known.groupBy("input_id", "tag").agg(F.count("*").alias("n"))
     return by_input.join(langs, "input_id", "left").join(tags, "tag").groupBy(F.coalesce("lang", F.lit("und")).alias("lang"), "tag", "short_tag").agg(F.sum("n").alias("tokens"))
 
@@ -178,7 +178,7 @@ def tag_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {STREAM}, {TOK} SELECT s.input_id, s.seq, s.word FROM stream s LEFT JOIN tok t USING (token_id) WHERE NOT coalesce(t.is_stop_word, false)")
 def stop_word_removal(spark: SparkSession, d: str) -> DataFrame:
     stop = lexicon(spark, d).tokens.where("is_stop_word").select(F.col("token_id").alias("_id"))
-    return dimension_join(stream(spark, d).select("input_id", "seq", "word", "token_id"), stop, F.col("token_id") == F.col("_id"), "left_anti").select("input_id", "seq", "word")
+    return dimension_join(stream(spark, d, "word", "token_id"), stop, F.col("token_id") == F.col("_id"), "left_anti").select("input_id", "seq", "word")
 
 
 _SUF = "CASE " + " ".join(f"WHEN ends_with(w, '{s}') THEN '{s}'" for s in SUFFIXES) + " END"
@@ -187,12 +187,12 @@ _PREF = "CASE " + " ".join(f"WHEN starts_with(w, '{p}') THEN '{p}'" for p in PRE
 
 @query(f"WITH {STREAM}, ws AS (SELECT DISTINCT lower(word) AS w FROM stream) SELECT w AS word, {_SUF} AS suffix_class FROM ws")
 def suffix_classes(spark: SparkSession, d: str) -> DataFrame:
-    return stream(spark, d).select(F.lower("word").alias("word")).distinct().select("word", suffix_class(F.col("word")).alias("suffix_class"))
+    return stream(spark, d, "word").select(F.lower("word").alias("word")).distinct().select("word", suffix_class(F.col("word")).alias("suffix_class"))
 
 
 @query(f"WITH {STREAM}, ws AS (SELECT DISTINCT lower(word) AS w FROM stream) SELECT w AS word, {_PREF} AS prefix_class FROM ws")
 def prefix_classes(spark: SparkSession, d: str) -> DataFrame:
-    return stream(spark, d).select(F.lower("word").alias("word")).distinct().select("word", prefix_class(F.col("word")).alias("prefix_class"))
+    return stream(spark, d, "word").select(F.lower("word").alias("word")).distinct().select("word", prefix_class(F.col("word")).alias("prefix_class"))
 
 
 def queries() -> dict:
