@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from textloom.plans import orphan_queries, phrase_queries, span_queries, stream_queries, tag_queries, word_queries
+from textloom.plans import engine_queries, orphan_queries, phrase_queries, span_queries, stream_queries, tag_queries, word_queries
 
-_MODULES = (word_queries, span_queries, tag_queries, phrase_queries, stream_queries, orphan_queries)
+_MODULES = (word_queries, span_queries, tag_queries, phrase_queries, stream_queries, orphan_queries, engine_queries)
 
 
 def queries() -> dict:

@@ -149,10 +149,13 @@ def number_unit_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FUTURE_BODY = _future_sql().split("WITH ", 1)[1].replace(STREAM + ", ", "").replace(" SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY n DESC) AS rn FROM fhits) WHERE rn = 1", "")
-_VERB_BODY = _VERB_SPANS.split("WITH ", 1)[1].replace(STREAM + ", ", "").replace("marked AS", "marked AS").replace("grouped AS", "vgrouped AS").replace("FROM grouped", "FROM vgrouped").replace(" agg AS", " vagg AS").replace("\nagg AS", "\nvagg AS").replace("FROM agg", "FROM vagg")
+VERB_BODY = _VERB_SPANS.split("WITH ", 1)[1].replace(STREAM + ", ", "").replace("marked AS", "marked AS").replace("grouped AS", "vgrouped AS").replace("FROM grouped", "FROM vgrouped").replace(" agg AS", " vagg AS").replace("\nagg AS", "\nvagg AS").replace("FROM agg", "FROM vagg")
 _PERIOD_BODY = _PERIOD.split("WITH ", 1)[1].replace(STREAM + ", ", "")
 _PERIOD_HEAD, _PERIOD_SELECT = _PERIOD_BODY.rsplit("\nSELECT input_id", 1)
-_MERGED = f"""WITH RECURSIVE {CANDS}, {_FUTURE_BODY}, {_VERB_BODY}, {_PERIOD_HEAD}, periods AS (SELECT input_id{_PERIOD_SELECT}),
+def merged_sql(cands: str, own_pre: bool = False) -> str:
+    """CTEs and result of the view over the CTE ``stream``; own_pre: the look-up ``pre`` is there already."""
+    head = _PERIOD_HEAD.replace(f"pre AS (SELECT * FROM {_PRE}), ", "") if own_pre else _PERIOD_HEAD
+    return f"""{cands}, {_FUTURE_BODY}, {VERB_BODY}, {head}, periods AS (SELECT input_id{_PERIOD_SELECT}),
 numbers AS (SELECT t0.input_id, t0.seq, p.tag FROM (SELECT input_id, seq, lower(word) AS w, lead(lower(word)) OVER (PARTITION BY input_id ORDER BY seq) AS nx FROM stream) t0 JOIN pre p ON t0.nx = p.w AND p.tag IN ('|date_period|', '|time_period|') WHERE regexp_matches(t0.w, '^[0-9][0-9,.]*$')),
 every AS (SELECT input_id, seq, n, phrase, 'MWE' AS pos, 'mwe' AS kind, 1 AS pref FROM cands WHERE mwe_type <> 'scoring'
   UNION ALL SELECT input_id, seq, last_seq - seq + 1, tag, 'SYS', 'period', 2 FROM periods UNION ALL SELECT input_id, seq, n, words, pos, 'future', 3 FROM fhits
@@ -168,7 +171,7 @@ SELECT w.input_id, w.seq, CAST(w.n AS INT) AS n, coalesce(w.phrase, t.words) AS
 UNION ALL SELECT s.input_id, s.seq, 1, s.word, CASE WHEN upper(s.pos) IN (SELECT tag FROM pos_tags) THEN upper(s.pos) ELSE 'FW' END, s.token_id, NULL FROM stream s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.input_id = s.input_id AND i.seq = s.seq)"""
 
 
-@query(_MERGED)
+@query("WITH RECURSIVE " + merged_sql(CANDS))
 def merged_view(spark: SparkSession, d: str) -> DataFrame:
     """The view with every kind of span: phrases, future groups, groups of not, have and had, periods, numbers with units."""
     s = stream(spark, d, "word", "pos", "token_id")

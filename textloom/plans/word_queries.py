@@ -39,7 +39,7 @@ def line_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SP = SPECIALS.replace("'", "''")
-_SHAPES = rf"""
+SHAPES = rf"""
 peeled AS (SELECT word, regexp_extract(word, '^([{_SP}]*)', 1) AS head0 FROM (SELECT DISTINCT word FROM words)),
 headed AS (SELECT word, CASE WHEN length(head0) > 0 AND regexp_matches(right(head0, 1), '[-+$]') AND regexp_matches(substr(word, length(head0) + 1, 1), '[0-9]') THEN left(head0, length(head0) - 1) ELSE head0 END AS head FROM peeled),
 bodied AS (SELECT word, head, substr(word, length(head) + 1) AS body FROM headed),
@@ -57,14 +57,14 @@ shapes AS (SELECT word, CASE WHEN word = '|NL|' THEN '' ELSE head END AS prefix,
   CASE WHEN regexp_matches(core, '^[-+$]?[0-9][0-9.,]*[A-Za-z]+$') THEN regexp_extract(core, '([A-Za-z]+)$', 1) END AS unit FROM shaped)"""
 
 
-@query(f"WITH {INPUT_WORDS}, {_SHAPES} SELECT * FROM shapes")
+@query(f"WITH {INPUT_WORDS}, {SHAPES} SELECT * FROM shapes")
 def word_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Parts and kind of every distinct word."""
     return clean_words(spark, d).select("word").distinct().select("word", shape(F.col("word")).alias("s")).select("word", "s.*")
 
 
 def _of_kind(kind: str, extra: str = ""):
-    sql = f"WITH {INPUT_WORDS}, {_SHAPES} SELECT core, number, unit, count(*) AS occurrences FROM words JOIN shapes USING (word) WHERE kind IN ({kind}) GROUP BY ALL"
+    sql = f"WITH {INPUT_WORDS}, {SHAPES} SELECT core, number, unit, count(*) AS occurrences FROM words JOIN shapes USING (word) WHERE kind IN ({kind}) GROUP BY ALL"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         # shapes are found once per distinct word, and counts added up
@@ -79,7 +79,7 @@ for _name, _kind in (("numeric_tokens", "'number'"), ("time_tokens", "'time'"),
     Q[_name], S[_name] = _of_kind(_kind)
 
 
-_PARTS = """parts AS (
+PARTS = """parts AS (
   SELECT input_id, pos, CAST(i - 1 AS INT) AS sub, ps[i].part AS part, ps[i].token_type AS token_type FROM (
     SELECT input_id, pos, ps, unnest(generate_series(1, len(ps))) AS i FROM (
       SELECT w.input_id, w.pos, list_concat(list_concat(list_transform(list_filter(string_split(prefix, ''), lambda x: x <> ''), lambda x: {'part': x, 'token_type': 'prefix'}),
@@ -87,7 +87,7 @@ _PARTS = """parts AS (
       FROM words w JOIN shapes s USING (word) WHERE w.word <> '|NL|')))"""
 
 
-@query(f"WITH {INPUT_WORDS}, {_SHAPES}, {_PARTS} SELECT * FROM parts")
+@query(f"WITH {INPUT_WORDS}, {SHAPES}, {PARTS} SELECT * FROM parts")
 def symbol_peel(spark: SparkSession, d: str) -> DataFrame:
     return peel(clean_words(spark, d), "input_id")
 
@@ -96,7 +96,7 @@ _PRE = values_sql(preprocess_rows(), "w, tag, value")
 
 
 @query(
-    f"""WITH {INPUT_WORDS}, {_SHAPES}, {_PARTS}, hit AS (SELECT * FROM parts LEFT JOIN (SELECT * FROM {_PRE}) ON lower(part) = w),
+    f"""WITH {INPUT_WORDS}, {SHAPES}, {PARTS}, hit AS (SELECT * FROM parts LEFT JOIN (SELECT * FROM {_PRE}) ON lower(part) = w),
 own AS (SELECT *, CASE WHEN tag = '|contraction|' THEN string_split(value, ' ') ELSE [part] END AS ws FROM hit)
 SELECT input_id, pos, sub, CAST(i - 1 AS INT) AS subsub, ws[i] AS part, tag, CASE WHEN tag <> '|contraction|' THEN value END AS value FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM own)"""
 )
@@ -106,7 +106,7 @@ def contractions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {INPUT_WORDS}, {_SHAPES}, asked AS (SELECT w.input_id, w.pos, s.core, s.kind, s.number, s.unit, CASE WHEN kind = 'number_unit' THEN unit WHEN kind = 'word' THEN lower(core) END AS ask FROM words w JOIN shapes s USING (word)),
+    f"""WITH {INPUT_WORDS}, {SHAPES}, asked AS (SELECT w.input_id, w.pos, s.core, s.kind, s.number, s.unit, CASE WHEN kind = 'number_unit' THEN unit WHEN kind = 'word' THEN lower(core) END AS ask FROM words w JOIN shapes s USING (word)),
 tagged AS (SELECT a.*, CASE kind WHEN 'number' THEN '|num|' WHEN 'time' THEN '|time|' WHEN 'decade' THEN '|date_period|' ELSE p.tag END AS t, p.value AS v FROM asked a LEFT JOIN (SELECT * FROM {_PRE} WHERE tag <> '|contraction|') p ON a.ask = p.w)
 SELECT input_id, pos, core, t AS tag, CASE WHEN kind IN ('number', 'time') THEN core WHEN kind IN ('decade', 'number_unit') THEN number ELSE v END AS value, unit FROM tagged WHERE t IS NOT NULL"""
 )
