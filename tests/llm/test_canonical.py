@@ -38,3 +38,26 @@ def test_operator(spark):
 def test_without_vocabulary_the_dominant_script_decides(spark):
     df = spark.createDataFrame([("сoт",)], "text string")
     assert C.canonical_form(df, "text").first()["canonical"] == "сот"
+
+
+def test_marks_and_syllables_are_mapped_by_cluster():
+    """Texts that compose across characters have their form and places, not the text as it was."""
+    text = "\u1100\u1161 ca\u0301fe\u0301 a\u0301\u0323\xa0x"
+    form, start, end = C.canonical_with_places(text)
+    assert form == C.canonical(text) and form != text and len(start) == len(end) == len(form)
+    assert (start[0], end[0]) == (0, 2)
+
+
+def test_both_ways_of_settling_readings(spark):
+    """Known readings sent along, and joined where they are too many, give the same; a hot text is one row of the join."""
+    vocab = C.vocabulary(spark.createDataFrame([("cot",), ("нос",)], "w string"), "w")
+    rows = [("сoт",)] * 300 + [("нoc",), ("plain",), (None,), ("Тһе сoт and нoc",), ("",)]
+    df = spark.createDataFrame(rows, "text string")
+    one, two = (sorted(map(str, C.canonical_form(df, "text", vocab, max_known=n).collect())) for n in (200_000, 0))
+    assert one == two and len(one) == len(rows) and any("'cot'" in r for r in one)
+
+
+def test_changed_words_are_looked_at_once(spark):
+    df = spark.createDataFrame([("ｔｈｅ", 1), ("ｔｈｅ", 2), ("the", 3), (None, 4), ("café", 5)], "word string, form int")
+    assert [tuple(r) for r in C.changed_words(df, "word").collect()] == [("ｔｈｅ", "the")]
+    assert C.changed_words(df.limit(0), "word").count() == 0

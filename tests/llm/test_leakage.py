@@ -62,3 +62,34 @@ def test_verification_is_exact():
     a = np.array([[1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6]], np.int32)
     b = np.array([[2, 3, 4, 5, 6, 7], [1, 9, 3, 9, 5, 6], [9, 9, 9, 4, 5, 6]], np.int32)
     assert index.verify(a, b).tolist() == [True, True, False]
+
+
+def test_recall_against_brute_force(spark):
+    """With one edit allowed, the pairs that hashing finds are all real, and at least nine in ten of those of brute force."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    items = [(k, [rng.choice(words) for _ in range(14)]) for k in range(40)]
+    docs = []
+    for i in range(80):
+        t = [rng.choice(words) for _ in range(20)]
+        own = list(rng.choice(items)[1])
+        at, kind = rng.randrange(14), rng.randrange(3)
+        own[at : at + (kind != 1)] = [] if kind == 2 else ["other"]
+        t[8:8] = own
+        docs.append((i, t))
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    windows = {k: [t[j : j + 12] for j in range(3)] for k, t in items}
+    want = {(d, k) for d, t in docs for k, own in windows.items() if any(len(set(t[j : j + 12]) & set(w)) >= 6 and apart(t[j : j + 12], w) <= 1 for j in range(len(t) - 11) for w in own)}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")
+    e = spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id int, text string")
+    got = {tuple(r) for r in L.find_leaks(d, "doc_id", "text", e, "item_id", "text", edits=1).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 50

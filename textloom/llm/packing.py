@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKENIZER = os.environ.get("TEXTLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Containers are a parameter table; more kinds than that are an error.
+MAX_KINDS = 1000
 #: Splits text into the pieces that byte pairs are merged within.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -97,14 +99,14 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack(items: DataFrame, containers: DataFrame, group_items: int = 20_000, seed: int = 11, n_items: int | None = None) -> DataFrame:
     """``container_kind, container_id, doc_id, copy, part, tokens``: the container of every item or part of an item.
 
-    items: ``doc_id, tokens``; containers: ``container_kind, capacity_tokens``, a table of few rows, broadcast if so.
+    items: ``doc_id, tokens``; containers: ``container_kind, capacity_tokens``, a table of at most ``MAX_KINDS`` rows.
     n_items: the number of items where the caller knows it, else they are counted. Equal rows are numbered by ``copy``
     before they are grouped, so that many copies of one document spread over the groups.
     """
-    from textloom.session import broadcast_if_small
-
     groups = max(1, -(-(items.count() if n_items is None else n_items) // group_items))
-    kinds = broadcast_if_small(containers.where("capacity_tokens >= 1").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct(), 10_000)
+    kinds = containers.where("capacity_tokens >= 1").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).distinct().limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
     id_type = items.schema["doc_id"].dataType.simpleString()
     fields = f"container_kind string, container_id string, doc_id {id_type}, copy int, part int, tokens long"
     sized = items.groupBy("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")).agg(F.count("*").alias("_n"))
@@ -114,7 +116,7 @@ def pack(items: DataFrame, containers: DataFrame, group_items: int = 20_000, see
     chunk = 10_000
     chunks = sized.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(chunk).cast("long"))))
     copies = chunks.withColumn("copy", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.col("_n")) - 1)))
-    grouped = copies.select("doc_id", (F.col("copy") + F.col("_first")).cast("int").alias("copy"), "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "copy", F.lit(seed)), F.lit(groups)).alias("_group"), F.lit(1).alias("_one"))
+    grouped = copies.select("doc_id", (F.col("copy") + F.col("_first")).cast("int").alias("copy"), "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "copy", F.lit(seed)), F.lit(groups)).alias("_group"))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, group, capacity = key
@@ -137,6 +139,7 @@ def pack(items: DataFrame, containers: DataFrame, group_items: int = 20_000, see
         out["container_id"] = [f"{kind}-{group}-{b}" for b in out["bin"]]
         return out[["container_kind", "container_id", "doc_id", "copy", "part", "tokens"]]
 
-    # every container kind packs all items: an equi-join on a constant of items with the few kinds
-    each = grouped.join(kinds.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # every container kind packs all items
+    options = F.array(*(F.struct(F.lit(r["container_kind"]).cast("string").alias("container_kind"), F.lit(r["capacity"]).cast("long").alias("capacity")) for r in kinds)) if kinds else F.expr("cast(array() as array<struct<container_kind: string, capacity: long>>)")
+    each = grouped.withColumn("_kind", F.explode(options)).select("_kind.container_kind", "_kind.capacity", "doc_id", "copy", "tokens", "_group")
     return each.groupBy("container_kind", "_group", "capacity").applyInPandas(fill, fields)

@@ -104,6 +104,11 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and items that share twelve words but for one edit, so that small changes hide nothing."""
+    return find_leaks(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text", edits=1)
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """Calibrated scores of every document: ``doc_id, abusive, hateful, sexual``."""
     docs = read_table(spark, d, "documents")
@@ -123,4 +128,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_masked, p5_found, p5_forms, p6_pack, p6_fill, p7_found, p7_items, p8_found, p8_scores, p8_rates)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p4_found, p4_masked, p5_found, p5_forms, p6_pack, p6_fill, p7_found, p7_items, p7_near, p8_found, p8_scores, p8_rates)}
