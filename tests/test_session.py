@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.session import dimension_join, ensure_checkpoint_dir
+from textloom.session import dimension_join, ensure_checkpoint_dir, is_small
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -17,3 +17,8 @@ def test_there_is_a_checkpoint_folder(spark):
     assert spark.sparkContext.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or ensure_checkpoint_dir(spark) == named
+
+
+def test_a_dimension_is_measured_by_rows_and_bytes(spark):
+    wide = spark.createDataFrame([("x" * 1000, [1] * 100, {"a": 1}, 1)] * 50, "s string, a array<int>, m map<string,int>, i int")
+    assert is_small(wide, 50) and not is_small(wide, 49) and not is_small(wide, 50, 50_000) and is_small(wide.limit(0), 0, 0)

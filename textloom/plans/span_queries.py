@@ -270,12 +270,13 @@ def first_paths(lx) -> dict[str, list[str]]:
     return {"person": by["nouns"][:2], "entity": by["nouns"][2:4], "ner_person": by["ner"][:2], "ner_entity": by["ner"][2:4]}
 
 
-@query(
-    f"""WITH {CATS}, {TOK}, paths AS (SELECT tree, cat_id, range_lo, range_hi, row_number() OVER (PARTITION BY tree ORDER BY cat_id) AS i FROM cats WHERE depth = 1 AND tree IN ('nouns', 'ner')),
+KINDS_SQL = """paths AS (SELECT tree, cat_id, range_lo, range_hi, row_number() OVER (PARTITION BY tree ORDER BY cat_id) AS i FROM cats WHERE depth = 1 AND tree IN ('nouns', 'ner')),
 flags AS (SELECT token_id, pos, EXISTS (SELECT 1 FROM paths WHERE tree = 'nouns' AND i <= 2 AND len(list_filter(categories, lambda c: c >= range_lo AND c < range_hi)) > 0) AS np, EXISTS (SELECT 1 FROM paths WHERE tree = 'nouns' AND i IN (3, 4) AND len(list_filter(categories, lambda c: c >= range_lo AND c < range_hi)) > 0) AS ne,
-  EXISTS (SELECT 1 FROM paths WHERE tree = 'ner' AND i <= 2 AND len(list_filter(ner, lambda c: c >= range_lo AND c < range_hi)) > 0) AS rp, EXISTS (SELECT 1 FROM paths WHERE tree = 'ner' AND i IN (3, 4) AND len(list_filter(ner, lambda c: c >= range_lo AND c < range_hi)) > 0) AS re FROM tok)
-SELECT token_id, CASE WHEN starts_with(pos, 'NNP') THEN rp WHEN pos = 'NNS' THEN false ELSE np END AS is_person, CASE WHEN starts_with(pos, 'NNP') THEN re WHEN pos = 'NNS' THEN np OR ne ELSE ne END AS is_entity FROM flags"""
-)
+  EXISTS (SELECT 1 FROM paths WHERE tree = 'ner' AND i <= 2 AND len(list_filter(ner, lambda c: c >= range_lo AND c < range_hi)) > 0) AS rp, EXISTS (SELECT 1 FROM paths WHERE tree = 'ner' AND i IN (3, 4) AND len(list_filter(ner, lambda c: c >= range_lo AND c < range_hi)) > 0) AS re FROM tok),
+kinds AS (SELECT token_id, CASE WHEN starts_with(pos, 'NNP') THEN rp WHEN pos = 'NNS' THEN false ELSE np END AS is_person, CASE WHEN starts_with(pos, 'NNP') THEN re WHEN pos = 'NNS' THEN np OR ne ELSE ne END AS is_entity FROM flags)"""
+
+
+@query(f"WITH {CATS}, {TOK}, {KINDS_SQL} SELECT * FROM kinds")
 def coreference_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Dictionary tokens that are persons or things."""
     lx = lexicon(spark, d)

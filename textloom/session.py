@@ -24,30 +24,56 @@ def local_session(cores: str | int = "*", partitions: int = 8, name: str = "text
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or the one set on the context; where neither is (tests) a local one."""
+    """The folder of ``spark.checkpoint.dir``, or the one set on the context; in local mode (tests) one of its own.
+
+    On a cluster the folder has to be one that all machines share, so that there is none to fall back on.
+    """
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
     return shared or context.getCheckpointDir()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else unchanged, for a shuffled join.
+#: Rows and bytes up to which a table is broadcast; both are counted.
+MAX_ROWS, MAX_BYTES = 200_000, 256 << 20
+
+
+def _size(df: DataFrame) -> Column:
+    """About the bytes of a row: of its texts, 16 for every entry of an array or a map, 16 for anything else."""
+
+    def one(name: str, kind: str) -> Column:
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(name), F.lit(0))
+        return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)) * 16 if kind in ("array", "map") else F.lit(16)
 
-    Counting reads only ``limit(max_rows + 1)``; use it for dimension tables read from files.
+    return sum((one(f"`{f.name}`", f.dataType.typeName()) for f in df.schema.fields), F.lit(0)).cast("long")
+
+
+def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether a table has no more rows and bytes than may be broadcast; ``max_rows + 1`` rows are read at most.
+
+    A table that is dear to make should be written first, since it is made for this and for its use.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, size = df.limit(max_rows + 1).select(_size(df).alias("_b")).agg(F.count("*"), F.coalesce(F.sum("_b"), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is small, see ``is_small``, else unchanged, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def dimension_join(rows: DataFrame, dim: DataFrame, on: Column, how: str = "left", salts: int = 16, max_rows: int = 200_000) -> DataFrame:
+def dimension_join(rows: DataFrame, dim: DataFrame, on: Column, how: str = "left", salts: int = 16, max_rows: int = MAX_ROWS) -> DataFrame:
     """Many rows, of which a third may share a key, joined to a dimension; ``on`` compares columns of both.
 
-    A dimension of at most ``max_rows`` rows, which is counted, is broadcast. A larger one is repeated once per salt
+    A dimension that is small, see ``is_small``, is broadcast. A larger one is repeated once per salt
     and the rows are spread over the salts by a hash of all their columns that can be hashed, so that a hot key is
     split; how: inner, left, left_semi or left_anti, which a repeated right side leaves right.
     """
-    if dim.limit(max_rows + 1).count() <= max_rows:
+    if is_small(dim, max_rows):
         return rows.join(F.broadcast(dim), on, how)
     plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))

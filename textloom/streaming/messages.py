@@ -9,15 +9,20 @@ from pyspark.sql import functions as F
 
 from textloom.lexicon import Lexicon
 from textloom.operators import cleaning
-from textloom.session import ensure_checkpoint_dir
+from textloom.session import broadcast_if_small, ensure_checkpoint_dir
 from textloom.sources import table_path
 
 
-def message_stream(spark: SparkSession, base: str, table: str = "tokenized_input") -> DataFrame:
-    """A table's folder as a stream; its schema is that of the table now. A table of one file is read from its parent."""
+def message_stream(spark: SparkSession, base: str, table: str = "tokenized_input", files_per_batch: int | None = None) -> DataFrame:
+    """A table's folder as a stream; its schema is that of the table now. A table of one file is read from its parent.
+
+    files_per_batch: how many new files a batch takes at most; all by default.
+    """
     path = table_path(base, table)
     now = spark.read.parquet(path)
     reader = spark.readStream.schema(now.schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if any(f.rstrip("/").endswith(f"{table}.parquet") for f in now.inputFiles()[:1]):
         rows = reader.option("pathGlobFilter", f"{table}.parquet").parquet(base)
     else:
@@ -42,6 +47,7 @@ def once(messages: DataFrame, key: str = "input_id", time: str = "received_at",
 def stream_words(messages: DataFrame, lexicon: Lexicon, key: str = "input_id", text: str = "original") -> DataFrame:
     """``key, received_at, pos, word, tag``: words with their first tag; stateless, so that any stream can take it."""
     sense = lexicon.default_senses().select(F.col("word").alias("_w"), F.col("pos").alias("_p"))
+    sense = broadcast_if_small(sense)
     words = messages.where(F.col(text).isNotNull()).select(key, "received_at", F.posexplode(cleaning.words_of(F.col(text))).alias("pos", "word"))
     return words.join(sense, F.lower("word") == F.col("_w"), "left").select(key, "received_at", "pos", "word", F.coalesce("_p", F.lit("FW")).alias("tag"))
 
