@@ -86,7 +86,7 @@ def span_view(tokens: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 #: Kinds of spans in the order in which they are preferred where they begin together and are equally long.
-KINDS = ("mwe", "period", "future", "number")
+KINDS = ("mwe", "period", "future", "number", "verb")
 
 
 def all_spans(tokens: DataFrame, phrases: DataFrame, preprocess: DataFrame, scoring: bool = False) -> DataFrame:
@@ -95,24 +95,26 @@ def all_spans(tokens: DataFrame, phrases: DataFrame, preprocess: DataFrame, scor
     The standard view takes phrases, groups that speak of the future, periods and numbers with units, and then those
     groups of not, have and had that are free of them; the scoring view takes its phrases only.
     """
-    found = candidates(tokens, phrases).where("mwe_type <> 'standard'" if scoring else "mwe_type <> 'scoring'").select("input_id", "seq", "n", "phrase", F.lit("MWE").alias("pos"), F.lit("mwe").alias("kind"))
+    rank = {k: F.lit(i).alias("rank") for i, k in enumerate(KINDS)}
+
+    def of(spans: DataFrame, kind: str, n: Column, phrase: Column, pos: Column) -> DataFrame:
+        # in the order in which they are tried: by place, the longest first, then by kind
+        return spans.select("input_id", F.struct(F.col("seq"), (-n).cast("int").alias("less"), rank[kind], phrase.alias("phrase"), pos.alias("pos"), F.lit(kind).alias("kind")).alias("s"))
+
+    found = of(candidates(tokens, phrases).where("mwe_type <> 'standard'" if scoring else "mwe_type <> 'scoring'"), "mwe", F.col("n"), F.col("phrase"), F.lit("MWE"))
     if not scoring:
-        future = future_verbs(tokens).select("input_id", "seq", "n", F.col("words").alias("phrase"), "pos", F.lit("future").alias("kind"))
-        n = (F.col("last_seq") - F.col("seq") + 1).alias("n")
-        verbs = verb_spans(tokens).select("input_id", "seq", n, F.lit(None).cast("string").alias("phrase"), "pos", F.lit("verb").alias("kind"))
-        periods = period_spans(tokens, preprocess).select("input_id", "seq", n, F.col("tag").alias("phrase"), F.lit("SYS").alias("pos"), F.lit("period").alias("kind"))
-        numbers = number_units(tokens, preprocess).select("input_id", "seq", F.lit(2).alias("n"), F.col("tag").alias("phrase"), F.lit("SYS").alias("pos"), F.lit("number").alias("kind"))
-        found = found.unionByName(future).unionByName(periods).unionByName(numbers)
-    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    best = found.groupBy("input_id", "seq").agg(F.max_by(F.struct("n", "phrase", "pos", "kind"), F.struct("n", -rank, F.coalesce("phrase", F.lit("")))).alias("s")).select("input_id", "seq", "s.*")
-    taken = leftmost_longest(best.select("input_id", "seq", "n", F.coalesce("phrase", F.lit("")).alias("phrase"))).select("input_id", "seq")
-    chosen = best.join(taken, ["input_id", "seq"])
-    if scoring:
-        return chosen
-    covers = lambda: F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n") - 1))
-    busy = chosen.select("input_id", covers().alias("_in"))
-    clash = verbs.select("input_id", "seq", covers().alias("_in")).join(busy, ["input_id", "_in"], "left_semi").select("input_id", "seq").distinct()
-    return chosen.unionByName(verbs.join(clash, ["input_id", "seq"], "left_anti").select(chosen.columns))
+        wide = F.col("last_seq") - F.col("seq") + 1
+        found = found.unionByName(of(future_verbs(tokens), "future", F.col("n"), F.col("words"), F.col("pos")))
+        found = found.unionByName(of(period_spans(tokens, preprocess), "period", wide, F.col("tag"), F.lit("SYS")))
+        found = found.unionByName(of(number_units(tokens, preprocess), "number", F.lit(2), F.col("tag"), F.lit("SYS")))
+        found = found.unionByName(of(verb_spans(tokens), "verb", wide, F.lit(None).cast("string"), F.col("pos")))
+    g = found.groupBy("input_id").agg(F.array_sort(F.collect_list("s")).alias("all"))
+    g = g.select("input_id", F.filter("all", lambda x: x["kind"] != "verb").alias("c"), F.filter("all", lambda x: x["kind"] == "verb").alias("v"))
+    start = F.struct(F.lit(-1).alias("free"), F.filter("c", lambda x: F.lit(False)).alias("out"))
+    taken = F.aggregate("c", start, lambda s, x: F.when(x["seq"] >= s["free"], F.struct((x["seq"] - x["less"]).alias("free"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s), lambda s: s["out"])
+    g = g.select("input_id", taken.alias("t"), "v")
+    free = F.filter("v", lambda v: ~F.exists("t", lambda c: (c["seq"] < v["seq"] - v["less"]) & (c["seq"] - c["less"] > v["seq"])))
+    return g.select("input_id", F.explode(F.concat("t", free)).alias("x")).select("input_id", "x.seq", (-F.col("x.less")).alias("n"), "x.phrase", "x.pos", "x.kind")
 
 
 def merged_view(tokens: DataFrame, spans: DataFrame) -> DataFrame:

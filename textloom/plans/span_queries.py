@@ -12,6 +12,7 @@ from textloom.operators import categories as C
 from textloom.operators import scores as SC
 from textloom.operators import spans as X
 from textloom.plans.base import CATS, LEX, SENSE, STREAM, TOK, lexicon, stream, values_sql
+from textloom.session import ensure_checkpoint_dir
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -160,7 +161,7 @@ numbers AS (SELECT t0.input_id, t0.seq, p.tag FROM (SELECT input_id, seq, lower(
 every AS (SELECT input_id, seq, n, phrase, 'MWE' AS pos, 'mwe' AS kind, 1 AS pref FROM cands WHERE mwe_type <> 'scoring'
   UNION ALL SELECT input_id, seq, last_seq - seq + 1, tag, 'SYS', 'period', 2 FROM periods UNION ALL SELECT input_id, seq, n, words, pos, 'future', 3 FROM fhits
   UNION ALL SELECT input_id, seq, 2, tag, 'SYS', 'number', 4 FROM numbers),
-best AS (SELECT input_id, seq, n, phrase, pos, kind FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY n DESC, pref, coalesce(phrase, '') DESC) AS rn FROM every) WHERE rn = 1),
+best AS (SELECT input_id, seq, n, phrase, pos, kind FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY n DESC, pref, coalesce(phrase, '')) AS rn FROM every) WHERE rn = 1),
 linked AS (SELECT b.*, (SELECT min(c.seq) FROM best c WHERE c.input_id = b.input_id AND c.seq >= b.seq + b.n) AS nxt FROM best b),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY seq) AS rn FROM linked) WHERE rn = 1 UNION ALL SELECT l.*, 2 FROM chosen w JOIN linked l ON l.input_id = w.input_id AND l.seq = w.nxt),
 walk AS (SELECT input_id, seq, n, phrase, pos, kind FROM chosen UNION ALL SELECT input_id, seq, last_seq - seq + 1, NULL, pos, 'verb' FROM vspans v
@@ -174,8 +175,11 @@ UNION ALL SELECT s.input_id, s.seq, 1, s.word, CASE WHEN upper(s.pos) IN (SELECT
 @query("WITH RECURSIVE " + merged_sql(CANDS))
 def merged_view(spark: SparkSession, d: str) -> DataFrame:
     """The view with every kind of span: phrases, future groups, groups of not, have and had, periods, numbers with units."""
-    s = stream(spark, d, "word", "pos", "token_id")
-    return X.merged_view(s, X.all_spans(s, _phrases(spark, d), lexicon(spark, d).preprocess()))
+    ensure_checkpoint_dir(spark)
+    s = stream(spark, d, "word", "pos", "token_id", "token_type").checkpoint()  # read by every kind of span
+    phrases = X.derive_phrases(s).checkpoint()
+    s = s.drop("token_type")
+    return X.merged_view(s, X.all_spans(s, phrases, lexicon(spark, d).preprocess()))
 
 
 _INTENT = f"""WITH {STREAM}, paths AS (SELECT * FROM {values_sql(X.intent_rows(), 'phrase, n, intent')}),
