@@ -55,6 +55,12 @@ _OTHERS = re.compile("([ำ‑﹘])")
 _QUICK = re.compile("[\\n\\r -~¡-§«¬°±¶·»¿-ı–—‘-„]*")
 
 
+#: Characters that may change, with the plain one before them, which a mark may belong to.
+_SPECIAL = re.compile(r"[\n\r -~]?[^\n\r -~]+")
+_PLACES = list(range(4097))
+_LATIN, _CYRILLIC_LETTERS, _GREEK_LETTERS = re.compile("[A-Za-zªºÀ-ʯḀ-ỿ]"), re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽἀ-῿]")
+
+
 def _emoji(c: str) -> bool:
     return unicodedata.category(c) in ("So", "Sk") or 0x1F000 <= ord(c) <= 0x1FAFF or c in "⃣#*0123456789♀♂"
 
@@ -94,6 +100,8 @@ def readings(word: str, first: str = "") -> list[str]:
     first: a script (L, C or G) whose reading goes before the others. If no script can take all letters, the only
     reading replaces those letters that the dominant script can take.
     """
+    if bool(_LATIN.search(word)) + bool(_CYRILLIC_LETTERS.search(word)) + bool(_GREEK_LETTERS.search(word)) < 2:
+        return []
     count = {"L": 0, "C": 0, "G": 0}
     for c in word:
         if s := _script(c):
@@ -140,29 +148,40 @@ def canonical_with_places(text: str) -> tuple[str, list[int], list[int]]:
     """
     form = canonical(text)
     if form == text:
-        places = list(range(len(text) + 1))
+        places = _PLACES[: len(text) + 1] if len(text) < len(_PLACES) else list(range(len(text) + 1))
         return text, places[:-1], places[1:]
     keep = _NATIVE if _CJK.search(text) else _OTHERS
-    seen = [(i, c.translate(_PLAIN)) for i, c in enumerate(text)]
-    seen = [(i, c) for i, c in seen if c]
-    lost = _lost_joiners("".join(c for _, c in seen))
-    seen = [x for k, x in enumerate(seen) if k not in lost]
+    lost: set[int] = set()
+    if _JOINER.search(text):
+        kept = [(i, d) for i, c in enumerate(text) for d in c.translate(_PLAIN)]
+        gone = _lost_joiners("".join(d for _, d in kept))
+        lost = {i for k, (i, _) in enumerate(kept) if k in gone}
     out: list[str] = []
     start: list[int] = []
     end: list[int] = []
-    k, n = 0, len(seen)
-    while k < n:
-        j = k + 1
-        while j < n and ((unicodedata.category(seen[j][1])[0] == "M" and not _JOINER.match(seen[j][1])) or seen[j][1] in "ﾞﾟ" or "\u1160" <= seen[j][1] <= "\u11ff"):
-            j += 1  # marks, and the vowels and finals of Korean syllables
-        part = "".join(c for _, c in seen[k:j])
-        if not keep.match(part):
-            part = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", part))
-        for c in part:
-            out.append(c)
-            start.append(seen[k][0])
-            end.append(seen[j - 1][0] + 1)
-        k = j
+    at = 0
+    for m in _SPECIAL.finditer(text):
+        a, b = m.span()
+        out.extend(text[at:a])
+        start.extend(range(at, a))
+        end.extend(range(at + 1, a + 1))
+        seen = [(a + i, d) for i, c in enumerate(m[0]) if a + i not in lost and (d := c.translate(_PLAIN))]
+        k, n = 0, len(seen)
+        while k < n:
+            j = k + 1
+            while j < n and (seen[j][1] in "ﾞﾟ" or "\u1160" <= seen[j][1] <= "\u11ff" or (unicodedata.category(seen[j][1])[0] == "M" and not _JOINER.match(seen[j][1]))):
+                j += 1  # marks, and the vowels and finals of Korean syllables
+            part = "".join(c for _, c in seen[k:j])
+            if not keep.match(part):
+                part = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", part))
+            out.extend(part)
+            start.extend([seen[k][0]] * len(part))
+            end.extend([seen[j - 1][0] + 1] * len(part))
+            k = j
+        at = b
+    out.extend(text[at:])
+    start.extend(range(at, len(text)))
+    end.extend(range(at + 1, len(text) + 1))
     joined = "".join(out)
     if re.search("[Ͱ-ԯἀ-῿]", joined):
         main = _main_script(joined)
