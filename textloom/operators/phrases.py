@@ -381,7 +381,22 @@ class Reader:
         return "conversational" if any(t.get("is_place") for t in own) else "imperative"
 
 
-_OUT = "phrase int, start int, end int, split_token int, tense string, person string, kind string, intent string, intent_score double, nouns array<int>, verbs array<int>, modifiers array<int>, siblings array<int>, objects array<int>"
+def render_unit(u: Unit, tokens: list[dict]) -> str:
+    """A noun or verb with what belongs to it, part by part in brackets; empty parts are left out."""
+    names = ("determiners", "adjectives", "adverbs", "prepositions", "auxiliaries", "objects", "linkers")
+    parts = [f"{n}({' '.join(tokens[i]['word'] or '' for i in getattr(u, n))})" for n in names if getattr(u, n)]
+    parts += [f"{n}({'; '.join(render_unit(x, tokens) for x in getattr(u, n))})" for n in ("modifiers", "siblings") if getattr(u, n)]
+    return " ".join([tokens[u.at]["word"] or "", *parts])
+
+
+def render_phrase(p: Phrase, tokens: list[dict]) -> str:
+    """A phrase in brackets with its tense, person and kind, its nouns and its verbs."""
+    words = " ".join(t["word"] or "" for t in tokens[p.start : p.end])
+    nouns, verbs = ("; ".join(render_unit(u, tokens) for u in us) for us in (p.nouns, p.verbs))
+    return f"[{words}] {p.tense}/{p.person}/{p.kind} nouns({nouns}) verbs({verbs})"
+
+
+_OUT = "phrase int, start int, end int, split_token int, tense string, person string, kind string, intent string, intent_score double, nouns array<int>, verbs array<int>, modifiers array<int>, siblings array<int>, objects array<int>, rendered string"
 
 
 # Category paths of verbs and adverbs that tell a phrase's kind, and of adverbs that do not go with a verb.
@@ -425,7 +440,7 @@ def interpret(described: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(paths)
-        types = (pa.int32(),) * 4 + (pa.string(),) * 4 + (pa.float64(),) + (pa.list_(pa.int32()),) * 5
+        types = (pa.int32(),) * 4 + (pa.string(),) * 4 + (pa.float64(),) + (pa.list_(pa.int32()),) * 5 + (pa.string(),)
         names = [f.split()[0] for f in _OUT.split(", ")]
         for b in batches:
             at, out = [], []
@@ -433,7 +448,7 @@ def interpret(described: DataFrame) -> DataFrame:
                 for i, p in enumerate(_reading(tokens, reader)[0]):
                     units = (*p.nouns, *p.verbs)
                     at.append(row)
-                    out.append((i, p.start, p.end, p.split, p.tense, p.person, p.kind, p.intent, p.intent_score, [u.at for u in p.nouns], [u.at for u in p.verbs], [m.at for u in units for m in u.modifiers], [s.at for u in units for s in u.siblings], [o for u in units for o in u.objects]))
+                    out.append((i, p.start, p.end, p.split, p.tense, p.person, p.kind, p.intent, p.intent_score, [u.at for u in p.nouns], [u.at for u in p.verbs], [m.at for u in units for m in u.modifiers], [s.at for u in units for s in u.siblings], [o for u in units for o in u.objects], render_phrase(p, tokens)))
             cols = zip(*out, strict=True) if out else ((),) * len(types)
             yield pa.RecordBatch.from_arrays([b.column("input_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["input_id", *names])
 
@@ -462,11 +477,3 @@ def resolve_pronouns(described: DataFrame) -> DataFrame:
 def render_token(word: Column, pos: Column, token_id: Column, antecedent: Column, inner: Column) -> Column:
     """A token as text: with its antecedent, as a system word with its value, or plain."""
     return F.when(antecedent.isNotNull(), F.format_string("%s [%s: %s] (%s)", word, F.coalesce(token_id, F.lit(0)), pos, antecedent)).when(pos == "SYS", F.format_string("%s [%s: %s]", word, F.coalesce(inner, F.lit("")), pos)).otherwise(F.format_string("%s [%s: %s]", word, F.coalesce(token_id, F.lit(0)), pos))
-
-
-def render_phrases(phrases: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``input_id, phrase, text``: each phrase in brackets with its nouns and verbs by word."""
-    words = tokens.groupBy("input_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "word"))), lambda x: x["word"]).alias("ws"))
-    own = lambda c: F.array_join(F.transform(c, lambda i: F.element_at("ws", i + 1)), ", ")
-    text = F.format_string("[%s] %s/%s/%s nouns(%s) verbs(%s)", F.array_join(F.slice("ws", F.col("start") + 1, F.col("end") - F.col("start")), " "), F.col("tense"), F.col("person"), F.col("kind"), own("nouns"), own("verbs"))
-    return phrases.join(words, "input_id").select("input_id", "phrase", text.alias("text"))

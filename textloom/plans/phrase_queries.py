@@ -41,7 +41,7 @@ def pronoun_antecedents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_texts(spark: SparkSession, d: str) -> DataFrame:
-    return R.render_phrases(R.interpret(_described(spark, d)), merged_view(spark, d))
+    return R.interpret(_described(spark, d)).select("input_id", "phrase", F.col("rendered").alias("text"))
 
 
 def token_texts(spark: SparkSession, d: str) -> DataFrame:
