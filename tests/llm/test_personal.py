@@ -19,9 +19,10 @@ VALUES = [
 ]
 
 
-@pytest.mark.parametrize("text, want", VALUES)
+@pytest.mark.parametrize("text, want", [*VALUES, ("Ring oh-seven-seven-nine-nine-two now.", [("oh-seven-seven-nine-nine-two", "phone")]), ("It is seven seven seven seven seven seven.", [("seven seven seven seven seven seven", "phone")])])
 def test_values_by_form(text, want):
     assert sorted((text[a:b], k) for a, b, k in P.structured(text)) == sorted(want)
+    assert P.structured(text, set(P._lows(text))) == P.structured(text)
 
 
 #: Seeds: names where somebody says who somebody is; they make the terms known.
@@ -74,3 +75,9 @@ def test_token_rows(spark):
     tokens = spark.createDataFrame(rows + rows[:4] + [(9, 0, "z"), (1, 99, None)], "input_id long, seq int, word string")
     got = {(r["input_id"], r["seq"], r["pii_type"]) for r in P.token_hits(P.find_personal(texts), tokens).collect()}
     assert got == {(1, 3, "name"), (1, 4, "name"), (1, 13, "email")}
+
+
+def test_letters_whose_lower_case_is_longer(spark):
+    texts = ["My name is İlkay Şen.", "İlkay Şen came with İ. Şen.", "İ" * 50, "ß ſ ŉ ﬁ"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "input_id long, text string")
+    assert all(0 <= r["start"] < r["end"] <= len(texts[r["input_id"]]) for r in P.find_personal(df).collect())

@@ -45,6 +45,8 @@ _EMAIL = re.compile(
     re.I,
 )
 _DIGIT_WORD = r"(?:oh|o|zero|nought|one|two|three|four|five|six|seven|eight|nine)"
+_DIGIT_WORDS = set("oh o zero nought one two three four five six seven eight nine double double-oh triple".split())
+_DIGIT = re.compile(r"\d")
 _SPOKEN = re.compile(rf"\b(?:(?:double|triple)[ \-])?{_DIGIT_WORD}(?:[ ,\-\n]+(?:(?:double|triple)[ \-\n])?{_DIGIT_WORD}){{5,}}\b", re.I)
 _IDS = re.compile(
     r"(?<![\w/#\-.])(?:"
@@ -97,6 +99,9 @@ _CUES = re.compile(
     r"|меня[ \n]зовут|мо[её][ \n]имя|με[ \n]λένε|ονομάζομαι|το[ \n]όνομά[ \n]μου[ \n]είναι)|(?<!\w)(?:أنا[ \n])?اسمي|मेरा[ \n]नाम)[ \n]",
     re.I,
 )
+#: Every cue and every title has one of these terms.
+_CUE_WORDS = set("name called call spoke talked met wrote ask behalf contact attn attention signed heiße bin mit namen m'appelle m’appelle nom parlé vu écrit demandez part llamo nombre hablé escribí pregunté зовут имя λένε ονομάζομαι όνομά اسمي नाम".split())
+_TITLE_WORDS = set("mr mrs ms miss mx dr prof professor sir madam herr herrn frau sr sra srta sres dña dra señor señora mme mlle monsieur madame mademoiselle m г-н г-жа господин госпожа κ κα δρ الدكتور السيد السيدة د أ डॉ श्री श्रीमती सुश्री".split())
 _TITLE = re.compile(r"(?<![\w.])(?:(?i:mr|mrs|ms|miss|mx|dr|prof|professor|sir|madam|herrn?|frau|sr|sra|srta|sres|dña|dra|señora?|mme|mlle|monsieur|madame|mademoiselle)\.?|M\.|Г-н|г-н|Г-жа|г-жа|господин|госпожа|κ\.|κα\.?|κ\.κ\.|Δρ\.?|الدكتور|السيد|السيدة|د\.|أ\.|डॉ\.?|श्री|श्रीमती|सुश्री)[ \n](?=[^\W\d_])")
 #: In scripts without spaces the slot has an end as well.
 _WHOLE = [re.compile(r"(?:私は|私の名前は|名前は)([一-鿿々ぁ-ヺー]{2,}?)(?=です|と申します|といいます)"), re.compile(r"(?:我叫|我是|我的名字是|我的名字叫)([一-鿿]{2,4}?)(?=[。，！？、\n]|$)")]
@@ -185,8 +190,8 @@ def _in_slots(terms: list[Term]) -> Iterator[Term]:
             yield t
 
 
-def structured(form: str) -> list[tuple[int, int, str]]:
-    """Places of values that are known by their form."""
+def structured(form: str, words: set[str] | None = None) -> list[tuple[int, int, str]]:
+    """Places of values that are known by their form; words: the text's terms, where they are at hand."""
     out: list[tuple[int, int, str]] = []
 
     def free(a: int, b: int) -> bool:
@@ -194,7 +199,7 @@ def structured(form: str) -> list[tuple[int, int, str]]:
 
     if "@" in form or "at)" in form or "at]" in form or "at )" in form or "at ]" in form or " dot " in form or "AT" in form:
         out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(form)]
-    if any(c.isdigit() for c in form):
+    if _DIGIT.search(form):
         for pattern in _ADDRESS:
             for m in pattern.finditer(form):
                 if free(*m.span()):
@@ -221,7 +226,8 @@ def structured(form: str) -> list[tuple[int, int, str]]:
                 continue
             elif _PHONE_FORMS.fullmatch(t.replace("\n", " ")) or (digits >= 7 and _PHONE_CUE.search(before) and not re.fullmatch(r"\d{4}-\d{5}-\d|\d+[.,]\d+", t)):
                 out.append((a, b, "phone"))
-    out += [(*m.span(), "phone") for m in _SPOKEN.finditer(form) if free(*m.span())]
+    if words is None or words & _DIGIT_WORDS or ("-" in form and _DIGIT_WORDS & {p for w in words if "-" in w for p in w.split("-")}):
+        out += [(*m.span(), "phone") for m in _SPOKEN.finditer(form) if free(*m.span())]
     return out
 
 
@@ -262,14 +268,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text or not text.strip():
                 continue
             form, start, end = canonical_with_places(text)
-            total.update(_lows(form))
-            if slots := _slots(form):
+            lows = list(_lows(form))
+            total.update(lows)
+            words = set(lows)
+            if not (words.isdisjoint(_CUE_WORDS) and words.isdisjoint(_TITLE_WORDS)) and (slots := _slots(form)):
                 inside.update(t.low for t in _in_slots(_terms(form, slots)))
             for pattern in _WHOLE:
                 for m in pattern.finditer(form):
                     total[m[1]] += 1
                     inside[m[1]] += 1
-            if fixed := structured(form):
+            if fixed := structured(form, words):
                 packed = _packed(text)
                 for a, e, kind in fixed:
                     at.append(k)
@@ -335,24 +343,27 @@ def _runs(shared, bits: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
 
-        def discloses(low: str) -> bool:
-            hit = known.get(low)
-            if hit is None:
-                key = np.array([xxhash.xxh64_intdigest(low.encode(), 42)], np.uint64).view(np.int64)
-                spots = filter_spots(key, bits, hashes)
-                hit = bool(((shared.value[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1).all())
-                if len(known) < 200_000:
-                    known[low] = hit
-            return hit
+        def ask(lows: set[str]) -> None:
+            """Asks the filter for the terms that were not asked for before, all at once."""
+            if len(known) > 200_000:
+                known.clear()
+            new = [w for w in lows if w not in known]
+            if new:
+                keys = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in new], np.uint64).view(np.int64)
+                spots = filter_spots(keys, bits, hashes)
+                hits = ((shared.value[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
+                known.update(zip(new, hits.tolist(), strict=True))
 
         for b in batches:
             at: list[int] = []
             rows: list[tuple] = []
+            forms = [canonical(t) if t and t.strip() else "" for t in b.column(1).to_pylist()]
+            lows = [set(_lows(f)) for f in forms]
+            ask(set().union(*lows) if lows else set())
+            discloses = lambda low: known.get(low, False)
             for k, text in enumerate(b.column(1).to_pylist()):
-                if not text or not text.strip():
-                    continue
-                form = canonical(text)
-                if not (_SIGNED.search(form) or any(map(discloses, _lows(form))) or any(p.search(form) for p in _WHOLE)):
+                form = forms[k]
+                if not form or not (_SIGNED.search(form) or any(map(known.get, lows[k])) or any(p.search(form) for p in _WHOLE)):
                     continue
                 form, start, end = canonical_with_places(text)
                 packed = None
