@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,18 +181,23 @@ def feature_resolution(spark: SparkSession, d: str) -> DataFrame:
     return _by_features(spark, d)
 
 
+_CLASS_PARTS = re.sub(r"\b(sc|hits|parts|tot|shr|fr|bl|feats)\b", r"c\1", _RESOLVE_PARTS).replace(
+    "SELECT w, t AS tag, count(*) / sum(count(*)) OVER (PARTITION BY w) AS freq FROM sents WHERE w IN (SELECT word FROM ambig) GROUP BY 1, 2", "SELECT cls AS w, t AS tag, count(*) / sum(count(*)) OVER (PARTITION BY cls) AS freq FROM sents JOIN acls ON acls.word = sents.w GROUP BY 1, 2"
+)
 _RESOLVED = f"""{_VITERBI}, {SENSE}, ambig AS (SELECT word FROM sense WHERE len(potential_pos) > 1), {FEATS}, {_RESOLVE_PARTS}, {NEIGH}, {RULES},
+acls AS (SELECT word, array_to_string(list_sort(list_distinct(potential_pos)), '|') AS cls FROM sense WHERE len(potential_pos) > 1), cfeats AS (SELECT f.* REPLACE (a.cls AS w) FROM feats f JOIN acls a ON a.word = f.w), {_CLASS_PARTS},
+bestc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY score DESC, tag) AS rn FROM cbl) WHERE rn = 1),
 sure AS (SELECT input_id, seq, 1.0 / sum(exp(score - top)) AS confidence FROM (SELECT *, max(score) OVER (PARTITION BY input_id, seq) AS top FROM v) GROUP BY 1, 2),
 bestf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY score DESC, tag) AS rn FROM bl) WHERE rn = 1),
 ruled AS (SELECT input_id, seq, tag FROM neigh JOIN rules USING (w, before) WHERE w IN (SELECT word FROM ambig) AND NOT EXISTS (SELECT 1 FROM exc e WHERE e.w = neigh.w AND e.before = neigh.before AND e.behind = neigh.behind)),
-al AS (SELECT s.input_id, s.seq, s.w, s.t, s.w IN (SELECT word FROM ambig) AS a, p.tag AS h, y.confidence, r.tag AS r, f.tag AS f, f.score FROM sents s JOIN path p USING (input_id, seq) JOIN sure y USING (input_id, seq) LEFT JOIN ruled r USING (input_id, seq) LEFT JOIN bestf f USING (input_id, seq)),
-how AS (SELECT *, CASE WHEN a AND r IS NOT NULL THEN 'rule' WHEN a AND score >= {K.SURE} THEN 'feature' WHEN a OR t = 'FW' THEN 'hmm' ELSE 'unambiguous' END AS method FROM al)
-SELECT input_id, seq, w AS word, CASE method WHEN 'rule' THEN r WHEN 'feature' THEN f ELSE h END AS tag, method, round(CASE WHEN method IN ('rule', 'unambiguous') THEN 1.0 WHEN method = 'feature' THEN score ELSE confidence END, 6) AS confidence FROM how"""
+al AS (SELECT s.input_id, s.seq, s.w, s.t, s.w IN (SELECT word FROM ambig) AS a, p.tag AS h, y.confidence, r.tag AS r, f.tag AS f, f.score, c.tag AS c, c.score AS class_score FROM sents s JOIN path p USING (input_id, seq) JOIN sure y USING (input_id, seq) LEFT JOIN ruled r USING (input_id, seq) LEFT JOIN bestf f USING (input_id, seq) LEFT JOIN bestc c USING (input_id, seq)),
+how AS (SELECT *, CASE WHEN a AND r IS NOT NULL THEN 'rule' WHEN a AND score >= {K.SURE} THEN 'feature' WHEN a AND class_score >= {K.SURE} THEN 'class' WHEN a OR t = 'FW' THEN 'hmm' ELSE 'unambiguous' END AS method FROM al)
+SELECT input_id, seq, w AS word, CASE method WHEN 'rule' THEN r WHEN 'feature' THEN f WHEN 'class' THEN c ELSE h END AS tag, method, round(CASE WHEN method IN ('rule', 'unambiguous') THEN 1.0 WHEN method = 'feature' THEN score WHEN method = 'class' THEN class_score ELSE confidence END, 6) AS confidence FROM how"""
 
 
 @query(_RESOLVED)
 def resolved_tags(spark: SparkSession, d: str) -> DataFrame:
-    """The tag of every token and how it was found: rule, then feature, then hidden Markov model, or unambiguous."""
+    """The tag of every token and how it was found: rule, word's features, its class's features, best path, or unambiguous."""
     lx = lexicon(spark, d)
     s = stream(spark, d, "word", "pos")
     return Tagger.train(s, lx).resolve(H.sentences(s), lx)
