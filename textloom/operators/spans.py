@@ -37,17 +37,15 @@ def apply_style(word: Column, style: Column, original: Column) -> Column:
     return F.when(style == "lower", F.lower(word)).when(style == "upper", F.upper(word)).when(style == "title", F.initcap(word)).otherwise(original)
 
 
-def derive_phrases(tokens: DataFrame, min_count: int = 12) -> DataFrame:
-    """A phrase table from the tokens: neighbours of two and three words that occur at least ``min_count`` times.
+def derive_phrases(tokens: DataFrame, min_count: int = 12, longest: int = 3) -> DataFrame:
+    """A phrase table from the tokens: neighbours of two to ``longest`` words that occur at least ``min_count`` times.
 
-    ``phrase, n, mwe_type, node_style``; phrases of two words serve both streams, longer ones the standard stream.
+    ``phrase, n, mwe_type``; phrases of two words serve both streams, longer ones the standard stream.
     """
-    w = ordered()
-    words = tokens.where("token_type = 'word'").select("input_id", "seq", "word")
-    near = words.withColumn("w2", F.lead("word", 1).over(w)).withColumn("w3", F.lead("word", 2).over(w)).withColumn("s2", F.lead("seq", 1).over(w)).withColumn("s3", F.lead("seq", 2).over(w))
-    two = F.when(F.col("s2") == F.col("seq") + 1, F.struct(F.concat_ws(" ", F.lower("word"), F.lower("w2")).alias("phrase"), F.lit(2).alias("n")))
-    three = F.when((F.col("s2") == F.col("seq") + 1) & (F.col("s3") == F.col("seq") + 2), F.struct(F.concat_ws(" ", F.lower("word"), F.lower("w2"), F.lower("w3")).alias("phrase"), F.lit(3).alias("n")))
-    grams = near.select(F.explode(F.array_compact(F.array(two, three))).alias("g")).select("g.phrase", "g.n")
+    ahead = ordered().rowsBetween(0, longest - 1)
+    near = tokens.where("token_type = 'word'").select("seq", F.collect_list(F.coalesce(F.lower("word"), F.lit(""))).over(ahead).alias("ws"), F.collect_list("seq").over(ahead).alias("at"))
+    whole = F.filter(F.sequence(F.lit(2), F.greatest(F.size("ws"), F.lit(2))), lambda n: F.coalesce(F.try_element_at("at", n) == F.col("seq") + n - 1, F.lit(False)))
+    grams = near.select(F.explode(whole).alias("n"), "ws").select(F.array_join(F.slice("ws", 1, F.col("n")), " ").alias("phrase"), "n")
     counts = grams.groupBy("phrase", "n").agg(F.count("*").alias("c")).where(F.col("c") >= min_count)
     return counts.select("phrase", "n", F.when(F.col("n") == 2, "both").otherwise("standard").alias("mwe_type"))
 

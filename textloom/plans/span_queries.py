@@ -41,12 +41,14 @@ spans AS (SELECT input_id, seq, n, phrase FROM walk)"""
 
 
 def _phrases(spark, d):
-    return X.derive_phrases(stream(spark, d, "word", "token_type"))
+    """Phrases counted in the stream, written once: their number and length are asked before they are joined."""
+    ensure_checkpoint_dir(spark)
+    return mwe_phrases(spark, d).checkpoint()
 
 
 @query(f"WITH {STREAM}, {PHRASES} SELECT * FROM phrases")
 def mwe_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return _phrases(spark, d)
+    return X.derive_phrases(stream(spark, d, "word", "token_type"))
 
 
 @query(f"WITH {CANDS} SELECT * FROM cands")

@@ -13,6 +13,7 @@ from textloom.operators import hmm as H
 from textloom.operators import spelling as SP
 from textloom.operators.tagger import Tagger, ambiguous, pronouns
 from textloom.plans.base import LEX, SENSE, STREAM, TOK, lexicon, stream
+from textloom.session import ensure_checkpoint_dir
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -158,8 +159,9 @@ def tag_rules(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SENTS}, {NEIGH}, {RULES}, {AMBIG} SELECT input_id, seq, w, tag FROM neigh JOIN rules USING (w, before) WHERE w IN (SELECT word FROM ambig) AND NOT EXISTS (SELECT 1 FROM exc e WHERE e.w = neigh.w AND e.before = neigh.before AND e.behind = neigh.behind)")
 def rule_resolution(spark: SparkSession, d: str) -> DataFrame:
     s = _sents(spark, d)
-    rules = K.learn_rules(s)
-    return K.apply_rules(s, _ambiguous(spark, d), rules, K.learn_exceptions(s, rules))
+    ensure_checkpoint_dir(spark)
+    rules = K.learn_rules(s).checkpoint()
+    return K.apply_rules(s, _ambiguous(spark, d), rules, K.learn_exceptions(s, rules).checkpoint())
 
 
 _RESOLVE_PARTS = """sc AS (SELECT *, n / sum(n) OVER (PARTITION BY w, "offset", kind, value) AS score FROM (SELECT w, "offset", kind, value, t AS tag, count(*) AS n FROM feats GROUP BY ALL)),
