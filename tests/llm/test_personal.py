@@ -81,3 +81,10 @@ def test_letters_whose_lower_case_is_longer(spark):
     texts = ["My name is İlkay Şen.", "İlkay Şen came with İ. Şen.", "İ" * 50, "ß ſ ŉ ﬁ"]
     df = spark.createDataFrame(list(enumerate(texts)) + [(9, None)], "input_id long, text string")
     assert all(0 <= r["start"] < r["end"] <= len(texts[r["input_id"]]) for r in P.find_personal(df).collect())
+
+
+def test_two_texts_of_one_input_are_read_apart(spark):
+    rows = [(1, "My name is Delphine Okandi."), (1, "Mrs. Okandi spoke to Orrin today."), (2, "My name is Orrin Okandi."), (3, "I met Delphine and Mr. Okandi."), (4, "The office is closed and the lamp is late today."), (5, "Nobody came to the office.")]
+    df = spark.createDataFrame(rows, "input_id long, text string")
+    got = sorted((r["input_id"], r["start"], r["end"]) for r in P.find_personal(df).collect())
+    assert (1, 11, 26) in got and (1, 5, 11) in got and (2, 11, 23) in got

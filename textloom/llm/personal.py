@@ -338,7 +338,7 @@ def runs(terms: list[Term], discloses) -> list[list[Term]]:
 def _runs(shared, bits: int, hashes: int):
     """Reads the texts once more for runs around terms of the filter; a row per term of a run, with a number for the run."""
     names = ["input_id", "run", "i", "start", "end", "packed_start", "packed_end", "term", "ending", "capital", "initial", "particle", "comma", "slot", "firm"]
-    types = [pa.int32()] * 6 + [pa.string()] * 2 + [pa.bool_()] * 6
+    types = [pa.int64()] + [pa.int32()] * 5 + [pa.string()] * 2 + [pa.bool_()] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
@@ -367,7 +367,7 @@ def _runs(shared, bits: int, hashes: int):
                     continue
                 form, start, end = canonical_with_places(text)
                 packed = None
-                number = 0
+                number = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 2  # two texts of one input have runs of their own
                 for own in runs(_terms(form, _slots(form)), discloses):
                     packed = packed or _packed(text)
                     for i, t in enumerate(own):
@@ -388,7 +388,7 @@ def _runs(shared, bits: int, hashes: int):
     return run
 
 
-_RUNS = "run int, i int, start int, end int, packed_start int, packed_end int, term string, ending string, capital boolean, initial boolean, particle boolean, comma boolean, slot boolean, firm boolean"
+_RUNS = "run long, i int, start int, end int, packed_start int, packed_end int, term string, ending string, capital boolean, initial boolean, particle boolean, comma boolean, slot boolean, firm boolean"
 
 
 def names(run: list[dict], min_bits: float, min_share: float, run_share: float, rare: int) -> list[tuple[int, int, bool]]:
