@@ -60,7 +60,7 @@ EXPLICIT = ["had sex", "have sex", "having sex", "sex with", "strip naked", "get
 REPORTED = ["the word", "unparliamentary", "withdraw", "le mot", "les mots", "retirez", "retirer", "das wort", "zurückziehen", "la palabra", "retire", "offence", "incite", "hatred", "hate speech", "hetze", "hass", "strafbar", "la haine", "délit", "el odio", "delito", "treated like", "survivors", "victim", "evidence", "education", "health", "a court", "the term", "called me", "the expression", "condemn", "prohibit", "forbid", "prevention", "opfer", "victime", "víctima"]
 
 _REPORTED = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, REPORTED)) + ")")
-_LEET = str.maketrans("0134579@$", "oieaszgas")
+_LEET = tuple(zip("0134579@$", "oieaszgas", strict=True))
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-_][^\W\d_]){3,}(?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüéèêàáíóúñçß"
@@ -100,6 +100,18 @@ def _automaton():
     return a
 
 
+def _unleet(low: str) -> str:
+    """Digits and signs that stand for letters as these letters."""
+    for digit, letter in _LEET:
+        low = low.replace(digit, letter)
+    return low
+
+
+def _capitals(text: str, low: str) -> int:
+    """How many characters of a text are others in lower case; low is as long as the text."""
+    return int((np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)).sum())
+
+
 def _near(a: list[int], b: list[int]) -> float:
     """1 for neighbours and less the more words lie between; 0 if either is missing."""
     return max((1 / max(1, abs(i - j)) for i in a for j in b), default=0.0)
@@ -132,7 +144,7 @@ class Scanner:
     def hits(self, low: str) -> list[tuple[int, int, str, bool]]:
         """Start, end, tag and whether it was obfuscated, of every term."""
         out = []
-        plain = low.translate(_LEET)
+        plain = _unleet(low)
         n = len(plain)
         for last, (key, tags) in self.automaton.iter(plain):
             start, end = last - len(key) + 1, last + 1
@@ -254,7 +266,7 @@ class Scanner:
         for k, kind in enumerate(KINDS):
             out[k, 0] = 1000 * counts[_TERMS[kind]] / n_words
             out[k, 1] = 1000 * sum(counts[p] for p in _PHRASES[kind]) / n_words
-        out[:, 19:] = (sum(map(str.isupper, text)) / max(1, len(text)), text.count("!") / n_words, sum(h[3] for h in hits) / n_words, np.log1p(n_words))
+        out[:, 19:] = (_capitals(text, low) / max(1, len(text)), text.count("!") / n_words, sum(h[3] for h in hits) / n_words, np.log1p(n_words))
         return out
 
 
