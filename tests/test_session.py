@@ -22,3 +22,14 @@ def test_there_is_a_checkpoint_folder(spark):
 def test_a_dimension_is_measured_by_rows_and_bytes(spark):
     wide = spark.createDataFrame([("x" * 1000, [1] * 100, {"a": 1}, 1)] * 50, "s string, a array<int>, m map<string,int>, i int")
     assert is_small(wide, 50) and not is_small(wide, 49) and not is_small(wide, 50, 50_000) and is_small(wide.limit(0), 0, 0)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_a_large_dimension_is_never_broadcast(spark, tmp_path, how):
+    # its file is far below Spark's own limit for broadcasts, as that of a large dictionary is
+    spark.range(1000).selectExpr("cast(id as string) as key", "id as v").write.parquet(f"{tmp_path}/dim")
+    rows = spark.range(5000).selectExpr("cast(id as string) as k")
+    joined = dimension_join(rows, spark.read.parquet(f"{tmp_path}/dim"), F.col("k") == F.col("key"), how, max_rows=10)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert joined.count() == {"left": 5000, "inner": 1000, "left_semi": 1000, "left_anti": 4000}[how]

@@ -66,16 +66,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles both sides. Without the hint Spark goes by the size of the compressed files that
+    ``df`` comes from, a part of them for fewer columns and no more for rows made by explode, and may broadcast any table.
+    """
+    return df.hint("merge")
+
+
 def dimension_join(rows: DataFrame, dim: DataFrame, on: Column, how: str = "left", salts: int = 16, max_rows: int = MAX_ROWS) -> DataFrame:
     """Many rows, of which a third may share a key, joined to a dimension; ``on`` compares columns of both.
 
-    A dimension that is small, see ``is_small``, is broadcast. A larger one is repeated once per salt
-    and the rows are spread over the salts by a hash of all their columns that can be hashed, so that a hot key is
-    split; how: inner, left, left_semi or left_anti, which a repeated right side leaves right.
+    A dimension that is small, see ``is_small``, is broadcast. A larger one never is, see ``shuffled``: it is repeated
+    once per salt and the rows are spread over the salts by a hash of all their columns that can be hashed, so that a hot
+    key is split; how: inner, left, left_semi or left_anti, which a repeated right side leaves right.
     """
     if is_small(dim, max_rows):
         return rows.join(F.broadcast(dim), on, how)
     plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     spread = dim.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, on & (F.col("_salt") == F.col("_salt_of")), how).drop("_salt", "_salt_of")
+    return salted.join(shuffled(spread), on & (F.col("_salt") == F.col("_salt_of")), how).drop("_salt", "_salt_of")
