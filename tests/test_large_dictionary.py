@@ -6,7 +6,7 @@ from textloom import session
 from textloom.plans import registry
 
 BASE = "/root/testdata/sf0.001"
-QUERIES = ["lexicon_lookup", "token_by_id"]
+QUERIES = ["lexicon_lookup", "token_by_id", "resense"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
