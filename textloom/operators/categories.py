@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.lexicon import Lexicon
+from textloom.session import shuffled
 
 
 def _members(lx: Lexicon) -> DataFrame:
@@ -108,7 +109,7 @@ def coreference_kinds(lx: Lexicon, person: list[str] = PERSON_PATHS, entity: lis
     nouns = in_ranges(lx.tokens, "categories", ranges(lx, {"person": person, "entity": entity})).select("token_id", F.concat(F.lit("noun_"), "kind").alias("k"))
     names = in_ranges(lx.tokens, "ner", ranges(lx, {"person": ner_person, "entity": ner_entity})).select("token_id", F.concat(F.lit("ner_"), "kind").alias("k"))
     has = nouns.unionByName(names).groupBy("token_id").agg(F.collect_set("k").alias("ks"))
-    t = lx.tokens.select("token_id", "pos").join(has, "token_id", "left")
+    t = lx.tokens.select("token_id", "pos").join(shuffled(has), "token_id", "left")
     in_ = lambda k: F.coalesce(F.array_contains("ks", k), F.lit(False))
     name, plural = F.col("pos").startswith("NNP"), F.col("pos") == "NNS"
     is_person = F.when(name, in_("ner_person")).when(plural, F.lit(False)).otherwise(in_("noun_person"))
