@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from textloom import session
 from textloom.engine import Engine
 from textloom.lexicon import Lexicon
-from textloom.operators import phrases, scores, spans
+from textloom.operators import phrases, scores, spans, spelling
 from textloom.plans import registry
 
 BASE = "/root/testdata/sf0.001"
@@ -54,3 +54,8 @@ def test_kinds_of_a_large_dictionary_are_not_broadcast(spark, monkeypatch):
     lexicon, none = Lexicon.load(spark, BASE), tokens(spark).where("false")
     kinds = lexicon.tokens.selectExpr("token_id", "true as is_person", "false as is_entity")
     assert plan(phrases.describe(none, lexicon, kinds)).count("BroadcastExchange") <= 1  # the laid ranges of the categories
+
+
+def test_words_at_a_distance_are_not_broadcast(spark):
+    words = tokens(spark).select(F.col("word").alias("w"))
+    assert "Broadcast" not in plan(spelling.at_distance(words, words.withColumnRenamed("w", "word"), 1))
