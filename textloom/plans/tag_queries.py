@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.affixes import ADVERBS, AUXILIARIES, MODALS, PASSIVES, PERFECTS, PREFIXES_BY_LENGTH, SUFFIXES, TEMPORALS
+from textloom.operators import by_word
 from textloom.operators import context as K
 from textloom.operators import hmm as H
 from textloom.operators import spelling as SP
@@ -173,14 +174,9 @@ bl AS (SELECT input_id, seq, w, tag, round(0.8 * q + 0.2 * coalesce(freq, 0.0),
 _RESOLVE = f"WITH {SENTS}, {AMBIG}, {FEATS}, {_RESOLVE_PARTS}"
 
 
-def _by_features(spark, d):
-    s, words, pronouns = _sents(spark, d), _ambiguous(spark, d), _pronouns(spark, d)
-    return K.resolve_by_features(K.windows(s, words, pronouns), K.model_rows(K.features(s, words, pronouns), K.tag_frequency(s, words)))
-
-
 @query(_RESOLVE + " SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY input_id, seq ORDER BY score DESC, tag) AS rn FROM bl) WHERE rn = 1")
 def feature_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return _by_features(spark, d)
+    return by_word.resolve(_sents(spark, d), _ambiguous(spark, d), _pronouns(spark, d))
 
 
 _CLASS_PARTS = re.sub(r"\b(sc|hits|parts|tot|shr|fr|bl|feats)\b", r"c\1", _RESOLVE_PARTS).replace(
