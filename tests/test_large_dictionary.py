@@ -23,6 +23,12 @@ def test_a_large_dictionary_is_shuffled(spark, monkeypatch, name):
     assert sorted(map(repr, large.collect())) == small and small
 
 
+def test_senses_alone_are_narrow(spark, monkeypatch):
+    # a dictionary of half a million senses: without its own limits every token would be shuffled once more
+    monkeypatch.setattr(session, "is_small", lambda _, rows, size=session.MAX_BYTES: rows >= 500_000 and size <= 64 << 20)
+    assert "BroadcastHashJoin" in plan(registry.queries()["resense"](spark, BASE))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -33,3 +33,10 @@ def test_a_large_dimension_is_never_broadcast(spark, tmp_path, how):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert joined.count() == {"left": 5000, "inner": 1000, "left_semi": 1000, "left_anti": 4000}[how]
+
+
+@pytest.mark.parametrize("max_rows, max_bytes, sent", [(50, 2000, True), (49, 2000, False), (50, 800, False)])
+def test_a_join_has_limits_of_rows_and_of_bytes(spark, max_rows, max_bytes, sent):
+    rows, dim = (spark.range(50).selectExpr(f"cast(id as string) as {name}", f"id as {name}_v") for name in ("k", "key"))
+    joined = dimension_join(rows, dim, F.col("k") == F.col("key"), max_rows=max_rows, max_bytes=max_bytes)
+    assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == sent and joined.count() == 50

@@ -9,7 +9,7 @@ from textloom.functions.affixes import PREFIXES_BY_LENGTH, SUFFIXES, prefix_clas
 from textloom.lexicon import preprocess_rows
 from textloom.operators.cleaning import SPECIALS, clean_words as to_words, expand, peel, shape, special_tokens as to_special, words_of
 from textloom.plans.base import CATS, INPUT_WORDS, LEX, SENSE, STREAM, TOK, inputs, lexicon, stream, tag, values_sql, words_sql
-from textloom.session import dimension_join
+from textloom.session import NARROW_BYTES, NARROW_ROWS, dimension_join
 from textloom.sources import read_table
 
 Q: dict = {}
@@ -146,7 +146,7 @@ def resense(spark: SparkSession, d: str) -> DataFrame:
     """The sense of every token for the tag it was given; flags are kept."""
     one = lexicon(spark, d).senses.groupBy("word", "pos").agg(F.min_by("token_id", "ord").alias("sense_id")).select(F.col("word").alias("_w"), F.col("pos").alias("_p"), "sense_id")
     s = stream(spark, d, "word", "pos", "is_possessive", "is_negative")
-    return dimension_join(s, one, (F.lower("word") == F.col("_w")) & (F.upper("pos") == F.col("_p"))).select("input_id", "seq", "word", F.upper("pos").alias("pos"), "sense_id", "is_possessive", "is_negative")
+    return dimension_join(s, one, (F.lower("word") == F.col("_w")) & (F.upper("pos") == F.col("_p")), max_rows=NARROW_ROWS, max_bytes=NARROW_BYTES).select("input_id", "seq", "word", F.upper("pos").alias("pos"), "sense_id", "is_possessive", "is_negative")
 
 
 @query(f"WITH {LEX}, {SENSE}, v AS (SELECT word, arg_min(pos, ord) AS verb_pos, arg_min(token_id, ord) AS verb_id FROM lex WHERE starts_with(pos, 'V') GROUP BY 1) SELECT word, sense.pos, v.verb_pos, v.verb_id FROM sense JOIN v USING (word)")
